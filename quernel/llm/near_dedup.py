@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 from quernel.llm._shared import Forest, connected_components, hashes, keyed, map_batches, materialize, same_document, spaced_words
 
 TOKENS = 128  # minwise tokens of a set
-SMALL = 48  # largest node that is compared exhaustively
+SMALL = 256  # largest node that is compared exhaustively
 CHILDREN = 2  # coordinates by which a large node branches
-LEVELS = 3  # branchings below the root
+LEVELS = 2  # branchings below the root
 TILE = 128  # sets in a tile of the exact comparison
 TILE_SHINGLES = 200_000  # shingles in a tile, about
 
