@@ -206,15 +206,13 @@ def candidate_edges(classes: DataFrame, threshold: float, recall: float) -> Data
     edges: DataFrame | None = None
     for level in range(LEVELS + 1):
         rows = materialize(rows, "nodes")
-        sizes = materialize(rows.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+        sizes = materialize(rows.groupBy("node").agg(F.count("*").alias("size"), F.min("v").alias("a")).where("size > 1"), "sizes")
         small = rows.join(sizes.where(F.col("size") <= SMALL), "node").select("node", "v")
         met = _compare_small(small.join(classes.select("v", "low"), "v"), least)
         large = sizes.where(F.col("size") > SMALL)
         ended = large.isEmpty()
         if level == LEVELS and not ended:
-            held = rows.join(large.select("node"), "node", "left_semi")
-            first = materialize(held.groupBy("node").agg(F.min("v").alias("a")), "first")
-            met = met.unionByName(held.join(first, "node").select("a", F.col("v").alias("b")))
+            met = met.unionByName(rows.join(large, "node").select("a", F.col("v").alias("b")))
         met = materialize(met, "met")
         edges = met if edges is None else edges.unionByName(met)
         if ended or level == LEVELS:
