@@ -10,6 +10,7 @@ from quernel.operators.articles import build_catalog, exact_articles, expand_que
 from quernel.operators.documents import build_chunks, dedupe_files, new_sources
 from quernel.operators.hits import best_sections, boost_procedural, combine_hits, dedupe_hits, final_topk, top_sources, with_parent_text
 from quernel.operators.search import bm25_topk, corpus_stats, embed, postings, rrf_fuse, vector_topk
+from quernel.sources.scratch import held
 
 
 def build_index(sources: DataFrame, existing: DataFrame, origin: str = "equipment", make_encoder=None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -61,6 +62,7 @@ def finish(questions: DataFrame, fused: DataFrame, chunks: DataFrame, parents: D
     known = chunks.select("chunk_id", "origin", F.col("text").alias("snippet"), "source_file", "source_label", "parent_ref", F.struct("content_hash", "chunk_index").alias("chunk_order"))
     hits = with_parent_text(fused.join(known, ["chunk_id", "origin"]), parents).join(questions, "question_id")
     boosted = boost_procedural(hits).withColumn("position", F.struct(F.when(F.col("origin") == "equipment", 0).otherwise(1).alias("o"), "position"))
+    boosted = held(boosted, "hits")  # used by both branches
     asking = boosted.where(is_procedural(F.col("question")))
     sections = best_sections(known, top_sources(asking)).withColumn("position", F.struct(F.lit(2).alias("o"), F.col("source_no").alias("position")))
     sections = with_parent_text(sections, parents).withColumn("distance", F.lit(None).cast("double"))

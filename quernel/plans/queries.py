@@ -16,6 +16,7 @@ from quernel.functions import text as T
 from quernel.operators import articles, dialogue, documents, hits, registry, routing, search
 from quernel.plans import jobs
 from quernel.sources import sinks, tables
+from quernel.sources.scratch import held
 
 STOP = ("many", "total", "which", "need", "replacing")
 ROUTES = {"replacement": "(^| )thea", "count": "(^| )erth", "location": "(^| )ouan", "docs": "(^| )onan"}
@@ -543,7 +544,7 @@ def section_scan(spark, sf):
 
 
 def _combined(spark: SparkSession, sf: str) -> DataFrame:
-    boosted = _boosted(spark, sf)
+    boosted = held(_boosted(spark, sf), "hits")  # used by both branches
     sections = hits.with_parent_text(_sections(spark, sf, boosted), parents_view(spark, sf)).withColumn("distance", F.lit(None).cast("double"))
     names = ["question_id", "origin", "chunk_id", "text", "snippet", "source_label", "score", "distance", "position"]
     sections = sections.withColumn("position", F.col("source_no"))
