@@ -40,20 +40,30 @@ _WIDE = {c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F)}  # full-width forms
 _HIDDEN = dict.fromkeys(map(ord, "­​‌‍⁠﻿"))
 _FOLD = {ord(k): v for k, v in HOMOGLYPHS.items()} | _WIDE | _HIDDEN
 _LOOKALIKE = re.compile("[" + "".join(HOMOGLYPHS) + "！-～­​‌‍⁠﻿]")
-_SUBSTITUTE = re.compile(r"(?:(?<=[^\W\d_])|(?<=[^\W\d_][0134578@$!|]))[0134578@$!|]+(?=[^\W\d_])|\b[013457@$](?=[^\W\d_]{2})|(?<=[^\W\d_]{2})[013457](?=\W|$)")
+_SIGN = re.compile(r"[01345789@$!|]")
+_WRITTEN = re.compile(r"[\w@$!|]+")
 _PUT = str.maketrans(SUBSTITUTES)
 
 
+def _unmask(m: re.Match) -> str:
+    word = m[0].rstrip("@$!|")
+    if not _SIGN.search(word) or sum(map(str.isalpha, word)) < 2:
+        return m[0]
+    return word.translate(_PUT) + m[0][len(word) :]
+
+
 def fold(text: str) -> bytes:
     """Lower-cased text with look-alikes and substitutes folded; words joined by a space.
 
-    A substitute is folded between letters, or at a border of a word of letters.
-    Starts and ends with a space unless there are no words.
+    A substitute is folded where it is written together with two letters or more;
+    signs at the end of a word are not.  Starts and ends with a space unless there
+    are no words.
     """
     low = text.lower()
     if not low.isascii() and _LOOKALIKE.search(low):
         low = low.translate(_FOLD)
-    low = _SUBSTITUTE.sub(lambda m: m[0].translate(_PUT), low)
+    if _SIGN.search(low):
+        low = " ".join(t if t.isalpha() or not _SIGN.search(t) else _WRITTEN.sub(_unmask, t) for t in low.split())
     words = plain_words(low.encode("utf-8", "surrogatepass"))
     return b" %s " % b" ".join(words) if words else b""
 
