@@ -47,40 +47,48 @@ INDEX = _ternary(ROWS)
 _CASE = bytes((0x41 if 0x41 <= b <= 0x5A else 0x61 if 0x61 <= b <= 0x7A or b >= 0x80 else 0x30 if 0x30 <= b <= 0x39 else b) for b in range(256))
 
 
-def _form(token: bytes) -> bytes:
-    """The token's form: case, digits and signs, with runs cut short."""
-    t = token.translate(_CASE)
-    out = bytearray()
-    for b in t[:2] + t[-3:]:
-        if not out or out[-1] != b:
-            out.append(b)
-    return bytes(out)
-
-
-def token_rows(text: str | None, cache: dict[bytes, tuple[int, int]]) -> np.ndarray:
-    """Hashed rows ``(word, form)`` of the text's tokens; a repeat of the last token has a form of its own."""
+class FormRows(dict):
+    """Rows of token forms: case, digits and signs of a token's ends, with runs cut short."""
+
+    def __missing__(self, ends: bytes) -> int:
+        short = bytes(b for k, b in enumerate(ends) if not k or b != ends[k - 1])
+        row = self[ends] = xxhash.xxh3_64_intdigest(b"\0" + short) % ROWS
+        return row
+
+
+class TokenCodes(dict):
+    """Remembers ``word row * ROWS + form row`` of tokens, up to a bound."""
+
+    def __init__(self):
+        super().__init__()
+        self.forms = FormRows()
+
+    def __missing__(self, token: bytes) -> int:
+        if len(self) >= 500_000:
+            self.clear()
+            self.forms.clear()
+        word = xxhash.xxh3_64_intdigest(token.lower()) % ROWS
+        code = self[token] = word * ROWS + self.forms[(token[:2] + token[-3:]).translate(_CASE)]
+        return code
+
+
+def token_rows(text: str | None, codes: TokenCodes) -> np.ndarray:
+    """Hashed rows ``(words, forms)`` of the text's tokens; a repeat of the last token has a form of its own."""
     tokens = (text or "").encode("utf-8", "surrogatepass").split()
-    out = np.empty((len(tokens), 2), np.int32)
-    last = None
-    for k, t in enumerate(tokens):
-        got = cache.get(t)
-        if got is None:
-            if len(cache) > 200_000:
-                cache.clear()
-            got = cache[t] = (xxhash.xxh3_64_intdigest(t.lower()) % ROWS, xxhash.xxh3_64_intdigest(b"\0" + _form(t)) % ROWS)
-        out[k] = got if t != last else (got[0], 1)
-        last = t
-    return out
+    code = np.fromiter(map(codes.__getitem__, tokens), np.int64, len(tokens))
+    rows = np.array(np.divmod(code, ROWS))
+    rows[1, 1:][code[1:] == code[:-1]] = 1
+    return rows
 
 
 def neighbours(rows: np.ndarray) -> np.ndarray:
     """For each token the sum of its neighbours' random vectors."""
-    own = INDEX[rows[:, 0]] + INDEX[rows[:, 1]]
-    total = np.cumsum(np.vstack([np.zeros((1, SIZE), np.float32), own]), axis=0, dtype=np.float64)
-    n = len(rows)
-    lo = np.maximum(np.arange(n) - REACH, 0)
-    hi = np.minimum(np.arange(n) + REACH + 1, n)
-    return (total[hi] - total[lo]).astype(np.float32) - own
+    own = INDEX[rows[0]] + INDEX[rows[1]]
+    total = np.zeros_like(own)
+    for k in range(1, REACH + 1):
+        total[:-k] += own[k:]
+        total[k:] += own[:-k]
+    return total
 
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
@@ -95,16 +103,16 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros((ROWS, SIZE))
-        cache: dict = {}
+        codes = TokenCodes()
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
-                rows = [token_rows(t, cache) for t in batch.slice(at, 64).column(0).to_pylist()]
-                rows = [r for r in rows if len(r)]
-                for lo in range(0, len(rows)):
-                    sums, slots = neighbours(rows[lo]), rows[lo][:, 0]
-                    order = np.argsort(slots, kind="stable")
-                    starts = np.flatnonzero(np.diff(slots[order], prepend=-1))
-                    table[slots[order][starts]] += np.add.reduceat(sums[order], starts, axis=0)
+                for text in batch.slice(at, 64).column(0).to_pylist():
+                    rows = token_rows(text, codes)
+                    if rows.shape[1]:
+                        slots = rows[0]
+                        order = np.argsort(slots, kind="stable")
+                        starts = np.flatnonzero(np.diff(slots[order], prepend=-1))
+                        table[slots[order][starts]] += np.add.reduceat(neighbours(rows)[order], starts, axis=0)
         used = np.flatnonzero(np.abs(table).sum(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *(pa.array(table[used, k]) for k in range(SIZE))], schema=arrow)
 
@@ -134,12 +142,13 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature, -30, 30)))
 
 
-def pooled(text: str | None, vectors: np.ndarray, cache: dict) -> np.ndarray:
+def pooled(text: str | None, vectors: np.ndarray, codes: TokenCodes) -> np.ndarray:
     """Mean word vector, mean random vector of the words' forms, and log length."""
-    rows = token_rows(text, cache)
-    if not len(rows):
+    words, forms = token_rows(text, codes)
+    n = len(words)
+    if not n:
         return np.zeros(2 * SIZE + 1, np.float32)
-    return np.concatenate([vectors[rows[:, 0]].mean(axis=0), INDEX[rows[:, 1]].mean(axis=0), [np.log1p(len(rows)) / 10]]).astype(np.float32)
+    return np.concatenate([vectors[words].mean(axis=0), INDEX[forms].mean(axis=0), [np.log1p(n) / 10]]).astype(np.float32)
 
 
 def _train(x: np.ndarray, y: np.ndarray, weight: np.ndarray, vectors: np.ndarray) -> QualityModel:
@@ -193,10 +202,10 @@ def learn_quality(docs: DataFrame, labels: DataFrame, usable, per_class: int = P
         bias = 0.0 if n1 + n0 == 0 else (20.0 if n1 else -20.0)
         return QualityModel(vectors, np.zeros(width), np.ones(width), np.zeros((width, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), bias, 1.0)
     held = docs.sparkSession.sparkContext.broadcast(vectors)
-    cache: dict = {}
+    codes = TokenCodes()
 
     def work(c):
-        return {"doc_id": c["doc_id"], "y": c["y"], "x": [pooled(t, held.value, cache).tobytes() for t in c["text"]]}
+        return {"doc_id": c["doc_id"], "y": c["y"], "x": [pooled(t, held.value, codes).tobytes() for t in c["text"]]}
 
     rows = map_batches(sample, work, "doc_id long, y int, x binary").collect()  # at most twice per_class
     rows.sort(key=lambda r: r["doc_id"])
@@ -215,11 +224,11 @@ def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
     * Null ids stay null; other columns are not read; an empty table gives no rows.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
-    cache: dict = {}
+    codes = TokenCodes()
 
     def work(c):
         m = held.value
-        x = np.array([pooled(t, m.vectors, cache) for t in c["text"]], np.float64).reshape(-1, 2 * SIZE + 1)
+        x = np.array([pooled(t, m.vectors, codes) for t in c["text"]], np.float64).reshape(-1, 2 * SIZE + 1)
         score = m.probability(x)
         return {"doc_id": c["doc_id"], "th": c["th"], "n_tokens": [len((t or "").encode("utf-8", "surrogatepass").split()) for t in c["text"]], "score": score.tolist()}
 
