@@ -17,7 +17,7 @@ K1, B, FLOOR = 1.5, 0.75, 0.25
 def postings(chunks: DataFrame, text: str = "text") -> DataFrame:
     """``origin, chunk_id, term, tf, length``: term frequencies of every chunk.
 
-    Counts stay inside the row: a chunk's tokens never shuffle one by one.
+    A chunk's tokens are exploded in one task, so partial aggregation sums them before the shuffle.
     """
     tokens = chunks.select("origin", "chunk_id", tokenize(F.col(text)).alias("tokens"))
     exploded = tokens.select("origin", "chunk_id", F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
