@@ -7,7 +7,8 @@ exhaustively on the tokens, large ones branch again, and what is still large at
 the last level holds sets that agree on every chosen token and is linked whole.
 The number of trees follows from the wanted recall.  The links found this way
 are only a covering: each component of them is compared again on full sets, in
-tiles, and only pairs that reach the threshold exactly are links.
+tiles, and only pairs that reach the threshold exactly are links.  A component of
+several tiles is compared within them first, then by its parts.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ CHILDREN = 2  # coordinates by which a large node branches
 LEVELS = 2  # branchings below the root
 TILE = 128  # sets in a tile of the exact comparison
 TILE_SHINGLES = 200_000  # shingles in a tile, about
+BROADCAST_ROWS = 100_000  # set numbers (40 bytes each) that may be sent to every task
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _RNG = np.random.default_rng(20240607)
@@ -194,6 +196,48 @@ def _compare_exact(tiles: DataFrame, share: int, of: int) -> DataFrame:
     return spread.select("comp", "ti", "tj", "v", "shingles").mapInArrow(run, "a long, b long")
 
 
+def _tiles(sets, shingles):
+    return F.ceil(F.greatest(sets / TILE, shingles / TILE_SHINGLES)).cast("int")
+
+
+def _tile(salt: str, tiles: str):
+    return F.pmod(F.xxhash64("v", F.lit(salt)), F.col(tiles)).cast("int")
+
+
+def _link_across(full: DataFrame, links: DataFrame, share: int, of: int) -> DataFrame:
+    """``links`` and those between the tiles of covering components that take several.
+
+    ``full(v, root, tiles, n, shingles)`` are the sets of such components, ``links``
+    what the comparison within tiles found.  The parts found so far send one set
+    each to be compared, round by round, while that joins parts; a group of copies
+    of one text ends as one part after work in proportion to its size.  Only where
+    parts stay apart are all of the component's pairs of tiles compared.
+    """
+    found = links
+    links = materialize(found.join(full.select(F.col("v").alias("a")), "a", "left_semi"), "links")
+    turn = 0
+    while True:
+        parts = connected_components(links).select("v", F.col("root").alias("part"))
+        placed = full.select("v", "root", "n").join(parts, "v", "left").select("root", F.coalesce("part", "v").alias("part"))
+        first = placed.distinct().select("root", F.col("part").alias("v"))
+        first = materialize(first.join(full.select("v", "n"), "v"), "parts")
+        apart = materialize(first.groupBy("root").agg(F.count("*").alias("parts"), _tiles(F.count("*"), F.sum("n")).alias("of")).where("parts > 1"), "apart")
+        if apart.isEmpty():
+            return found.unionByName(links)
+        chosen = first.join(apart.select("root", "of"), "root").select("v", "of")
+        own = _tile(f"turn {turn}", "of")
+        met = full.join(chosen, "v").select(F.col("root").alias("comp"), own.alias("ti"), own.alias("tj"), "v", "shingles")
+        met = materialize(_compare_exact(met, share, of), "links")
+        if met.isEmpty():
+            break
+        links = materialize(links.unionByName(met), "links")
+        turn += 1
+    rest = full.join(apart.select("root"), "root", "left_semi").withColumn("own", _tile("tile", "tiles"))
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).where("own <> other")
+    rest = rest.select(F.col("root").alias("comp"), F.least("own", "other").alias("ti"), F.greatest("own", "other").alias("tj"), "v", "shingles")
+    return found.unionByName(links).unionByName(_compare_exact(rest, share, of))
+
+
 def candidate_edges(classes: DataFrame, threshold: float, recall: float) -> DataFrame:
     """Links ``(a, b)`` whose components cover every pair at or over the threshold.
 
@@ -250,21 +294,25 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: int = 80, of: int =
     covering = connected_components(candidate_edges(classes, share / of, recall))
     roots = covering.select(F.col("root").alias("v"), "root").distinct()
     members = materialize(covering.select("v", "root").unionByName(roots).join(classes.select("v", "rep_id", "rep_th", "n"), "v"), "members")
-    sizes = members.groupBy("root").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
-    sizes = sizes.select("root", F.ceil(F.greatest(F.col("sets") / TILE, F.col("shingles") / TILE_SHINGLES)).cast("int").alias("tiles"))
+    sizes = members.groupBy("root").agg(F.count("*").alias("sets"), _tiles(F.count("*"), F.sum("n")).alias("tiles"))
     sizes = materialize(sizes, "tiles")
-    members = members.join(sizes, "root").select("v", "root", "tiles", "rep_id", "rep_th")
-
-    texts = docs.join(members, same_document("doc_id", "th", "rep_id", "rep_th")).select("v", "root", "tiles", F.col("text").cast("binary").alias("text"))
+    members = members.join(sizes.select("root", "tiles"), "root").select("v", "root", "tiles", "n", "rep_id", "rep_th")
 
     def sets(c):
-        return {"v": c["v"], "root": c["root"], "tiles": c["tiles"], "shingles": [shingle_set(spaced_words(t), width).tobytes() for t in c["text"]]}
-
-    full = map_batches(texts, sets, "v long, root long, tiles int, shingles binary")
-    own = F.pmod(F.xxhash64("v", F.lit("tile")), F.col("tiles")).cast("int")
-    full = full.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    tiles = full.select(F.col("root").alias("comp"), F.least("own", "other").alias("ti"), F.greatest("own", "other").alias("tj"), "v", "shingles")
-    links = connected_components(_compare_exact(tiles, share, of))
+        return {k: c[k] for k in ("v", "root", "tiles", "n")} | {"shingles": [shingle_set(spaced_words(t), width).tobytes() for t in c["text"]]}
+
+    def full(members):
+        texts = docs.join(members, same_document("doc_id", "th", "rep_id", "rep_th")).select("v", "root", "tiles", "n", F.col("text").cast("binary").alias("text"))
+        return map_batches(texts, sets, "v long, root long, tiles int, n long, shingles binary")
+
+    own = _tile("tile", "tiles")
+    links = materialize(_compare_exact(full(members).select(F.col("root").alias("comp"), own.alias("ti"), own.alias("tj"), "v", "shingles"), share, of), "links")
+    several = sizes.where("tiles > 1").agg(F.sum("sets")).first()[0] or 0
+    if several:
+        large = members.where("tiles > 1")
+        large = F.broadcast(materialize(large, "large")) if several <= BROADCAST_ROWS else large
+        links = _link_across(materialize(full(large), "large-sets"), links, share, of)
+    links = connected_components(links)
 
     labelled = classes.select("v", "rep_id").join(links, "v", "left").select("v", "rep_id", F.coalesce("root", "v").alias("root"))
     labelled = materialize(labelled, "labelled")

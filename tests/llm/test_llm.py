@@ -220,6 +220,28 @@ def test_near_duplicates_match_brute_force(spark, monkeypatch, small):
         assert got == brute_components(docs, width, share, 100)
 
 
+def test_large_groups_join_by_their_parts(spark, monkeypatch):
+    """Groups of many tiles: one of near copies, and two that a covering joins but no link does."""
+    monkeypatch.setattr(near_dedup, "TILE", 8)
+    monkeypatch.setattr(near_dedup, "SMALL", 16)
+    rng = random.Random(8)
+    one, two = prose(rng, 200), prose(rng, 200)
+    far = two[:176] + prose(rng, 24, 90_000)
+    docs = {}
+    for base in [one] * 40 + [two] * 30 + [far] * 30:
+        w = list(base)
+        w[rng.randrange(150)] = f"e{len(docs)}"
+        docs[len(docs)] = " ".join(w)
+    rows = [(k, t, None, None, None) for k, t in docs.items()]
+    compared = []
+    real = near_dedup._compare_exact
+    monkeypatch.setattr(near_dedup, "_compare_exact", lambda tiles, share, of: compared.append(tiles.where("ti <> tj").count()) or real(tiles, share, of))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(frame(spark, rows)).collect()}
+    assert got == brute_components(docs, 5, 80, 100)
+    assert {c for _, c in got.values()} == {0, 40, 70}
+    assert sum(compared) < 100 * (100 // 8)  # near copies of one text do not meet in all tiles
+
+
 def test_components(spark):
     rng = random.Random(4)
     n = 300
