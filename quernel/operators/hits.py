@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quernel.functions import fixed
 from quernel.functions.text import file_stem, is_procedural, procedural_markers, relevance_percent, snippet
+from quernel.sources.scratch import held
 
 
 def with_parent_text(hits: DataFrame, parents: DataFrame) -> DataFrame:
@@ -29,12 +30,17 @@ def top_sources(hits: DataFrame, n: int = 3) -> DataFrame:
 
 
 def best_sections(chunks: DataFrame, sources: DataFrame, most: int = 400, told: str = fixed.PROCEDURAL_TEXT) -> DataFrame:
-    """The chunk of each source that speaks most of procedures, among its first ``most``."""
-    own = chunks.where("origin = 'equipment'").join(sources, "source_file")
-    early = own.withColumn("k", F.row_number().over(Window.partitionBy("question_id", "source_file").orderBy("chunk_order"))).where(F.col("k") <= most)
+    """The chunk of each question's sources that speaks most of procedures, among a source's first ``most``.
+
+    A source's best chunk is the same for every question, so it is found once and
+    joined to the questions last.  The sources are read twice and so written once.
+    """
+    sources = held(sources, "sources")
+    own = chunks.where("origin = 'equipment'").join(sources.select("source_file").distinct(), "source_file", "left_semi")
+    early = own.withColumn("k", F.row_number().over(Window.partitionBy("source_file").orderBy("chunk_order"))).where(F.col("k") <= most)
     marked = early.withColumn("n", procedural_markers(F.col("snippet"), told)).where("n > 0")
-    best = marked.withColumn("b", F.row_number().over(Window.partitionBy("question_id", "source_file").orderBy(F.desc("n"), "chunk_order"))).where("b = 1")
-    return best.withColumn("score", 0.02 * F.least("n", F.lit(6))).drop("k", "b", "n")
+    best = marked.withColumn("b", F.row_number().over(Window.partitionBy("source_file").orderBy(F.desc("n"), "chunk_order"))).where("b = 1")
+    return best.withColumn("score", 0.02 * F.least("n", F.lit(6))).drop("k", "b", "n").join(sources, "source_file")
 
 
 def combine_hits(*parts: DataFrame) -> DataFrame:

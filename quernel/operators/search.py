@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernel.functions.text import tokenize
+from quernel.sources.scratch import held
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
+FEW = 10_000  # collections whose sizes may be sent to every task
 
 
 def postings(chunks: DataFrame, text: str = "text") -> DataFrame:
@@ -27,13 +29,17 @@ def postings(chunks: DataFrame, text: str = "text") -> DataFrame:
 def corpus_stats(posts: DataFrame, chunks: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """``(terms, sizes)``: idf of each term and size of each collection.
 
-    A negative idf becomes a quarter of the collection's mean idf.
+    A negative idf becomes a quarter of the collection's mean idf.  The sizes, one
+    row for each collection, are written once and counted; up to ``FEW`` of them
+    are sent to every task, more are joined by shuffles.
     """
     sizes = chunks.select("origin", F.size(tokenize(F.col(text))).alias("n")).groupBy("origin").agg(F.count("*").alias("n_chunks"), F.avg("n").alias("avg_length"))
-    df = posts.groupBy("origin", "term").agg(F.count("*").alias("df")).join(F.broadcast(sizes), "origin")
+    sizes = held(sizes, "sizes")
+    few = F.broadcast if sizes.count() <= FEW else (lambda x: x)
+    df = posts.groupBy("origin", "term").agg(F.count("*").alias("df")).join(few(sizes), "origin")
     raw = df.withColumn("raw", F.log(F.col("n_chunks") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.groupBy("origin").agg(F.avg("raw").alias("mean"))
-    terms = raw.join(F.broadcast(mean), "origin").select("origin", "term", "df", F.when(F.col("raw") < 0, FLOOR * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+    terms = raw.join(few(mean), "origin").select("origin", "term", "df", F.when(F.col("raw") < 0, FLOOR * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
     return terms, sizes
 
 
@@ -44,7 +50,7 @@ def bm25_topk(questions: DataFrame, posts: DataFrame, terms: DataFrame, sizes: D
     """
     asked = questions.select("question_id", F.explode(tokenize(F.col("question"))).alias("term")).groupBy("question_id", "term").agg(F.count("*").alias("times"))
     weighted = asked.join(terms.select("origin", "term", "idf"), "term")
-    met = posts.join(weighted, ["origin", "term"]).join(F.broadcast(sizes), "origin")
+    met = posts.join(weighted, ["origin", "term"]).join(sizes, "origin")
     norm = F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_length"))
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / norm
     scores = met.groupBy("question_id", "origin", "chunk_id").agg(F.sum(part).alias("score")).where("score > 0")
@@ -76,10 +82,10 @@ def _search_block(rows: pd.DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     matrix = np.array([np.asarray(e, np.float64) for e in rows["embedding"]])
     if len(ids):
         matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-    held = chunks.sparkSession.sparkContext.broadcast((ids, matrix))
+    sent = chunks.sparkSession.sparkContext.broadcast((ids, matrix))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, m = held.value
+        ids, m = sent.value
         for pdf in batches:
             if not len(pdf) or not len(ids):
                 continue

@@ -34,7 +34,7 @@ def read_csv_cells(spark: SparkSession, path: str, width: int) -> DataFrame:
     raw = spark.read.option("multiLine", "true").schema(", ".join(f"{n} string" for n in names)).csv(path)
     cells = raw.select(F.col("_metadata.file_path").alias("file_id"), F.monotonically_increasing_id().alias("n"), F.array(*names).alias("cells"))
     first = cells.groupBy("file_id").agg(F.min("n").alias("first"))
-    return cells.join(F.broadcast(first), "file_id").select("file_id", (F.col("n") - F.col("first")).alias("row_idx"), "cells")
+    return cells.join(first, "file_id").select("file_id", (F.col("n") - F.col("first")).alias("row_idx"), "cells")
 
 
 def csv_rows_to_text(cells: DataFrame) -> DataFrame:
