@@ -1,8 +1,8 @@
 """Benchmark decontamination with one Aho-Corasick automaton.
 
-The windows of all benchmark items are patterns over normalised text.  Every
-document is normalised and scanned once; hits are kept as word ranges, which
-map back to offsets of the original text.
+The windows of all benchmark items are patterns over the numbers of normalised
+words.  Every document is normalised and scanned once; hits are kept as word
+ranges, which map back to offsets of the original text.
 """
 
 from __future__ import annotations
@@ -16,52 +16,51 @@ from pyspark.sql import functions as F
 from quernel.llm._shared import keyed, map_batches, plain_words
 
 WINDOW = 10
-BLOCK_BYTES = 32_000_000  # of benchmark text in one automaton
+BLOCK_BYTES = 2_000_000  # of benchmark text in one automaton, which takes about 90 bytes of memory for each
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
-def windows(words: list[bytes], width: int) -> set[bytes]:
+def windows(words: list, width: int) -> set[tuple]:
     if not words:
         return set()
     if len(words) < width:
-        return {b" ".join(words)}
-    return {b" ".join(words[k : k + width]) for k in range(len(words) - width + 1)}
-
-
-def build_automaton(items: list[tuple], width: int) -> ahocorasick.Automaton | None:
-    """The automaton of ``(item_id, text)`` rows; a value is (words, item ids)."""
-    patterns: dict[bytes, set] = {}
-    for item_id, text in items:
-        for w in windows(plain_words((text or "").encode("utf-8", "surrogatepass")), width):
-            patterns.setdefault(w, set()).update([] if item_id is None else [item_id])
-    if not patterns:
-        return None
-    automaton = ahocorasick.Automaton()
-    for w, ids in patterns.items():
-        automaton.add_word(f" {w.decode('utf-8', 'surrogatepass')} ", (w.count(b" ") + 1, tuple(ids)))
-    automaton.make_automaton()
-    return automaton
-
-
-def scan(words: list[bytes], automaton: ahocorasick.Automaton) -> tuple[list[list[int]], set]:
-    """Merged half-open word ranges that are hit, and the ids of the items met."""
-    line = f" {b' '.join(words).decode('utf-8', 'surrogatepass')} "
-    ranges: list[list[int]] = []
-    items: set = set()
-    at = number = 0
-    for end, (n, ids) in automaton.iter(line):
-        # The pattern's last space is at ``end``: so many words end before it.
-        number += line.count(" ", at, end)
-        at = end
-        last = number
-        items.update(ids)
-        if ranges and last - n <= ranges[-1][1]:
-            while len(ranges) > 1 and last - n <= ranges[-2][1]:
-                ranges.pop()
-            ranges[-1] = [min(ranges[-1][0], last - n), last]
-        else:
-            ranges.append([last - n, last])
-    return ranges, items
+        return {tuple(words)}
+    return {tuple(words[k : k + width]) for k in range(len(words) - width + 1)}
+
+
+class Matcher:
+    """The automaton of ``(item_id, text)`` rows; a pattern's value is (words, item ids)."""
+
+    def __init__(self, items: list[tuple], width: int):
+        self.numbers: dict[bytes, int] = {}  # of the words of items; others are 0
+        patterns: dict[tuple, set] = {}
+        for item_id, text in items:
+            words = plain_words((text or "").encode("utf-8", "surrogatepass"))
+            for w in windows([self.numbers.setdefault(x, len(self.numbers) + 1) for x in words], width):
+                patterns.setdefault(w, set()).update([] if item_id is None else [item_id])
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for w, ids in patterns.items():
+            self.automaton.add_word(w, (len(w), tuple(ids)))
+        self.automaton.make_automaton()
+
+    def hits(self, words: list[bytes]):
+        """``(last word, (words, item ids))`` of every occurrence, in order of the last word."""
+        if not self.numbers or not words:
+            return iter(())
+        number = self.numbers.get
+        return self.automaton.iter(tuple(number(w, 0) for w in words))
+
+    def scan(self, words: list[bytes]) -> tuple[list[list[int]], set]:
+        """Merged half-open word ranges that are hit, and the ids of the items met."""
+        ranges: list[list[int]] = []
+        items: set = set()
+        for end, (n, ids) in self.hits(words):
+            start, last = end + 1 - n, end + 1
+            items.update(ids)
+            while ranges and start <= ranges[-1][1]:
+                start = min(start, ranges.pop()[0])
+            ranges.append([start, last])
+        return ranges, items
 
 
 def offsets(text: str, ranges: list[list[int]]) -> list[tuple[int, int]]:
@@ -97,11 +96,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, bl
     """
     docs = keyed(docs)
     benchmark = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
-    blocks = _blocks(benchmark, block_bytes)
-    if len(blocks) > 1:
-        docs = docs.withColumn("row", F.monotonically_increasing_id())
     parts = []
-    for block in blocks:
+    for block in _blocks(benchmark, block_bytes):
         items = [tuple(r) for r in block.distinct().collect()]  # at most block_bytes, checked above
         parts.append(_scan_block(docs, items, width))
     if len(parts) == 1:
@@ -109,12 +105,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, bl
     merged = parts[0]
     for p in parts[1:]:
         merged = merged.unionByName(p)
-    merged = merged.groupBy("row").agg(
-        F.first("doc_id").alias("doc_id"), F.first("th").alias("th"), F.first("n_words").alias("n_words"),
-        F.array_sort(F.flatten(F.collect_list("ranges"))).alias("ranges"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"),
+    merged = merged.groupBy("doc_id", "th").agg(
+        F.first("n_words").alias("n_words"),
+        F.array_sort(F.flatten(F.collect_set("ranges"))).alias("ranges"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("spans")))).alias("spans"),
+        (F.count("*") / len(parts)).cast("int").alias("times"),
     )
+    merged = merged.withColumn("time", F.explode(F.sequence(F.lit(1), "times")))  # repeated rows
     return merged.select("doc_id", "th", "n_words", _hit("ranges").alias("n_hit"), "items", "spans")
 
 
@@ -132,15 +130,14 @@ def _hit(ranges: str):
 def _scan_block(docs: DataFrame, items: list[tuple], width: int) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(items)
     built: list = []
-    numbered = "row" in docs.columns
 
     def work(c):
         if not built:
-            built.append(build_automaton(held.value, width))
-        out = {k: c[k] for k in ("doc_id", "th", *["row"] * numbered)} | {"n_words": [], "ranges": [], "items": [], "spans": []}
+            built.append(Matcher(held.value, width))
+        out = {k: c[k] for k in ("doc_id", "th")} | {"n_words": [], "ranges": [], "items": [], "spans": []}
         for text in c["text"]:
             words = plain_words((text or "").encode("utf-8", "surrogatepass"))
-            ranges, met = scan(words, built[0]) if built[0] is not None and words else ([], set())
+            ranges, met = built[0].scan(words)
             out["n_words"].append(len(words))
             out["ranges"].append([{"a": a, "b": b} for a, b in ranges])
             out["items"].append(sorted(met))
@@ -148,7 +145,7 @@ def _scan_block(docs: DataFrame, items: list[tuple], width: int) -> DataFrame:
         return out
 
     schema = "doc_id long, th long, n_words long, ranges array<struct<a:int,b:int>>, items array<string>, spans array<struct<start:int,end:int>>"
-    return map_batches(docs, work, schema + ", row long" * numbered)
+    return map_batches(docs, work, schema)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
@@ -174,9 +171,8 @@ def _is_hit(held, width: int):
         import pandas as pd
 
         if not built:
-            built.append(build_automaton(held.value, width))
-        a = built[0]
-        return pd.Series([bool(t) and a is not None and next(a.iter(f" {b' '.join(plain_words(t.encode('utf-8', 'surrogatepass'))).decode('utf-8', 'surrogatepass')} "), None) is not None for t in text], dtype=bool)
+            built.append(Matcher(held.value, width))
+        return pd.Series([bool(t) and next(built[0].hits(plain_words(t.encode("utf-8", "surrogatepass"))), None) is not None for t in text], dtype=bool)
 
     return hit
 
