@@ -106,7 +106,14 @@ def measures(folded: bytes, automaton) -> tuple[float, float, float, int]:
         else:
             at[start] = max(w, at.get(start, 0.0))
     if spared:
-        at = {s: w for s, w in at.items() if not any(a <= s < b for a, b in spared)}
+        spared.sort()
+        reach = k = 0
+        for start in sorted(at):
+            while k < len(spared) and spared[k][0] <= start:
+                reach = max(reach, spared[k][1])
+                k += 1
+            if start < reach:
+                del at[start]
     if not at:
         return 0.0, 0.0, 0.0, 0
     total = sum(at.values())
