@@ -286,6 +286,22 @@ def test_repeats_go_and_the_first_stays(spark):
     assert sum(passage[:-1].lower() in (r["text"] or "").lower() for r in got.values()) == 1
 
 
+def test_repeats_of_short_pieces_go(spark):
+    rng = random.Random(15)
+    verse = "\n".join(" ".join(prose(rng, 4)) for _ in range(15))  # 60 words in short lines
+    talk = " ".join(" ".join(prose(rng, rng.choice([2, 3, 9]))) + "." for _ in range(20))
+    chinese = "\u6625\u7720\u4e0d\u899a\u6681\uff0c\u8655\u8655\u805e\u557c\u9ce5\u3002\u591c\u4f86\u98a8\u96e8\u8072\uff0c\u82b1\u843d\u77e5\u591a\u5c11\u3002"
+    refrain = "\n".join(["la"] * 20)
+    rows = {1: f"One.\n{verse}\nEnd.", 2: f"Two two.\n{verse}\nOther end.", 3: f"Three. {talk} Then.", 4: f"Four. {talk} Last.", 5: f"{chinese}\u7532\u4e59", 6: f"\u4e19\n{chinese}", 7: refrain, 8: "On its own\n----\nand short."}
+    got = {r["doc_id"]: r for r in substring_dedup.remove_repeats(frame(spark, [(k, t, "en", "s", 0) for k, t in rows.items()])).collect()}
+    assert {k: got[k]["text"] for k in (1, 3, 5, 8)} == {k: rows[k] for k in (1, 3, 5, 8)}
+    assert got[2]["text"] == "Two two.\nOther end." and got[4]["text"] == "Four. Last." and got[6]["text"] == "\u4e19\n"
+    assert got[7]["text"].split() == ["la"] * 8  # an overlap with the first occurrence is not a repeat
+    for r in got.values():
+        ends = [(s["start"], s["end"]) for s in r["removed_spans"]]
+        assert all(a[1] <= b[0] for a, b in zip(ends, ends[1:]))
+
+
 def test_folding_and_exceptions():
     lexicon = toxicity.Lexicon({" idiot": 5.0}, [" idiotype "], 0.0, (1.0, 1.0, 1.0))
     a = lexicon.automaton()
