@@ -2,7 +2,7 @@
 
 The lexicon is learned from labelled documents: word beginnings and whole words
 that are much commoner in toxic documents, with log odds as weights, and
-exceptions, which are longer words or phrases in which a match does not count.
+exceptions, which are words, pairs and triples in which a match does not count.
 A document's hits are summed, normalised by its length, and turned into a
 probability by a logistic curve.
 """
@@ -12,7 +12,9 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import partial
 
 import ahocorasick
 import numpy as np
@@ -120,22 +122,45 @@ def measures(folded: bytes, automaton) -> tuple[float, float, float, int]:
     return math.log1p(total), total / math.sqrt(folded.count(b" ")), max(at.values()), len(at)
 
 
-def _candidates(folded: bytes) -> set[str]:
+def _entries(word: str) -> list[str]:
+    return [*(f" {word[:n]}" for n in PREFIXES if n <= len(word)), f" {word} "] if len(word) >= 3 else []
+
+
+def _candidates(folded: bytes, of: set[str] | None = None, chosen=()) -> set[str]:
+    """Entries that the text holds; with ``of``, only those, and at words that no chosen entry matches."""
     found = set()
     for word in set(folded.decode("utf-8", "surrogatepass").split()):
-        if len(word) >= 3:
-            found.add(f" {word} ")
-            found.update(f" {word[:n]}" for n in PREFIXES if n <= len(word))
+        own = _entries(word)
+        if of is None:
+            found.update(own)
+        elif not any(e in chosen for e in own):
+            found.update(e for e in own if e in of)
     return found
 
 
-def _counts(sample: DataFrame) -> DataFrame:
-    """Documents of each class that contain each candidate."""
+def _around(folded: bytes, weights: dict[str, float]) -> set[str]:
+    """Words that an entry matches, and the pairs and triples that they stand in."""
+    words = folded.decode("utf-8", "surrogatepass").split()
+    known = {w: any(e in weights for e in _entries(w)) for w in set(words)}
+    found = set()
+    for i, w in enumerate(words):
+        if known[w]:
+            for n in (1, 2, 3):
+                found.update(f" {' '.join(words[k : k + n])} " for k in range(max(0, i - n + 1), min(i, len(words) - n) + 1))
+    return found
+
+
+def _folded(sample: DataFrame) -> DataFrame:
+    return map_batches(sample.select("y", "text"), lambda c: {"y": c["y"], "folded": [fold(t or "") for t in c["text"]]}, "y int, folded binary")
+
+
+def _counts(sample: DataFrame, held: Callable[[bytes], set[str]]) -> DataFrame:
+    """Documents of each class that contain each of what ``held`` finds."""
 
     def work(c):
         toxic, clean = Counter(), Counter()
-        for y, text in zip(c["y"], c["text"]):
-            (toxic if y else clean).update(_candidates(fold(text or "")))
+        for y, folded in zip(c["y"], c["folded"]):
+            (toxic if y else clean).update(held(folded))
         entries = list(toxic.keys() | clean.keys())
         return {"entry": entries, "toxic": [toxic[e] for e in entries], "clean": [clean[e] for e in entries]}
 
@@ -143,6 +168,28 @@ def _counts(sample: DataFrame) -> DataFrame:
     return parts.groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
+def choose(rows: list[tuple[str, int, int]], of_toxic: int, of_clean: int) -> tuple[dict[str, float], set[str]]:
+    """Weights of chosen entries, and beginnings of chosen entries that await their own counts.
+
+    An entry goes only if a chosen beginning is its prefix.  A beginning that
+    ranks below a longer entry is not judged by the documents of that entry.
+    """
+    weight = {e: _weight(t, c, of_toxic, of_clean) for e, t, c in rows}
+    chosen: dict[str, float] = {}
+    above: set[str] = set()
+    later = set()
+    for e, t, _ in sorted(rows, key=lambda r: (-weight[r[0]] * r[1], r[0].endswith(" "), -len(r[0]), r[0])):
+        begins = [e[: n + 1] for n in PREFIXES if n + 1 < len(e)]
+        if any(k in chosen for k in begins):
+            continue
+        if e in above:
+            later.add(e)
+        else:
+            chosen[e] = weight[e]
+            above.update(begins)
+    return chosen, later
+
+
 def _weight(toxic: int, clean: int, of_toxic: int, of_clean: int) -> float:
     return math.log((toxic + 0.5) / (of_toxic + 1)) - math.log((clean + 0.5) / (of_clean + 1))
 
@@ -172,26 +219,24 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, usable, per_class: int = P
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
     if not n1 or not n0:
         return Lexicon(bias=0.0 if n1 + n0 == 0 else (-20.0 if n0 else 20.0))
-    sample = sample.persist()
+    sample = _folded(sample).persist()
     seen = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
     of_toxic, of_clean = seen.get(1, 0), seen.get(0, 0)
     least = max(3, 0.005 * of_toxic)
-    often = _counts(sample).where((F.col("toxic") >= least) & ((F.col("toxic") + 0.5) * (of_clean + 1) >= 4.0 * (F.col("clean") + 0.5) * (of_toxic + 1)))
-    rows = often.orderBy(F.desc("toxic"), "entry").limit(20 * MOST_ENTRIES).collect()
-    ranked = sorted(rows, key=lambda r: (-_weight(r["toxic"], r["clean"], of_toxic, of_clean) * r["toxic"], -len(r["entry"]), r["entry"]))
+    evident = (F.col("toxic") >= least) & ((F.col("toxic") + 0.5) * (of_clean + 1) >= 4.0 * (F.col("clean") + 0.5) * (of_toxic + 1))
     weights: dict[str, float] = {}
-    for r in ranked:
-        e = r["entry"]
-        if len(weights) < MOST_ENTRIES and not any(e.startswith(k.rstrip()) or k.startswith(e.rstrip()) for k in weights):
-            weights[e] = _weight(r["toxic"], r["clean"], of_toxic, of_clean)
+    later: set[str] | None = None
+    while later is None or later:
+        counts = _counts(sample, partial(_candidates, of=later, chosen=set(weights)))
+        rows = counts.where(evident).orderBy(F.desc("toxic"), "entry").limit(20 * MOST_ENTRIES).collect()
+        more, later = choose([(r["entry"], r["toxic"], r["clean"]) for r in rows], of_toxic, of_clean)
+        weights |= dict(list(more.items())[: MOST_ENTRIES - len(weights)])
     lexicon = Lexicon(weights, [fold(p).decode("utf-8", "surrogatepass") for p in exceptions if fold(p)])
-    # Whole words under an entry that are no commoner in toxic documents are exceptions.
-    begins = [k for k in weights if not k.endswith(" ")]
-    if begins:
-        under = _counts(sample).where(F.col("entry").rlike("^ \\S+ $") & F.substring("entry", 1, 9).rlike("^(" + "|".join(map(re.escape, begins)) + ")"))
-        innocent = under.where((F.col("clean") >= 3) & (F.col("toxic") * of_clean <= F.col("clean") * of_toxic)).orderBy(F.desc("clean"), "entry").limit(20 * MOST_ENTRIES)
-        lexicon.exceptions += [r["entry"] for r in innocent.collect()]
-    held = _measure(sample.withColumn("th", F.lit(0).cast("long")), lexicon, ["y"])
+    # Words under an entry, and pairs and triples around a hit, that are no commoner in toxic documents are exceptions.
+    if weights:
+        innocent = _counts(sample, partial(_around, weights=weights)).where((F.col("clean") >= 3) & (F.col("toxic") * of_clean <= F.col("clean") * of_toxic))
+        lexicon.exceptions += [r["entry"] for r in innocent.orderBy(F.desc("clean"), "entry").limit(20 * MOST_ENTRIES).collect()]
+    held = _measure(sample.select(F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("th"), "y", F.col("folded").alias("text")), lexicon, ["y"], folded=True)
     got = held.select("y", "m0", "m1", "m2").collect()  # at most twice per_class rows
     sample.unpersist()
     x = np.array([[r["m0"], r["m1"], r["m2"]] for r in got])
@@ -202,13 +247,13 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, usable, per_class: int = P
     return lexicon
 
 
-def _measure(docs: DataFrame, lexicon: Lexicon, more: list[str]) -> DataFrame:
+def _measure(docs: DataFrame, lexicon: Lexicon, more: list[str], folded: bool = False) -> DataFrame:
     built: list = []
 
     def work(c):
         if not built:
             built.append(lexicon.automaton())
-        m = [measures(fold(t or ""), built[0]) for t in c["text"]]
+        m = [measures(t if folded else fold(t or ""), built[0]) for t in c["text"]]
         return {k: c[k] for k in ("doc_id", "th", *more)} | {f"m{i}": [x[i] for x in m] for i in range(4)}
 
     schema = "doc_id long, th long, " + "".join(f"{k} int, " for k in more) + "m0 double, m1 double, m2 double, m3 long"

@@ -350,6 +350,18 @@ def test_classifiers_without_labels(spark):
     assert quality.learn_quality(frame(spark, []), none, every).vectors.shape == (quality.ROWS, quality.SIZE)
 
 
+def test_lexicon_prefers_beginnings_and_learns_phrases(spark):
+    rng = random.Random(16)
+    docs = [(k, " ".join([*prose(rng, 30), *([] if k % 2 else ["zorka", "ass"]), *([rng.choice(["assho", "assha"])] if k % 6 == 0 else []), *(["never", "zorka", "mind"] if k % 20 == 1 else [])]), "en", "s", 1) for k in range(400)]
+    labels = spark.createDataFrame([(k, 1, 1 - k % 2) for k in range(400)], "doc_id long, quality int, toxic int")
+    lexicon = toxicity.learn_lexicon(frame(spark, docs), labels, F.lit(True))
+    assert {" zorka", " ass ", " assh"} <= set(lexicon.weights) and " zorka " not in lexicon.weights and " zork" not in lexicon.weights
+    hits = lambda t: toxicity.measures(toxicity.fold(t), lexicon.automaton())[3]
+    assert hits("those zorkas") == 1 and hits("never zorka mind") == 0 and hits("you zorka") == 1
+    chosen, later = toxicity.choose([(" abcde", 90, 0), (" abcd", 95, 20), (" abc ", 50, 0), (" abcde ", 90, 0)], 100, 100)
+    assert set(chosen) == {" abcde", " abc "} and later == {" abcd"}
+
+
 def test_contamination_matches_brute_force(spark):
     rng = random.Random(7)
     items = [(k, " ".join(prose(rng, n, 50))) for k, n in enumerate([25, 12, 10, 9, 3, 1, 0, 40])] + [(2, "w1 w2 w3"), (None, "w7 w7"), (11, None)]
