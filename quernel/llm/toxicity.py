@@ -25,7 +25,8 @@ from quernel.llm._shared import keyed, map_batches, plain_words
 from quernel.llm.labels import labelled_sample
 
 PER_CLASS = 6000  # labelled documents of each class from which the lexicon is learned
-MOST_ENTRIES = 400  # lexicon entries
+LEAST = 3  # toxic documents that hold an entry
+SURE = 15.1  # least log-likelihood ratio of an entry's counts: a chance of 1e-4
 PREFIXES = range(4, 9)  # lengths of word beginnings
 
 # Letters of other scripts that look like Latin ones.
@@ -168,6 +169,15 @@ def _counts(sample: DataFrame, held: Callable[[bytes], set[str]]) -> DataFrame:
     return parts.groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
+def _evident(of_toxic: int, of_clean: int):
+    """Entries that are at least four times as common in toxic documents, and not by chance."""
+    t, c = F.col("toxic"), F.col("clean")
+    by_chance = (t + c) / float(of_toxic + of_clean)
+    ratio = 2 * (t * F.log(t / (by_chance * of_toxic)) + F.when(c > 0, c * F.log(c / (by_chance * of_clean))).otherwise(0.0))
+    commoner = (t + 0.5) * (of_clean + 1) >= 4.0 * (c + 0.5) * (of_toxic + 1)
+    return F.when(t >= LEAST, commoner & (ratio >= SURE)).otherwise(False)
+
+
 def choose(rows: list[tuple[str, int, int]], of_toxic: int, of_clean: int) -> tuple[dict[str, float], set[str]]:
     """Weights of chosen entries, and beginnings of chosen entries that await their own counts.
 
@@ -222,20 +232,19 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, usable, per_class: int = P
     sample = _folded(sample).persist()
     seen = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
     of_toxic, of_clean = seen.get(1, 0), seen.get(0, 0)
-    least = max(3, 0.005 * of_toxic)
-    evident = (F.col("toxic") >= least) & ((F.col("toxic") + 0.5) * (of_clean + 1) >= 4.0 * (F.col("clean") + 0.5) * (of_toxic + 1))
+    evident = _evident(of_toxic, of_clean)
     weights: dict[str, float] = {}
     later: set[str] | None = None
     while later is None or later:
         counts = _counts(sample, partial(_candidates, of=later, chosen=set(weights)))
-        rows = counts.where(evident).orderBy(F.desc("toxic"), "entry").limit(20 * MOST_ENTRIES).collect()
+        rows = counts.where(evident).collect()  # as many as the labelled sample shows
         more, later = choose([(r["entry"], r["toxic"], r["clean"]) for r in rows], of_toxic, of_clean)
-        weights |= dict(list(more.items())[: MOST_ENTRIES - len(weights)])
+        weights |= more
     lexicon = Lexicon(weights, [fold(p).decode("utf-8", "surrogatepass") for p in exceptions if fold(p)])
     # Words under an entry, and pairs and triples around a hit, that are no commoner in toxic documents are exceptions.
     if weights:
         innocent = _counts(sample, partial(_around, weights=weights)).where((F.col("clean") >= 3) & (F.col("toxic") * of_clean <= F.col("clean") * of_toxic))
-        lexicon.exceptions += [r["entry"] for r in innocent.orderBy(F.desc("clean"), "entry").limit(20 * MOST_ENTRIES).collect()]
+        lexicon.exceptions += sorted(r["entry"] for r in innocent.select("entry").collect())
     held = _measure(sample.select(F.lit(None).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("th"), "y", F.col("folded").alias("text")), lexicon, ["y"], folded=True)
     got = held.select("y", "m0", "m1", "m2").collect()  # at most twice per_class rows
     sample.unpersist()

@@ -362,6 +362,15 @@ def test_lexicon_prefers_beginnings_and_learns_phrases(spark):
     assert set(chosen) == {" abcde", " abc "} and later == {" abcd"}
 
 
+def test_lexicon_keeps_every_significant_entry(spark):
+    rng = random.Random(17)
+    bad = [f"{chr(97 + k // 26)}{chr(97 + k % 26)}q" for k in range(600)]
+    docs = [(k, " ".join([*prose(rng, 10), *([] if k % 2 else bad[k // 2 % 50 * 12 :][:12])]), "en", "s", 1) for k in range(1500)]
+    labels = spark.createDataFrame([(k, 1, 1 - k % 2) for k in range(1500)], "doc_id long, quality int, toxic int")
+    lexicon = toxicity.learn_lexicon(frame(spark, docs), labels, F.lit(True))
+    assert {f" {w} " for w in bad} <= set(lexicon.weights) and not any(e.startswith(" w") and e[2].isdigit() for e in lexicon.weights)
+
+
 def test_contamination_matches_brute_force(spark):
     rng = random.Random(7)
     items = [(k, " ".join(prose(rng, n, 50))) for k, n in enumerate([25, 12, 10, 9, 3, 1, 0, 40])] + [(2, "w1 w2 w3"), (None, "w7 w7"), (11, None)]
