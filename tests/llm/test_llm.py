@@ -447,6 +447,30 @@ def test_next_document(spark):
     assert len(alone) == 1 and alone[0]["near_next"] == 1.0
 
 
+def test_likeness_counts_all_anchors_in_order(spark):
+    def brute(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = row[:]
+            for j, y in enumerate(b):
+                row[j + 1] = last[j] + 1 if x == y else max(last[j + 1], row[j])
+        return row[-1]
+
+    rng = np.random.default_rng(18)
+    for n, m, values in [(40, 30, 3), (300, 200, 2), (60, 80, 50), (400, 500, 1), (1, 5, 2)] * 4:
+        a, b = rng.integers(0, values, n).astype(np.uint64), rng.integers(0, values, m).astype(np.uint64)
+        assert fingerprint.in_order(a, b) == fingerprint.in_order(b, a) == brute(a.tolist(), b.tolist())
+    words = random.Random(18)
+    shared = " ".join(prose(words, 30))
+    one, two = (" ".join(prose(words, 3000, 100_000)) for _ in range(2))
+    rows = [(1, f"{one} {shared}", None, None, None), (2, f"{shared} {two}", None, None, None)]
+    got = {r["doc_id"]: r for r in fingerprint.compare_with_next(frame(spark, rows)).collect()}
+    a, b = (fingerprint.syncmers(r[1])[1] for r in rows)
+    common = len(set(a.tolist()) & set(b.tolist()))
+    assert common and got[1]["near_next"] == got[2]["near_next"] == pytest.approx(2 * common / (len(a) + len(b)))
+    assert fingerprint.likeness(fingerprint.sketch(rows[0][1]), fingerprint.sketch(rows[1][1])) != got[1]["near_next"]
+
+
 def test_pipeline_on_small_tables(spark, tmp_path):
     import corpus_pipeline
 
