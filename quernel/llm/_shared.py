@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 _OWN_DIR: dict[str, str] = {}
+_BUILT: dict[str, object] = {}  # of a worker: what tasks of one job share
 
 #: ASCII bytes that are not 0-9, A-Z, a-z become spaces; A-Z become a-z; bytes from 0x80 stay.
 WORD_TABLE = bytes(
@@ -26,12 +27,16 @@ WORD_TABLE = bytes(
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can read and write: ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (local tests) a temporary folder is used.
+    Only on a local master (tests) may that setting be absent; a temporary folder is used then.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    return _OWN_DIR.setdefault("dir", tempfile.mkdtemp(prefix="spark-"))
+    if not spark.conf.get("spark.master", "").startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if "dir" not in _OWN_DIR:
+        _OWN_DIR["dir"] = tempfile.mkdtemp(prefix="spark-")
+    return _OWN_DIR["dir"]
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -43,7 +48,43 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes tables of ``materialize`` that nothing reads any more; others are left alone."""
+    for df in tables:
+        path = getattr(df, "written_to", None) if df is not None else None
+        if path:
+            context = df.sparkSession.sparkContext
+            target = context._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names for added columns that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
+def built_once(key: str, make: Callable[[], object]) -> object:
+    """``make()``, called once in each worker process for a key; a few of the newest are kept."""
+    if key not in _BUILT:
+        while len(_BUILT) >= 3:
+            del _BUILT[next(iter(_BUILT))]
+        _BUILT[key] = make()
+    return _BUILT[key]
+
+
+def new_key() -> str:
+    return uuid.uuid4().hex
 
 
 def plain_words(data: bytes) -> list[bytes]:
@@ -130,19 +171,25 @@ def connected_components(edges: DataFrame) -> DataFrame:
             joined = parents.join(above, parents.root == above.u, "left")
             if joined.where("up is not null").isEmpty():
                 break
-            parents = materialize(joined.select("v", F.coalesce("up", "root").alias("root")), "parents")
+            flatter = materialize(joined.select("v", F.coalesce("up", "root").alias("root")), "parents")
+            discard(parents)
+            parents = flatter
         of_a = parents.select(F.col("v").alias("a"), F.col("root").alias("ra"))
         of_b = parents.select(F.col("v").alias("b"), F.col("root").alias("rb"))
         both = edges.join(of_a, "a", "left").join(of_b, "b", "left")
         both = both.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).where("a <> b")
         both = both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        edges = materialize(both, "edges")
+        fewer = materialize(both, "edges")
+        discard(edges)
+        edges = fewer
         if labels is None:
             labels = parents
         else:
             newer = parents.select(F.col("v").alias("u"), F.col("root").alias("up"))
             moved = labels.join(newer, labels.root == newer.u, "left").select("v", F.coalesce("up", "root").alias("root"))
-            labels = materialize(moved.unionByName(parents), "labels")
+            longer = materialize(moved.unionByName(parents), "labels")
+            discard(labels, parents)
+            labels = longer
     if labels is None:
         labels = edges.select(F.col("a").alias("v"), F.col("b").alias("root"))
     return labels

@@ -16,7 +16,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable, per_
 
     Returns ``(doc_id, y, text)`` rows and the number of usable labels of each
     class.  Only ids are ranked; texts follow by a join with the bounded list.
-    A document with several labels counts as 1 if any of them is.
+    A document with several labels counts as 1 if any of them is; of rows that
+    share an id the text of least hash is taken, so that an id is one document.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
     known = known.where(usable).groupBy("doc_id").agg(F.max("y").alias("y"))
@@ -26,4 +27,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable, per_
         part = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id", F.lit("sample")), "doc_id").limit(per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text"), totals
+    met = texts.join(F.broadcast(chosen), "doc_id")  # twice per_class ids at most
+    one = F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")
+    return met.groupBy("doc_id", "y").agg(one).select("doc_id", "y", "text"), totals
