@@ -1,11 +1,11 @@
 """URL rules by a Bloom filter cascade.
 
-A rule is a host and a path beginning.  A url's candidate keys are its host and
-parent domains, each with the path beginnings that rules can have.  The first
-filter of a cascade encodes the listed keys; the second the keys of the corpus
-that pass the first without being listed; the third the listed keys that pass
-the second; and so on until nothing passes wrongly.  Over the keys it was built
-for, membership is exact and needs no join.
+A rule is a host and a path beginning.  A url's candidate keys are the ends of
+its host of as many labels as listed keys have, each with the path beginning of
+a listed key's length.  The first filter of a cascade encodes the listed keys;
+the second the keys of the corpus that pass the first without being listed; the
+third the listed keys that pass the second; and so on until nothing passes
+wrongly.  Over the keys it was built for, membership is exact and needs no join.
 """
 
 from __future__ import annotations
@@ -20,8 +20,7 @@ from pyspark.sql import functions as F
 
 from quernel.llm._shared import materialize
 
-MOST_LABELS = 128  # parents of a host that are looked at; DNS allows no more
-MOST_BYTES = 256_000_000  # of a cascade, which is sent to every worker
+MOST_BYTES = 256_000_000  # of all cascades, which are sent to every worker
 
 
 def with_host_path(pages: DataFrame, url: str = "url") -> DataFrame:
@@ -34,19 +33,25 @@ def with_host_path(pages: DataFrame, url: str = "url") -> DataFrame:
     return pages.withColumns({"host": lower, "path": path})
 
 
-def candidate_keys(lengths: list[int]):
-    """Array of the keys ``host + path beginning`` of a row, longest first."""
-    parts = F.split("host", r"\.")
-    n = F.size(parts)
-    hosts = F.transform(F.sequence(F.lit(0), F.least(n, F.lit(MOST_LABELS)) - 1), lambda i: F.array_join(F.slice(parts, i + 1, n - i), "."))
+def shape_of(key: str) -> tuple[int, int]:
+    """Labels of a key's host, and characters of its path beginning."""
+    host, slash, _ = key.partition("/")
+    if not host or not slash:
+        raise ValueError(f"a key is a host, a slash and perhaps more path, not {key!r}")
+    return host.count(".") + 1, len(key) - len(host)
 
-    def with_beginning(k: int):
-        return F.when(F.length("path") >= k, F.transform(hosts, lambda h: F.concat(h, F.substring("path", 1, k))))
 
-    made = [with_beginning(k) for k in lengths]
-    keys = F.flatten(F.array(*(F.coalesce(m, F.array().cast("array<string>")) for m in made)))
-    longest = F.transform(F.array_distinct(keys), lambda x: F.struct((-F.length(x)).alias("l"), x.alias("key")))
-    return F.when(F.col("host") == "", F.array().cast("array<string>")).otherwise(F.transform(F.array_sort(longest), lambda x: x["key"]))
+def candidate_keys(shapes: list[tuple[int, int]]):
+    """Array of a row's keys of the given shapes, longest first, ties in order of the alphabet.
+
+    Labels are counted from the end of the host, so that a host of any length has
+    all keys that can be listed.
+    """
+    labels = F.size(F.split("host", r"\."))
+    made = [F.when((labels >= n) & (F.length("path") >= k), F.concat(F.substring_index("host", ".", -n), F.substring("path", 1, k))) for n, k in shapes]
+    keys = F.array_distinct(F.array_compact(F.array(*made))) if made else F.array().cast("array<string>")
+    ranked = F.array_sort(F.transform(keys, lambda x: F.struct((-F.length(x)).alias("l"), x.alias("key"))))
+    return F.when(F.col("host") == "", F.array().cast("array<string>")).otherwise(F.transform(ranked, lambda x: x["key"]))
 
 
 def _places(keys: list[str], level: int, bits: int, hashes: int) -> np.ndarray:
@@ -97,64 +102,72 @@ class Cascade:
         return out
 
 
-def build_cascade(universe: DataFrame, listed: list[str]) -> Cascade:
-    """A cascade for ``listed`` over the distinct keys ``universe(key)``.
+def build_cascades(universe: DataFrame, lists: dict[str, list[str]]) -> dict[str, Cascade]:
+    """A cascade for each list over the distinct keys ``universe(key)``, which are read once for all lists.
 
     The first level's rate is so low that about as many foreign keys pass as are
-    listed, so that the cascade's size follows the list and the logarithm of the
+    listed, so that a cascade's size follows the list and the logarithm of the
     universe; the keys that pass are few, and only they are looked at again.
     """
-    listed = sorted(set(listed))
-    if not listed:
-        return Cascade([])
-    others = universe.where(~F.col("key").isin(listed)) if len(listed) <= 1000 else universe
-    n = others.count()
-    rate = min(0.5, len(listed) * math.sqrt(0.5) / max(1, n))
-    levels = [Bloom.of(listed, rate, 0)]
-    held = universe.sparkSession.sparkContext.broadcast(levels[0])
-
-    @F.pandas_udf("boolean")
+    listed = {name: sorted(set(keys)) for name, keys in lists.items()}
+    named = [name for name, keys in listed.items() if keys]
+    n = max(1, universe.count())
+    first = [Bloom.of(listed[name], min(0.5, len(listed[name]) * math.sqrt(0.5) / n), 0) for name in named]
+    held = universe.sparkSession.sparkContext.broadcast(first)
+
+    @F.pandas_udf("array<boolean>")
     def passes(keys):
         import pandas as pd
 
-        return pd.Series(held.value.passes(keys.tolist()), dtype=bool)
+        values = keys.tolist()
+        return pd.Series(list(np.array([level.passes(values) for level in held.value]).reshape(len(held.value), len(values)).T), dtype=object)
+
+    wrong: dict[str, set[str]] = {name: set() for name in named}
+    if named:
+        marked = universe.select("key", passes.asNondeterministic()("key").alias("passed"))
+        # Expected to be fewer than the lists, by the rates above; the lists themselves are on the driver.
+        for r in marked.where(F.exists("passed", lambda p: p)).toLocalIterator():
+            for name, p in zip(named, r["passed"]):
+                if p:
+                    wrong[name].add(r["key"])
+    out = {name: Cascade([]) for name in listed}
+    for name, level in zip(named, first):
+        levels, inside, outside = [level], listed[name], sorted(wrong[name] - set(listed[name]))
+        while outside:
+            level = Bloom.of(outside, 0.5, len(levels))
+            levels.append(level)
+            inside, outside = outside, [k for k, p in zip(inside, level.passes(inside)) if p]
+        out[name] = Cascade(levels)
+    if sum(x.table.nbytes for c in out.values() for x in c.levels) > MOST_BYTES:
+        raise ValueError(f"cascades of more than {MOST_BYTES} bytes are not sent to workers; split the lists by host")
+    return out
+
 
-    # Expected to be fewer than the list, by the rate above; the list itself is on the driver.
-    wrong = sorted({r["key"] for r in others.where(passes("key")).toLocalIterator()} - set(listed))
-    inside, outside = listed, wrong
-    while outside:
-        level = Bloom.of(outside, 0.5, len(levels))
-        levels.append(level)
-        inside, outside = outside, [k for k, p in zip(inside, level.passes(inside)) if p]
-    if sum(x.table.nbytes for x in levels) > MOST_BYTES:
-        raise ValueError(f"a cascade of more than {MOST_BYTES} bytes is not sent to workers; split the list by host")
-    return Cascade(levels)
+def build_cascade(universe: DataFrame, listed: list[str]) -> Cascade:
+    """The cascade of one list."""
+    return build_cascades(universe, {"listed": listed})["listed"]
 
 
 def judge_urls(pages: DataFrame, rules: dict[str, str], otherwise: str = "allow", blocked: tuple[str, ...] = ()) -> DataFrame:
     """Every row of ``pages(page_id, url, ...)`` with ``host``, ``path``, ``rule`` and ``verdict``.
 
     ``rules`` maps keys such as ``example.com/en/`` to ``allow`` or ``block``; a key
-    is a host, a slash and perhaps more path.  The longest key that fits wins.
-    Where none fits, ``blocked`` keys block, and the rest get ``otherwise``; their
-    ``rule`` is null.
+    is a host, a slash and perhaps more path.  The longest key that fits wins, of
+    two of equal length the first in order of the alphabet.  Where none fits,
+    ``blocked`` keys block, and the rest get ``otherwise``; their ``rule`` is null.
 
     * A null url, or one without ``://``, has an empty host and path and fits none.
+    * Hosts of any number of labels and urls of any length are judged whole.
     * A repeated row gets a row each; an empty table gives none.
     * Columns named like the added ones are replaced; only ``page_id`` and ``url``
       are read.
     """
     spark = pages.sparkSession
-    lengths = sorted({len(k) - k.index("/") for k in [*rules, *blocked]})
     parsed = with_host_path(pages.select("page_id", "url"))
-    keys = candidate_keys(lengths)
+    keys = candidate_keys(sorted({shape_of(k) for k in [*rules, *blocked]}))
     universe = materialize(parsed.select(F.explode(keys).alias("key")).distinct(), "url-keys")
-    cascades = {
-        "allow": build_cascade(universe, [k for k, v in rules.items() if v == "allow"]),
-        "block": build_cascade(universe, [k for k, v in rules.items() if v == "block"]),
-        "blocked": build_cascade(universe, list(blocked)),
-    }
-    held = spark.sparkContext.broadcast(cascades)
+    lists = {verdict: [k for k, v in rules.items() if v == verdict] for verdict in ("allow", "block")}
+    held = spark.sparkContext.broadcast(build_cascades(universe, lists | {"blocked": list(blocked)}))
 
     @F.pandas_udf("struct<rule:string,verdict:string>")
     def judged(keys):
