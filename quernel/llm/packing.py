@@ -1,16 +1,19 @@
 """Best-fit packing into sequences of several permitted lengths.
 
 Each task packs the documents it holds, in blocks, so that nothing is shuffled
-and a lost task is packed again by itself.  A block is packed once for every
-permitted length as the largest bin to open: items go, longest first, to the
-fullest bin that still has room; where none has, the bin of least cost per token
-that the item fits is opened.  Bins are then downsized to the least permitted
-length that holds their contents, and the packing of least total cost stays.
+and a lost task is packed again by itself.  Items go, longest first, to the
+fullest bin that still has room.  Where none has, a bin is opened of the length
+that will cost least per token after downsizing, judged by what is left to pack;
+so lengths are mixed as the items need.  A block is packed that way and once for
+every permitted length as the only one to open; bins are downsized to the least
+permitted length that holds their contents, and the packing of least total cost
+stays.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,42 +32,88 @@ def cost(capacity: int, per_sequence: float = PER_SEQUENCE) -> float:
     return capacity + per_sequence
 
 
+class Remaining:
+    """Sizes that are still to be packed, which go longest first."""
+
+    def __init__(self, sizes: list[int]):
+        count = Counter(sizes)
+        self.sizes = sorted(count)
+        self.counts = [count[s] for s in self.sizes]
+
+    def take(self, size: int) -> None:
+        at = bisect_left(self.sizes, size)
+        self.counts[at] -= 1
+        while self.counts and not self.counts[-1]:
+            self.sizes.pop()
+            self.counts.pop()
+
+    def filling(self, room: int) -> int:
+        """Tokens that the longest items that still fit would bring into ``room``, one after another."""
+        filled, upto = 0, len(self.sizes)
+        while upto:
+            upto = bisect_right(self.sizes, room - filled, 0, upto)
+            if upto:
+                upto -= 1
+                filled += self.sizes[upto] * min(self.counts[upto], (room - filled) // self.sizes[upto])
+        return filled
+
+
+def _packed(sizes: list[int], order: list[int], lengths: tuple[int, ...], only: int | None, per_sequence: float) -> tuple[list[int], list[int]]:
+    """The bin of each item and the tokens of each bin; ``only`` opens one length, else what is left decides."""
+    open_at: list[int] = []  # distinct free room of open bins, ascending
+    bins_with: dict[int, list[int]] = {}
+    used: list[int] = []
+    where = [0] * len(sizes)
+    left = Remaining(sizes) if only is None else None
+    for k in order:
+        size = sizes[k]
+        if left:
+            left.take(size)
+        p = bisect_left(open_at, size)
+        if p < len(open_at):
+            room = open_at[p]
+            b = bins_with[room].pop()
+            if not bins_with[room]:
+                del bins_with[room]
+                open_at.pop(p)
+        else:
+            fits = [c for c in lengths if c >= size]
+            if left is None:
+                room = max(only, fits[0])
+            else:
+                tokens = {c: size + left.filling(c - size) for c in fits}
+                room = min(fits, key=lambda c: (cost(smallest(lengths, tokens[c]), per_sequence) / tokens[c], c))
+            b = len(used)
+            used.append(0)
+        where[k] = b
+        used[b] += size
+        room -= size
+        if room:
+            if room not in bins_with:
+                insort(open_at, room)
+                bins_with[room] = []
+            bins_with[room].append(b)
+    return where, used
+
+
+def smallest(lengths: tuple[int, ...], tokens: int) -> int:
+    return lengths[bisect_left(lengths, tokens)]
+
+
 def best_fit(sizes: list[int], lengths: tuple[int, ...], per_sequence: float = PER_SEQUENCE) -> tuple[list[int], list[int]]:
-    """The bin of each item, and the permitted length of each bin, by least total cost."""
+    """The bin of each item, and the permitted length of each bin, by least total cost.
+
+    ``sizes`` are from 1 to the longest of ``lengths``, which ascend.
+    """
     order = sorted(range(len(sizes)), key=lambda k: -sizes[k])
     best = None
-    for most in lengths:
-        open_at: list[int] = []  # distinct free room of open bins, ascending
-        bins_with: dict[int, list[int]] = {}
-        used: list[int] = []
-        where = [0] * len(sizes)
-        for k in order:
-            size = sizes[k]
-            p = bisect_left(open_at, size)
-            if p < len(open_at):
-                room = open_at[p]
-                b = bins_with[room].pop()
-                if not bins_with[room]:
-                    del bins_with[room]
-                    open_at.pop(p)
-            else:
-                fits = [c for c in lengths if c >= size and (c <= most or size > most)]
-                room = min(fits, key=lambda c: (cost(c, per_sequence) / c, c)) if size <= most else min(fits)
-                b = len(used)
-                used.append(0)
-            where[k] = b
-            used[b] += size
-            room -= size
-            if room:
-                if room not in bins_with:
-                    insort(open_at, room)
-                    bins_with[room] = []
-                bins_with[room].append(b)
-        small = [min(c for c in lengths if c >= u) for u in used]
+    for only in (None, *lengths):
+        where, used = _packed(sizes, order, lengths, only, per_sequence)
+        small = [smallest(lengths, u) for u in used]
         total = sum(cost(c, per_sequence) for c in small)
         if best is None or total < best[0]:
             best = total, where, small
-    return (best[1], best[2]) if best else ([], [])
+    return best[1], best[2]
 
 
 def cut_pieces(n_tokens: int, most: int) -> list[tuple[int, int]]:
