@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernel.llm._shared import materialize
+from quernel.llm._shared import materialize, unused
 
 _SIGNS = r"^((?:[ \t]?>)+)"
 _RUN, _LEVEL = "\x01", "\x02"
@@ -21,24 +21,28 @@ _RUN, _LEVEL = "\x01", "\x02"
 def with_passages(messages: DataFrame) -> DataFrame:
     """Adds ``own`` (the text without quotes) and ``passages``, an array of ``(level, text)``.
 
-    The control characters U+0001 and U+0002 are dropped from texts.
+    The control characters U+0001 and U+0002 are dropped from texts.  A text
+    without a sign of quotation is not cut into lines.
     """
     clean = F.regexp_replace(F.translate(F.coalesce("text", F.lit("")), _RUN + _LEVEL, ""), r"\r\n", "\n")
-    lines = messages.withColumn("__lines", F.split(clean, "\n"))
+    clean_name, lines_name, levels_name, all_name = unused(messages, "clean", "lines", "levels", "all")
+    signed = messages.withColumn(clean_name, clean)
+    lines = signed.withColumn(lines_name, F.when(F.contains(clean_name, F.lit(">")), F.split(clean_name, "\n")))
     level = lambda x: F.length(F.translate(F.regexp_extract(x, _SIGNS, 1), " \t", ""))
-    lines = lines.withColumn("__levels", F.transform("__lines", level))
+    lines = lines.withColumn(levels_name, F.transform(lines_name, level))
 
     def mark(x, i):
         inner = F.regexp_replace(x, _SIGNS + r"[ \t]?", "")
-        same = (i > 0) & (F.element_at("__levels", F.greatest(i, F.lit(1))) == F.element_at("__levels", i + 1))
-        return F.when(same, F.concat(F.lit("\n"), inner)).otherwise(F.concat(F.lit(_RUN), F.element_at("__levels", i + 1).cast("string"), F.lit(_LEVEL), inner))
+        same = (i > 0) & (F.element_at(levels_name, F.greatest(i, F.lit(1))) == F.element_at(levels_name, i + 1))
+        return F.when(same, F.concat(F.lit("\n"), inner)).otherwise(F.concat(F.lit(_RUN), F.element_at(levels_name, i + 1).cast("string"), F.lit(_LEVEL), inner))
 
-    runs = F.slice(F.split(F.array_join(F.transform("__lines", mark), ""), _RUN), 2, 2**30)
+    runs = F.slice(F.split(F.array_join(F.transform(lines_name, mark), ""), _RUN), 2, 2**30)
     passages = F.transform(runs, lambda r: F.struct(F.substring_index(r, _LEVEL, 1).cast("int").alias("level"), F.substring_index(r, _LEVEL, -1).alias("text")))
-    out = lines.withColumn("__all", passages)
-    own = F.array_join(F.transform(F.filter("__all", lambda p: p["level"] == 0), lambda p: p["text"]), "\n")
-    out = out.withColumn("own", own).withColumn("passages", F.filter("__all", lambda p: p["level"] > 0))
-    return out.drop("__lines", "__levels", "__all")
+    out = lines.withColumn(all_name, passages)
+    own = F.array_join(F.transform(F.filter(all_name, lambda p: p["level"] == 0), lambda p: p["text"]), "\n")
+    none = F.array().cast("array<struct<level:int,text:string>>")
+    out = out.withColumn("own", F.coalesce(own, clean_name)).withColumn("passages", F.coalesce(F.filter(all_name, lambda p: p["level"] > 0), none))
+    return out.drop(clean_name, lines_name, levels_name, all_name)
 
 
 def sentences(text):
@@ -47,17 +51,24 @@ def sentences(text):
     return F.filter(F.split(F.regexp_replace(flat, r"([.!?]) ", "$1\x01"), _RUN), lambda s: s != "")
 
 
+def hashed_sentences(messages: DataFrame) -> DataFrame:
+    """``conv_id, turn, level, h``: the distinct sentences of every message by level, 0 for its own."""
+    parsed = with_passages(messages)
+    own = F.struct(F.lit(0).alias("level"), F.col("own").alias("text"))
+    parts = F.concat(F.array(own), F.col("passages"))
+    hashed = F.flatten(F.transform(parts, lambda p: F.transform(sentences(p["text"]), lambda s: F.struct(p["level"].alias("level"), F.xxhash64(s).alias("h")))))
+    return parsed.select("conv_id", "turn", F.explode(F.array_distinct(hashed)).alias("s")).select("conv_id", "turn", "s.level", "s.h")
+
+
 def link_quotes(messages: DataFrame) -> DataFrame:
     """``conv_id, turn, level, origin, n``: earlier messages whose sentences a message quotes.
 
-    A sentence belongs to the message that has it first in the conversation.
+    A sentence belongs to the message that has it first in the conversation.  Texts
+    are parsed once; their hashes are written and read for both sides of the join.
     """
-    parsed = with_passages(messages)
-    quoted = parsed.select("conv_id", "turn", F.explode("passages").alias("p"))
-    quoted = quoted.select("conv_id", "turn", "p.level", F.explode(F.array_distinct(sentences(F.col("p.text")))).alias("s"))
-    quoted = quoted.select("conv_id", "turn", "level", F.xxhash64("s").alias("h")).distinct()
-    written = parsed.select("conv_id", "turn", F.explode(F.array_distinct(sentences(F.col("own")))).alias("s"))
-    written = written.groupBy("conv_id", F.xxhash64("s").alias("h")).agg(F.min("turn").alias("origin"))
+    hashed = materialize(hashed_sentences(messages), "sentences")
+    quoted = hashed.where("level > 0").distinct()
+    written = hashed.where("level = 0").groupBy("conv_id", "h").agg(F.min("turn").alias("origin"))
     met = quoted.join(written, ["conv_id", "h"]).where("origin < turn")
     return met.groupBy("conv_id", "turn", "level", "origin").agg(F.count("*").alias("n"))
 
@@ -96,6 +107,7 @@ def reply_threads(messages: DataFrame) -> DataFrame:
     parsed = with_passages(messages).select("conv_id", "turn", "role", F.col("own").alias("text"), F.size("passages").cast("long").alias("n_quoted"))
     out = parsed.join(answers, ["conv_id", "turn"], "left").join(roots, ["conv_id", "turn"], "left")
     out = out.withColumn("thread", F.coalesce("thread", "turn")).withColumn("n_linked", F.coalesce("n_linked", F.lit(0)))
+    # The closing sort is the order of replies; it deals ranges, so that a long conversation is split.
+    out = out.select("conv_id", "turn", "role", "text", "reply_to", "thread", "n_quoted", "n_linked").orderBy("conv_id", "thread", "turn")
     shown = F.concat(F.lit("<|"), F.coalesce("role", F.lit("unknown")), F.lit("|>\n"), "text", F.lit("\n<|end|>\n"))
-    out = out.select("conv_id", "turn", "role", "text", "reply_to", "thread", "n_quoted", "n_linked", shown.alias("formatted"))
-    return out.orderBy("conv_id", "thread", "turn")
+    return out.withColumn("formatted", shown)
