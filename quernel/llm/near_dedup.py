@@ -6,8 +6,12 @@ sets go to the child of their token there.  Small nodes are compared
 exhaustively on the tokens, large ones branch again, and what is still large at
 the last level holds sets that agree on every chosen token and is linked whole.
 The number of trees follows from the wanted recall.  The links found this way
-are only a covering: each component of them is compared again on full sets, in
-tiles, and only pairs that reach the threshold exactly are links.
+are only a covering, in whose components only pairs that reach the threshold
+exactly on full sets are links.  A component of one tile is compared whole.  A
+larger one is compared within its tiles, then with a few central sets of all its
+tiles; what hangs together by then is a part, and only tiles of different parts
+are compared after that, so that a large group of near copies costs about as
+many comparisons as it has sets.
 """
 
 from __future__ import annotations
@@ -18,10 +22,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quernel.llm._shared import Forest, connected_components, hashes, keyed, map_batches, materialize, same_document, spaced_words
+from quernel.llm._shared import Forest, connected_components, discard, hashes, keyed, map_batches, materialize, same_document, spaced_words, unused
 
 TOKENS = 128  # minwise tokens of a set
 SMALL = 256  # largest node that is compared exhaustively
@@ -29,6 +33,7 @@ CHILDREN = 2  # coordinates by which a large node branches
 LEVELS = 2  # branchings below the root
 TILE = 128  # sets in a tile of the exact comparison
 TILE_SHINGLES = 200_000  # shingles in a tile, about
+CENTRAL = 48  # central sets with which all tiles of a component are compared
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _RNG = np.random.default_rng(20240607)
@@ -109,14 +114,18 @@ def _branch(rows: DataFrame, root: bool, trees: int) -> DataFrame:
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
-    """Rows of sorted batches, one list for each run of equal first ``keys`` columns."""
+    """Rows of sorted batches, one list for each run of equal first ``keys`` columns.
+
+    Of rows that are equal in the next column too one is held.
+    """
     held: list[tuple] = []
     for batch in batches:
         for row in zip(*(column.to_pylist() for column in batch.columns)):
             if held and held[0][:keys] != row[:keys]:
                 yield held
                 held = []
-            held.append(row)
+            if not held or held[-1][keys] != row[keys]:
+                held.append(row)
     if held:
         yield held
 
@@ -169,22 +178,28 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _compare_exact(tiles: DataFrame, share: int, of: int) -> DataFrame:
-    """A spanning forest of each tile's pairs with ``of * intersection >= share * union``."""
+    """A spanning forest of each tile's pairs with ``of * intersection >= share * union``.
+
+    ``tiles`` has ``comp, ti, tj, v, shingles``.  The set that is likest to the
+    others of a tile is given as a link with itself.
+    """
 
     def run(batches):
         found = []
         for rows in _runs(batches, 3):
-            rows = list({r[3]: r for r in rows}.values())
             if len(rows) < 2:
                 continue
             sets = [np.frombuffer(r[4], np.uint64) for r in rows]
             common = intersections(sets)
             size = np.array([len(s) for s in sets], np.int64)
-            linked = of * common >= share * (size[:, None] + size[None, :] - common)
+            union = size[:, None] + size[None, :] - common
+            linked = of * common >= share * union
             forest = Forest(len(rows))
             for x, y in zip(*(k.tolist() for k in np.nonzero(np.triu(linked, 1)))):
                 if forest.join(x, y):
                     found.append((rows[x][3], rows[y][3]))
+            central = rows[int((common / union).sum(axis=1).argmax())][3]
+            found.append((central, central))
             if len(found) > 4096:
                 yield _edges(found)
                 found = []
@@ -194,8 +209,64 @@ def _compare_exact(tiles: DataFrame, share: int, of: int) -> DataFrame:
     return spread.select("comp", "ti", "tj", "v", "shingles").mapInArrow(run, "a long, b long")
 
 
-def candidate_edges(classes: DataFrame, threshold: float, recall: float) -> DataFrame:
-    """Links ``(a, b)`` whose components cover every pair at or over the threshold.
+def _tile_count(sets: str, shingles: str):
+    return F.ceil(F.greatest(F.col(sets) / TILE, F.col(shingles) / TILE_SHINGLES)).cast("int")
+
+
+def _tile_of(v: str, salt: str):
+    return F.pmod(F.xxhash64(v, F.lit(salt)), F.col("tiles")).cast("int")
+
+
+def exact_links(sets: DataFrame, sizes: DataFrame, share: int, of: int) -> list[DataFrame]:
+    """Written tables of exact links ``(a, b)`` by which the sets of each covering component hang together.
+
+    ``sets`` has ``root, tiles, v, n, shingles``, a row for each set; ``sizes`` has
+    ``root`` and the number of its ``tiles``.
+    """
+    whole = sets.where("tiles = 1").select(F.col("root").alias("comp"), F.lit(0).alias("ti"), F.lit(0).alias("tj"), "v", "shingles")
+    if sizes.where("tiles > 1").isEmpty():
+        return [materialize(_compare_exact(whole, share, of), "links")]
+    large = materialize(sets.where("tiles > 1"), "sets")
+    tiled = large.withColumn("comp", F.col("root")).withColumn("ti", _tile_of("v", "tile")).withColumn("tj", F.col("ti"))
+    inside = materialize(_compare_exact(whole.unionByName(tiled.select("comp", "ti", "tj", "v", "shingles")), share, of), "links")
+
+    # The central sets go to every tile of their component.
+    few = Window.partitionBy("root").orderBy(F.xxhash64("v", F.lit("central")))
+    central = inside.where("a = b").select(F.col("a").alias("v")).distinct().join(large.select("root", "v"), "v")
+    central = central.withColumn("k", F.row_number().over(few)).where(F.col("k") <= CENTRAL).select("root", "v")
+    spread = large.join(central, ["root", "v"], "left_semi").select("root", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("ti"), "v", "shingles")
+    beside = tiled.select("root", "ti", "v", "shingles").unionByName(spread)
+    beside = beside.select(F.col("root").alias("comp"), "ti", F.col("ti").alias("tj"), "v", "shingles")
+    outward = materialize(_compare_exact(beside, share, of), "links")
+
+    parts = connected_components(inside.unionByName(outward))
+    of_part = large.select("root", "v", "n").join(parts.withColumnRenamed("root", "part"), "v", "left").withColumn("part", F.coalesce("part", "v"))
+    of_part = materialize(of_part, "parts")
+    sized = of_part.groupBy("root", "part").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
+    # A large part has tiles of its own; small ones share tiles.
+    own = (F.col("sets") >= TILE // 2) | (F.col("shingles") >= TILE_SHINGLES // 2)
+    sized = sized.withColumn("own", F.when(own, F.col("part")))
+    shared = sized.groupBy("root", "own").agg(F.sum("sets").alias("sets"), F.sum("shingles").alias("shingles")).withColumn("tiles", _tile_count("sets", "shingles"))
+    by_root = Window.partitionBy("root")
+    running = by_root.orderBy(F.col("own").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = shared.withColumn("first", F.sum("tiles").over(running).cast("int") - F.col("tiles")).withColumn("last", F.sum("tiles").over(by_root).cast("int") - 1)
+    apart = materialize(placed.where((F.col("last") >= F.col("tiles")) | F.col("own").isNull()).select("root", "own", "tiles", "first", "last"), "places")
+    if apart.isEmpty():
+        discard(large, of_part, apart)
+        return [inside, outward]
+    where = of_part.join(sized.select("root", "part", "own"), ["root", "part"]).select("root", "v", "own")
+    where = where.join(apart, (where.root == apart.root) & where.own.eqNullSafe(apart.own)).select("v", where.own, "tiles", "first", "last")
+    where = where.select("v", "own", "first", "last", "tiles", (F.col("first") + _tile_of("v", "part")).alias("at"))
+    others = F.filter(F.sequence(F.lit(0), F.col("last")), lambda k: F.col("own").isNull() | (k < F.col("first")) | (k >= F.col("first") + F.col("tiles")))
+    met = large.select("root", "v", "shingles").join(where, "v").withColumn("other", F.explode(others))
+    pairs = met.select(F.col("root").alias("comp"), F.least("at", "other").alias("ti"), F.greatest("at", "other").alias("tj"), "v", "shingles")
+    across = materialize(_compare_exact(pairs, share, of), "links")
+    discard(large, of_part, apart)
+    return [inside, outward, across]
+
+
+def candidate_edges(classes: DataFrame, threshold: float, recall: float) -> list[DataFrame]:
+    """Written tables of links ``(a, b)`` whose components cover every pair at or over the threshold.
 
     ``classes`` has ``v``, ``tokens`` and ``low``, one row for each distinct set.
     """
@@ -203,7 +274,8 @@ def candidate_edges(classes: DataFrame, threshold: float, recall: float) -> Data
     least = threshold - 6 * spread
     rows = _branch(classes.select("v", "tokens"), True, trees_for(threshold, recall))
     tokens = classes.select("v", "tokens")
-    edges: DataFrame | None = None
+    edges: list[DataFrame] = []
+    done: list[DataFrame] = []
     for level in range(LEVELS + 1):
         rows = materialize(rows, "nodes")
         sizes = materialize(rows.groupBy("node").agg(F.count("*").alias("size"), F.min("v").alias("a")).where("size > 1"), "sizes")
@@ -213,14 +285,23 @@ def candidate_edges(classes: DataFrame, threshold: float, recall: float) -> Data
         ended = large.isEmpty()
         if level == LEVELS and not ended:
             met = met.unionByName(rows.join(large, "node").select("a", F.col("v").alias("b")))
-        met = materialize(met, "met")
-        edges = met if edges is None else edges.unionByName(met)
+        edges.append(materialize(met, "met"))
+        discard(*done)
+        done = [rows, sizes]
         if ended or level == LEVELS:
             break
         rows = _branch(rows.join(large.select("node"), "node", "left_semi").join(tokens, "v").select("node", "v", "tokens"), False, 0)
+    discard(*done)
     return edges
 
 
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, share: int = 80, of: int = 100, recall: float = 1 - 1e-8) -> DataFrame:
     """One row per row of ``docs(doc_id, text, ...)`` with its near-duplicate component.
 
@@ -245,32 +326,31 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: int = 80, of: int =
     some = signed.where("n > 0")
     rep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("rep")
     classes = some.groupBy("v", "w").agg(rep, F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("low").alias("low"))
-    classes = materialize(classes.select("v", F.col("rep.doc_id").alias("rep_id"), F.col("rep.th").alias("rep_th"), "n", "tokens", "low"), "classes")
+    classes = materialize(classes.select("v", "w", F.col("rep.doc_id").alias("rep_id"), F.col("rep.th").alias("rep_th"), "n", "tokens", "low"), "classes")
 
-    covering = connected_components(candidate_edges(classes, share / of, recall))
+    candidates = candidate_edges(classes, share / of, recall)
+    covering = connected_components(_union(candidates))
     roots = covering.select(F.col("root").alias("v"), "root").distinct()
     members = materialize(covering.select("v", "root").unionByName(roots).join(classes.select("v", "rep_id", "rep_th", "n"), "v"), "members")
+    discard(*candidates, covering)
     sizes = members.groupBy("root").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
-    sizes = sizes.select("root", F.ceil(F.greatest(F.col("sets") / TILE, F.col("shingles") / TILE_SHINGLES)).cast("int").alias("tiles"))
-    sizes = materialize(sizes, "tiles")
-    members = members.join(sizes, "root").select("v", "root", "tiles", "rep_id", "rep_th")
-
-    texts = docs.join(members, same_document("doc_id", "th", "rep_id", "rep_th")).select("v", "root", "tiles", F.col("text").cast("binary").alias("text"))
+    sizes = materialize(sizes.select("root", _tile_count("sets", "shingles").alias("tiles")), "tiles")
+    members = members.join(sizes, "root").select("v", "n", "root", "tiles", "rep_id", "rep_th")
+    texts = docs.join(members, same_document("doc_id", "th", "rep_id", "rep_th")).select("v", "n", "root", "tiles", F.col("text").cast("binary").alias("text"))
 
     def sets(c):
-        return {"v": c["v"], "root": c["root"], "tiles": c["tiles"], "shingles": [shingle_set(spaced_words(t), width).tobytes() for t in c["text"]]}
+        return {k: c[k] for k in ("v", "n", "root", "tiles")} | {"shingles": [shingle_set(spaced_words(t), width).tobytes() for t in c["text"]]}
 
-    full = map_batches(texts, sets, "v long, root long, tiles int, shingles binary")
-    own = F.pmod(F.xxhash64("v", F.lit("tile")), F.col("tiles")).cast("int")
-    full = full.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    tiles = full.select(F.col("root").alias("comp"), F.least("own", "other").alias("ti"), F.greatest("own", "other").alias("tj"), "v", "shingles")
-    links = connected_components(_compare_exact(tiles, share, of))
+    found = exact_links(map_batches(texts, sets, "v long, n long, root long, tiles int, shingles binary"), sizes, share, of)
+    links = connected_components(_union(found))
 
-    labelled = classes.select("v", "rep_id").join(links, "v", "left").select("v", "rep_id", F.coalesce("root", "v").alias("root"))
+    labelled = classes.select("v", "w", "rep_id").join(links, "v", "left").select("v", "w", "rep_id", F.coalesce("root", "v").alias("root"))
     labelled = materialize(labelled, "labelled")
+    discard(*found)
     least = materialize(labelled.groupBy("root").agg(F.min("rep_id").alias("component_id")), "least")
-    of_class = materialize(labelled.join(least, "root").select("v", "component_id"), "components")
-    joined = signed.select("doc_id", "th", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("v")).alias("v")).join(of_class, "v", "left")
+    of_class = materialize(labelled.join(least, "root").select("v", "w", "component_id"), "components")
+    keys = [F.when(F.col("n") > 0, F.col(k)).alias(k) for k in ("v", "w")]
+    joined = signed.select("doc_id", "th", F.col("n").alias("n_shingles"), *keys).join(of_class, ["v", "w"], "left")
     component = F.when(F.col("v").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return joined.select("doc_id", "th", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
@@ -278,12 +358,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: int = 80, of: int =
 def drop_near_duplicates(docs: DataFrame, width: int = 5, share: int = 80, of: int = 100) -> DataFrame:
     """The rows of ``docs`` that stay when one document of each component is kept.
 
-    All columns of ``docs`` stay.  Where rows repeat both id and text, one stays.
+    All columns of ``docs`` stay, of whatever name.  Where rows repeat both id and
+    text, one stays.  Null, empty and blank texts stay; an empty table gives no rows.
     """
+    key, of_id, of_th = unused(docs, "key", "of_id", "of_th")
     flags = near_duplicates(docs, width, share, of).where("kept")
-    flags = materialize(flags.groupBy("doc_id", "th").agg(F.count("*").alias("times")).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "times"), "kept")
-    marked = docs.withColumn("__key", F.xxhash64("text"))
-    kept = marked.join(flags.select("__id", "__th"), same_document("doc_id", "__key", "__id", "__th"), "left_semi")
+    flags = materialize(flags.groupBy("doc_id", "th").agg(F.count("*").alias("times")).select(F.col("doc_id").alias(of_id), F.col("th").alias(of_th), "times"), "kept")
+    marked = docs.withColumn(key, F.xxhash64("text"))
+    kept = marked.join(flags.select(of_id, of_th), same_document("doc_id", key, of_id, of_th), "left_semi")
     if not flags.where("times > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id", "__key"])
-    return kept.drop("__key")
+        kept = kept.dropDuplicates(["doc_id", key])
+    return kept.drop(key)
