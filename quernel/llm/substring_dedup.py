@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernel.llm._shared import keyed, map_batches, materialize, plain_words, same_document
+from quernel.llm._shared import keyed, map_batches, materialize, plain_words, same_document, unused
 
 MIN_WORDS = 8  # shorter passages recur by chance and always stay
 _BORDER = re.compile(r"(?<=[.!?…؟۔।])\s+|(?<=[。！？])\s*|\n+")
@@ -147,8 +147,9 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     * An empty table gives no rows.
     """
     rest = [c for c in docs.columns if c not in ("text", "n_chars", "removed_spans")]
-    spans = repeated_spans(keyed(docs), min_words).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("spans").alias("__spans"))
-    joined = docs.withColumn("__key", F.xxhash64("text")).join(spans, same_document("doc_id", "__key", "__id", "__th"), "left")
+    key, of_id, of_th, gone, shorter_name = unused(docs, "key", "of_id", "of_th", "gone", "shorter")
+    spans = repeated_spans(keyed(docs), min_words).select(F.col("doc_id").alias(of_id), F.col("th").alias(of_th), F.col("spans").alias(gone))
+    joined = docs.withColumn(key, F.xxhash64("text")).join(spans, same_document("doc_id", key, of_id, of_th), "left")
 
     @F.pandas_udf("string")
     def shorter(text, gone):
@@ -157,10 +158,10 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         return pd.Series([t if g is None else cut(t, [(x["start"], x["next"]) for x in g]) for t, g in zip(text, gone)], dtype=object)
 
     # Rows without repeats do not pass through Python.
-    cut_text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(shorter("text", "__spans"))
-    shown = F.transform(F.coalesce("__spans", F.array()), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
-    joined = joined.withColumn("__cut", cut_text)
-    columns = {"text": F.col("__cut"), "n_chars": F.coalesce(F.length("__cut"), F.lit(0)).cast("long")}
+    cut_text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(shorter("text", gone))
+    shown = F.transform(F.coalesce(gone, F.array()), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+    joined = joined.withColumn(shorter_name, cut_text)
+    columns = {"text": F.col(shorter_name), "n_chars": F.coalesce(F.length(shorter_name), F.lit(0)).cast("long")}
     kept = [F.col(c) if c in rest else columns[c].alias(c) for c in docs.columns if c in rest or c in columns]
     if "n_chars" not in docs.columns:
         kept.append(columns["n_chars"].alias("n_chars"))
