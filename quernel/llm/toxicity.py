@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernel.llm._shared import keyed, map_batches, plain_words
+from quernel.llm._shared import built_once, keyed, map_batches, new_key, plain_words, unused
 from quernel.llm.labels import labelled_sample
 
 PER_CLASS = 6000  # labelled documents of each class from which the lexicon is learned
@@ -257,12 +257,11 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, usable, per_class: int = P
 
 
 def _measure(docs: DataFrame, lexicon: Lexicon, more: list[str], folded: bool = False) -> DataFrame:
-    built: list = []
+    key = new_key()
 
     def work(c):
-        if not built:
-            built.append(lexicon.automaton())
-        m = [measures(t if folded else fold(t or ""), built[0]) for t in c["text"]]
+        automaton = built_once(key, lexicon.automaton)
+        m = [measures(t if folded else fold(t or ""), automaton) for t in c["text"]]
         return {k: c[k] for k in ("doc_id", "th", *more)} | {f"m{i}": [x[i] for x in m] for i in range(4)}
 
     schema = "doc_id long, th long, " + "".join(f"{k} int, " for k in more) + "m0 double, m1 double, m2 double, m3 long"
@@ -292,17 +291,15 @@ def drop_toxic(docs: DataFrame, lexicon: Lexicon, at_least: float = 0.7) -> Data
 
     Treats nulls, empty texts, repeats and empty tables as ``score_toxicity`` does.
     """
-    built: list = []
+    key = new_key()
 
     @F.pandas_udf("struct<m0:double,m1:double,m2:double>")
     def measured(text):
         import pandas as pd
 
-        if not built:
-            built.append(lexicon.automaton())
-        return pd.DataFrame([measures(fold(t or ""), built[0])[:3] for t in text], columns=["m0", "m1", "m2"], dtype=float)
+        automaton = built_once(key, lexicon.automaton)
+        return pd.DataFrame([measures(fold(t or ""), automaton)[:3] for t in text], columns=["m0", "m1", "m2"], dtype=float)
 
-    m = measured("text")
-    marked = docs.withColumn("__m", m)
-    kept = marked.where(_score(lexicon, F.col("__m.m0"), F.col("__m.m1"), F.col("__m.m2")) < at_least)
-    return kept.drop("__m")
+    (name,) = unused(docs, "measured")
+    marked = docs.withColumn(name, measured("text"))
+    return marked.where(_score(lexicon, *(F.col(name)[f"m{k}"] for k in range(3))) < at_least).drop(name)
