@@ -13,10 +13,11 @@ import ahocorasick
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernel.llm._shared import keyed, map_batches, plain_words
+from quernel.llm._shared import built_once, keyed, map_batches, new_key, plain_words
 
 WINDOW = 10
 BLOCK_BYTES = 2_000_000  # of benchmark text in one automaton, which takes about 90 bytes of memory for each
+PIECE_WORDS = 20_000  # of an item that are sent as one row
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
@@ -69,13 +70,29 @@ def offsets(text: str, ranges: list[list[int]]) -> list[tuple[int, int]]:
     return [(at[a][0], at[b - 1][1]) for a, b in ranges]
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> list[DataFrame]:
-    """The benchmark in parts whose texts have ``block_bytes`` or so, by size."""
-    total = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+def benchmark_pieces(benchmark: DataFrame, width: int) -> DataFrame:
+    """``item_id, text``: items of up to ``PIECE_WORDS`` words, longer ones in parts that overlap by all but one word of a window.
+
+    The parts of an item have the windows that the whole has, so that no row that is
+    sent to a worker grows with an item.
+    """
+    plain = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
+    words = F.regexp_extract_all(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(_WORD.pattern), F.lit(0))
+    cut = plain.select("item_id", words.alias("words")).where(F.size("words") > 0)
+    step = max(1, PIECE_WORDS - width + 1)
+    last = F.greatest(F.size("words") - width, F.lit(0))
+    starts = F.sequence(F.lit(0), last - last % step, F.lit(step))
+    pieces = cut.select("item_id", F.explode(F.transform(starts, lambda a: F.array_join(F.slice("words", a + 1, step + width - 1), " "))).alias("text"))
+    return pieces.distinct()
+
+
+def _blocks(pieces: DataFrame, block_bytes: int) -> list[DataFrame]:
+    """The pieces in parts whose texts have ``block_bytes`` or so, by size."""
+    total = pieces.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // block_bytes))
     if n == 1:
-        return [benchmark]
-    return [benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n)]
+        return [pieces] if total else []
+    return [pieces.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n)]
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -95,11 +112,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, bl
     * Other columns are not read.  Empty tables: no rows, or no hits.
     """
     docs = keyed(docs)
-    benchmark = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
     parts = []
-    for block in _blocks(benchmark, block_bytes):
-        items = [tuple(r) for r in block.distinct().collect()]  # at most block_bytes, checked above
+    for block in _blocks(benchmark_pieces(benchmark, width), block_bytes):
+        items = [tuple(r) for r in block.collect()]  # block_bytes or so, in pieces of bounded size
         parts.append(_scan_block(docs, items, width))
+    parts = parts or [_scan_block(docs, [], width)]
     if len(parts) == 1:
         return parts[0].select("doc_id", "th", "n_words", _hit("ranges").alias("n_hit"), "items", "spans")
     merged = parts[0]
@@ -129,15 +146,14 @@ def _hit(ranges: str):
 
 def _scan_block(docs: DataFrame, items: list[tuple], width: int) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(items)
-    built: list = []
+    key = new_key()
 
     def work(c):
-        if not built:
-            built.append(Matcher(held.value, width))
+        matcher = built_once(key, lambda: Matcher(held.value, width))
         out = {k: c[k] for k in ("doc_id", "th")} | {"n_words": [], "ranges": [], "items": [], "spans": []}
         for text in c["text"]:
             words = plain_words((text or "").encode("utf-8", "surrogatepass"))
-            ranges, met = built[0].scan(words)
+            ranges, met = matcher.scan(words)
             out["n_words"].append(len(words))
             out["ranges"].append([{"a": a, "b": b} for a, b in ranges])
             out["items"].append(sorted(met))
@@ -154,25 +170,22 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW
     The scan runs beside the row, so that no join is needed.  Treats nulls,
     repeats and empty tables as ``contamination`` does; a null text stays.
     """
-    total = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     kept = docs
-    for block in _blocks(benchmark, BLOCK_BYTES) if total else []:
-        items = [tuple(r) for r in block.select(F.col("item_id").cast("string"), F.col("text").cast("string")).distinct().collect()]
-        held = docs.sparkSession.sparkContext.broadcast(items)
+    for block in _blocks(benchmark_pieces(benchmark, width), BLOCK_BYTES):
+        held = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in block.collect()])
         kept = kept.where(~_is_hit(held, width)(F.col("text")))
     return kept
 
 
 def _is_hit(held, width: int):
-    built: list = []
+    key = new_key()
 
     @F.pandas_udf("boolean")
     def hit(text):
         import pandas as pd
 
-        if not built:
-            built.append(Matcher(held.value, width))
-        return pd.Series([bool(t) and next(built[0].hits(plain_words(t.encode("utf-8", "surrogatepass"))), None) is not None for t in text], dtype=bool)
+        matcher = built_once(key, lambda: Matcher(held.value, width))
+        return pd.Series([bool(t) and next(matcher.hits(plain_words(t.encode("utf-8", "surrogatepass"))), None) is not None for t in text], dtype=bool)
 
     return hit
 
