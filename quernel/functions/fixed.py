@@ -73,3 +73,28 @@ TABLE_SUFFIXES = (".xlsx", ".csv")
 EXCLUDED_FOLDERS = ("chroma", "user_uploads")
 MAX_UPLOAD = 200 * 1024 * 1024
 MIN_USEFUL = 200
+
+# Facts from the register.
+COUNTED = "Точный подсчёт по реестру для «%s»: %s позиций, суммарно %s %s"
+BY_ADDRESS = "\nПо адресам:\n"
+DUE = "Точный подсчёт по реестру: %s позиций с нормативным сроком замены до %s включительно\n"
+DUE_ITEM = "  - %s (замена %s) — %s"
+DUE_MORE = "\n  ... и ещё %s"
+
+# What a question's context is made of.
+SAID = "Пользователь: %s\nТы: %s"
+HISTORY = "ПРЕДЫДУЩИЕ ВОПРОСЫ (для понимания отсылок вроде «а сколько их»):\n"
+FACTS = "ТОЧНЫЕ ДАННЫЕ ИЗ РЕЕСТРА (посчитаны по всей базе, используй эти числа как достоверные):\n"
+FRAGMENT = "[Источник %s: %s]\n%s"
+FRAGMENTS = "ФРАГМЕНТЫ ДОКУМЕНТАЦИИ:\n\n"
+EMPTY_CONTEXT = "КОНТЕКСТ ПУСТ: подходящих документов не найдено."
+QUESTION = "ВОПРОС: "
+BETWEEN = "\n\n---\n\n"
+
+# What becomes of a file.
+KNOWN_FILE = "Этот документ уже добавлен"
+KNOWN_AS = " — «%s»"
+WRONG_KIND = "Неподдерживаемый формат: %s"
+TOO_LARGE = "Файл больше %d МБ"
+NO_TEXT = "пустой текст после парсинга"
+NO_READER = "нет чтения формата %s"

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from quernel.functions import fixed
 
@@ -15,6 +17,12 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
+def fill(template: str, *columns: Column) -> Column:
+    """``template`` with its ``%s`` filled in order; null if any of them is."""
+    texts = template.split("%s")
+    return F.concat(F.lit(texts[0]), *(x for c, t in zip(columns, texts[1:]) for x in (c, F.lit(t))))
+
+
 def matches(c: Column, pattern: str) -> Column:
     """Whether a pattern occurs, ignoring case in every script; false for null."""
     return F.coalesce(c.rlike(f"(?iU){pattern}"), F.lit(False))
@@ -77,8 +85,15 @@ def asked_year(c: Column, as_of_year: int) -> Column:
 
 
 def format_number(c: Column) -> Column:
-    """Without decimals if integral, else with one."""
-    return F.when(c == F.floor(c), c.cast("bigint").cast("string")).otherwise(F.bround(c, 1).cast("string"))
+    """Without decimals if integral, else with one, rounded from the exact binary value, ties to even."""
+    whole = c == F.floor(c)
+    return F.when(whole, c.cast("bigint").cast("string")).otherwise(_one_decimal(F.when(~whole, c)))
+
+
+@F.pandas_udf(StringType())
+def _one_decimal(values: pd.Series) -> pd.Series:
+    """Built-in functions round the shortest decimal form instead: 0.35 would give 0.4."""
+    return pd.Series([None if v != v else f"{v:.1f}" for v in values.to_numpy(float, na_value=float("nan"))], dtype=object)
 
 
 def replacement_words(words: Column) -> Column:

@@ -49,18 +49,44 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype=float)
 
 
+def alike_keys(asked: DataFrame, catalog: DataFrame, least: float, apart: int = 2) -> DataFrame:
+    """``key, article_key``: every pair that can have a ratio above ``least``, and some that cannot.
+
+    Keys of n and m letters above the ratio leave fewer than ``(1 - least) * (n + m)``
+    letters unmatched.  A catalogue key is cut into one piece more than that, so that
+    one piece stands whole in the asked key, displaced by no more letters than are
+    unmatched; pieces are joined by lengths, number and letters.  No pair is lost.
+    """
+    n, m = F.col("n"), F.col("m")
+    loose = F.greatest(F.ceil(F.round((1 - least) * (n + m), 9)).cast("int") - 1, F.lit(0))
+
+    def begin(i):
+        return F.floor(i * m / (F.col("loose") + 1)).cast("int")
+
+    around = lambda c: F.explode(F.sequence(F.greatest(F.length(c) - apart, F.lit(1)), F.length(c) + apart))
+    numbered = lambda df: df.withColumn("loose", loose).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("loose"))))
+    size = begin(F.col("i") + 1) - begin(F.col("i"))
+    cut = numbered(catalog.select("article_key", F.length("article_key").alias("m"), around("article_key").alias("n")))
+    cut = cut.select("article_key", "n", "m", "i", F.substring(F.col("article_key"), begin(F.col("i")) + 1, size).alias("piece"))
+    probe = numbered(asked.select("key", F.length("key").alias("n"), around("key").alias("m")))
+    probe = probe.select("key", "n", "m", "i", size.alias("size"), F.explode(F.sequence(begin(F.col("i")) - F.col("loose"), begin(F.col("i")) + F.col("loose"))).alias("at"))
+    probe = probe.where((F.col("at") >= 0) & (F.col("at") + F.col("size") <= F.col("n"))).select("key", "n", "m", "i", F.substring(F.col("key"), F.col("at") + 1, F.col("size")).alias("piece")).distinct()
+    return probe.join(cut, ["n", "m", "i", "piece"]).select("key", "article_key").distinct()
+
+
 def fuzzy_articles(questions: DataFrame, catalog: DataFrame, exact: DataFrame, pattern: str = "(?U)" + fixed.ARTICLE, least: float = fixed.LIKE_ARTICLE) -> DataFrame:
     """``question_id, rank, canonical``: the likest catalogue entry of each candidate of questions without an exact one.
 
-    Lengths differ by at most 2; shared letters bound the ratio before it is computed.
+    Lengths differ by at most 2.  Only keys that share a piece are compared, and
+    shared letters bound the ratio before it is computed.
     """
     open_questions = questions.join(exact.select("question_id").distinct(), "question_id", "left_anti")
     asked = open_questions.select("question_id", F.posexplode(article_candidates(F.col("question"), pattern)).alias("pos", "raw")).withColumn("key", normalize_article(F.col("raw")))
-    n = F.length("key")
-    near = asked.withColumn("n", F.explode(F.sequence(n - 2, n + 2))).join(catalog.withColumn("n", F.length("article_key")), "n")
+    pairs = alike_keys(asked.select("key").distinct(), catalog.select("article_key"), least)
     letters = lambda c: F.split(c, "(?!^)")
     shared = F.size(F.filter(letters(F.col("key")), lambda x: F.contains(F.col("article_key"), x)))
-    near = near.where(2 * shared > least * (F.length("key") + F.length("article_key"))).withColumn("ratio", sequence_ratio("key", "article_key")).where(F.col("ratio") > least)
+    near = pairs.where(2 * shared > least * (F.length("key") + F.length("article_key"))).withColumn("ratio", sequence_ratio("key", "article_key")).where(F.col("ratio") > least)
+    near = asked.join(near, "key").join(catalog, "article_key")
     best = near.groupBy("question_id", "pos").agg(F.min_by("canonical", F.struct((-F.col("ratio")).alias("r"), "article_key")).alias("canonical"))
     first = best.groupBy("question_id", "canonical").agg(F.min("pos").alias("pos"))
     return first.select("question_id", F.row_number().over(Window.partitionBy("question_id").orderBy("pos", "canonical")).alias("rank"), "canonical")

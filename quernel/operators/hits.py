@@ -52,11 +52,15 @@ def combine_hits(*parts: DataFrame) -> DataFrame:
     return out
 
 
-def dedupe_hits(hits: DataFrame, prefix: int = 300) -> DataFrame:
-    """Of hits whose texts begin alike the best stays; ties go by part and position."""
-    order = F.struct((-F.round("score", 12)).alias("s"), "part", "position")
-    best = hits.groupBy("question_id", F.substring("text", 1, prefix).alias("__begin")).agg(F.min_by(F.struct(*hits.columns), order).alias("__hit"))
-    return best.select("__hit.*")
+def light_hits(hits: DataFrame, prefix: int = 300) -> DataFrame:
+    """Without ``text`` and ``snippet``, which the last few hits get again; ``begin`` is a digest of how the text begins."""
+    return hits.withColumn("begin", F.md5(F.substring("text", 1, prefix))).drop("text", "snippet")
+
+
+def dedupe_hits(hits: DataFrame) -> DataFrame:
+    """Of hits whose texts begin alike (``begin``) the best stays; ties go by part and position."""
+    order = Window.partitionBy("question_id", "begin").orderBy(F.desc(F.round("score", 12)), "part", "position")
+    return hits.withColumn("place", F.row_number().over(order)).where("place = 1").drop("place")
 
 
 def final_topk(hits: DataFrame, k: int = 5) -> DataFrame:

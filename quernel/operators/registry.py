@@ -3,7 +3,8 @@
 ``questions(question_id, question)``; ``registry(row_id, name, model, serial,
 address, qty_raw, unit, replace_year_raw)`` with string values.  Equal pairs of
 name and model are matched once and the register is summed before it is joined,
-so that the joins grow with the number of distinct descriptions.
+so that the joins grow with the number of distinct descriptions; their keys are
+digests of the descriptions.
 """
 
 from __future__ import annotations
@@ -12,29 +13,52 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernel.functions import fixed
-from quernel.functions.text import asked_year, format_number, matches, replacement_words, significant_words, stems, strip, to_number, to_year
+from quernel.functions.text import asked_year, fill, format_number, matches, replacement_words, significant_words, stems, strip, to_number, to_year
+from quernel.sources.scratch import held
 
 
-def _described(registry: DataFrame) -> DataFrame:
-    key = F.concat_ws("\x01", F.coalesce("name", F.lit("")), F.coalesce("model", F.lit("")))
-    return registry.withColumn("described", key)
+def _digest(*columns: str):
+    return F.md5(F.concat_ws("\x01", *(F.coalesce(c, F.lit("")) for c in columns)))
 
 
 def match_by_stem(questions: DataFrame, described: DataFrame) -> DataFrame:
     """``(question_id, described)`` where a description shares a stem with the question's ``stems``."""
-    words = F.filter(F.split(F.lower(F.regexp_replace("described", "\x01", " ")), r"(?U)\W+"), lambda w: F.length(w) >= 4)
-    rows = described.select("described").distinct().withColumn("stem", F.explode(stems(words)))
+    text = F.concat_ws(" ", F.coalesce("name", F.lit("")), F.coalesce("model", F.lit("")))
+    words = F.filter(F.split(F.lower(text), r"(?U)\W+"), lambda w: F.length(w) >= 4)
+    rows = described.select("described", "name", "model").distinct().select("described", F.explode(stems(words)).alias("stem"))
     asked = questions.select("question_id", F.explode("stems").alias("stem"))
     return asked.join(rows, "stem").select("question_id", "described").distinct()
 
 
-def _count_base(questions: DataFrame, registry: DataFrame, stop_words) -> tuple[DataFrame, DataFrame]:
+def _asked_terms(questions: DataFrame, stop_words) -> DataFrame:
     asked = questions.withColumn("matched_terms", significant_words(F.col("question"), stop_words)).where(F.size("matched_terms") > 0)
-    asked = asked.withColumn("stems", stems(F.col("matched_terms")))
-    rows = _described(registry)
+    return asked.withColumn("stems", stems(F.col("matched_terms")))
+
+
+def count_cells(questions: DataFrame, registry: DataFrame, stop_words=fixed.COUNT_STOP_WORDS) -> DataFrame:
+    """``question_id, address, unit, positions, quantity, first``: what matches each question, by address and unit.
+
+    An absent address has a text of its own, a blank one stays blank; ``first`` is the first row.
+    """
     unit = strip(F.coalesce("unit", F.lit("")))
-    summed = rows.groupBy("described", F.coalesce("address", F.lit(fixed.NO_ADDRESS)).alias("address"), unit.alias("unit")).agg(F.count("*").alias("positions"), F.sum(to_number(F.col("qty_raw"))).alias("quantity"), F.min("row_id").alias("first"))
-    return asked, match_by_stem(asked, summed).join(summed, "described")
+    address = F.coalesce("address", F.lit(fixed.NO_ADDRESS))
+    counts = [F.count("*").alias("positions"), F.sum(to_number(F.col("qty_raw"))).alias("quantity"), F.min("row_id").alias("first")]
+    summed = registry.groupBy("name", "model", address.alias("address"), unit.alias("unit")).agg(*counts).withColumn("described", _digest("name", "model"))
+    met = match_by_stem(_asked_terms(questions, stop_words), summed).join(summed, "described")
+    again = [F.sum("positions").alias("positions"), F.sum("quantity").alias("quantity"), F.min("first").alias("first")]
+    return met.groupBy("question_id", "address", "unit").agg(*again)
+
+
+def _totals(questions: DataFrame, cells: DataFrame, stop_words) -> DataFrame:
+    by_unit = cells.groupBy("question_id", "unit").agg(F.sum("positions").alias("n"), F.sum("quantity").alias("q"), F.min("first").alias("first"))
+    best = F.min_by("unit", F.when(F.col("unit") != "", F.struct((-F.col("n")).alias("n"), "first"))).alias("unit")
+    totals = by_unit.groupBy("question_id").agg(F.sum("n").alias("total_positions"), F.sum("q").alias("total_quantity"), best)
+    out = totals.join(_asked_terms(questions, stop_words).select("question_id", "matched_terms"), "question_id")
+    return out.select("question_id", "matched_terms", "total_positions", "total_quantity", F.coalesce("unit", F.lit("")).alias("unit"))
+
+
+def _by_address(cells: DataFrame) -> DataFrame:
+    return cells.groupBy("question_id", "address").agg(F.sum("quantity").alias("quantity"), F.min("first").alias("first_row"))
 
 
 def count_equipment(questions: DataFrame, registry: DataFrame, stop_words=fixed.COUNT_STOP_WORDS) -> DataFrame:
@@ -42,71 +66,81 @@ def count_equipment(questions: DataFrame, registry: DataFrame, stop_words=fixed.
 
     The unit is the most frequent one that is not blank; of equals the one met first.
     """
-    asked, met = _count_base(questions, registry, stop_words)
-    by_unit = met.groupBy("question_id", "unit").agg(F.sum("positions").alias("n"), F.sum("quantity").alias("q"), F.min("first").alias("first"))
-    best = by_unit.where("unit <> ''").groupBy("question_id").agg(F.min_by("unit", F.struct((-F.col("n")).alias("n"), "first")).alias("unit"))
-    totals = by_unit.groupBy("question_id").agg(F.sum("n").alias("total_positions"), F.sum("q").alias("total_quantity"))
-    out = totals.join(best, "question_id", "left").join(asked.select("question_id", "matched_terms"), "question_id")
-    return out.select("question_id", "matched_terms", "total_positions", "total_quantity", F.coalesce("unit", F.lit("")).alias("unit"))
+    return _totals(questions, count_cells(questions, registry, stop_words), stop_words)
 
 
 def quantity_by_address(questions: DataFrame, registry: DataFrame, stop_words=fixed.COUNT_STOP_WORDS) -> DataFrame:
-    """``question_id, address, quantity``; an absent address has a text of its own, a blank one stays blank."""
-    return _count_base(questions, registry, stop_words)[1].groupBy("question_id", "address").agg(F.sum("quantity").alias("quantity"), F.min("first").alias("first_row"))
+    """``question_id, address, quantity, first_row``: the matching quantity at each address."""
+    return _by_address(count_cells(questions, registry, stop_words))
 
 
 def replacements_due(questions: DataFrame, registry: DataFrame, as_of_year: int, show: int = 20, stop_words=fixed.COUNT_STOP_WORDS, words=None) -> tuple[DataFrame, DataFrame]:
     """Positions whose replacement year has come, as ``(totals, rows)``.
 
     ``totals``: question_id, matched_terms, year, total_positions.  ``rows``: the
-    first ``show`` of each question by year, then row.  A question without a
-    word for equipment gets all due positions.
+    first ``show`` of each question by year, then row.  A question without a word
+    for equipment gets all due positions: their counts by year and first ``show``
+    rows are the same for all such questions and found once.
     """
     found = significant_words(F.col("question"), stop_words) if words is None else words
     asked = questions.withColumn("matched_terms", replacement_words(found)).withColumn("year", asked_year(F.col("question"), as_of_year))
     asked = asked.withColumn("stems", stems(F.col("matched_terms")))
-    due = _described(registry).withColumn("due_year", to_year(F.col("replace_year_raw"))).where("due_year is not null")
-    described = due.select("described").distinct()
-    met = match_by_stem(asked.where(F.size("stems") > 0), described)
-    every = asked.where(F.size("stems") == 0).select("question_id")
-    # Such questions take every description: a stated set against all, which is the answer itself.
-    met = met.unionByName(every.withColumn("all", F.lit(1)).join(described.withColumn("all", F.lit(1)), "all").select("question_id", "described"))
-    met = met.join(asked.select("question_id", "year"), "question_id")
-    counts = due.groupBy("described", "due_year").agg(F.count("*").alias("n"))
-    totals = met.join(counts, "described").where("due_year <= year").groupBy("question_id").agg(F.sum("n").alias("total_positions"))
-    totals = totals.join(asked.select("question_id", "matched_terms", "year"), "question_id").select("question_id", "matched_terms", "year", "total_positions")
+    due = registry.withColumn("due_year", to_year(F.col("replace_year_raw"))).where("due_year is not null")
+    counts = due.groupBy("name", "model", "due_year").agg(F.count("*").alias("n")).withColumn("described", _digest("name", "model"))
+    named = asked.where(F.size("stems") > 0)
+    met = match_by_stem(named, counts).join(named.select("question_id", "year"), "question_id")
+    of_named = met.join(counts.select("described", "due_year", "n"), "described").where("due_year <= year").groupBy("question_id").agg(F.sum("n").alias("total_positions"))
     # No question shows more than the first rows of one description.
-    early = due.withColumn("k", F.row_number().over(Window.partitionBy("described").orderBy("due_year", "row_id"))).where(F.col("k") <= show).drop("k")
+    early = due.withColumn("described", _digest("name", "model"))
+    early = early.withColumn("k", F.row_number().over(Window.partitionBy("described").orderBy("due_year", "row_id"))).where(F.col("k") <= show).drop("k")
     rows = met.join(early, "described").where("due_year <= year")
     rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy("due_year", "row_id"))).where(F.col("rank") <= show)
-    return totals, rows.select("question_id", "rank", "row_id", "name", "address", "replace_year_raw", "due_year")
+    shown = ["row_id", "name", "address", "replace_year_raw", "due_year"]
+
+    # One row of at most a few hundred years, one of ``show`` positions.
+    open_ones = asked.where(F.size("stems") == 0).select("question_id", "year")
+    years = counts.groupBy("due_year").agg(F.sum("n").alias("n")).agg(F.collect_list(F.struct("due_year", "n")).alias("years"))
+    until = F.aggregate(F.filter("years", lambda y: y["due_year"] <= F.col("year")), F.lit(0).cast("long"), lambda s, y: s + y["n"])
+    of_open = open_ones.join(F.broadcast(years)).select("question_id", until.alias("total_positions")).where("total_positions > 0")
+    top = due.select(*shown).orderBy("due_year", "row_id").limit(show)
+    top = top.agg(F.array_sort(F.collect_list(F.struct("due_year", "row_id", "name", "address", "replace_year_raw"))).alias("top"))
+    of_top = open_ones.join(F.broadcast(top)).select("question_id", "year", F.posexplode("top").alias("place", "x")).where("x.due_year <= year")
+    of_top = of_top.select("question_id", (F.col("place") + 1).alias("rank"), *(F.col(f"x.{c}").alias(c) for c in shown))
+
+    totals = of_named.unionByName(of_open).join(asked.select("question_id", "matched_terms", "year"), "question_id")
+    return totals.select("question_id", "matched_terms", "year", "total_positions"), rows.select("question_id", "rank", *shown).unionByName(of_top)
 
 
 def count_text(counts: DataFrame, by_address: DataFrame) -> DataFrame:
     """``question_id, facts_text`` of a count; addresses by quantity, then as first met."""
-    order = F.array_sort(F.collect_list(F.struct((-F.col("quantity")).alias("q"), "first_row", "address", "quantity")))
-    lines = by_address.groupBy("question_id").agg(order.alias("places"))
-    line = F.transform("places", lambda p: F.concat(F.lit("  - "), p["address"], F.lit(": "), format_number(p["quantity"])))
-    head = F.concat(F.lit("Точный подсчёт по реестру для «"), F.array_join("matched_terms", " "), F.lit("»: "), F.col("total_positions").cast("string"), F.lit(" позиций, суммарно "), format_number(F.col("total_quantity")), F.lit(" "), F.col("unit"))
-    text = F.concat(strip(head), F.lit("\nПо адресам:\n"), F.array_join(line, "\n"))
+    line = F.concat(F.lit("  - "), F.col("address"), F.lit(": "), format_number(F.col("quantity")))
+    shown = by_address.select("question_id", (-F.col("quantity")).alias("q"), "first_row", line.alias("line"))
+    lines = shown.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("q", "first_row", "line"))).alias("places"))
+    head = fill(fixed.COUNTED, F.array_join("matched_terms", " "), F.col("total_positions").cast("string"), format_number(F.col("total_quantity")), F.col("unit"))
+    text = F.concat(strip(head), F.lit(fixed.BY_ADDRESS), F.array_join(F.transform("places", lambda p: p["line"]), "\n"))
     return counts.join(lines, "question_id").select("question_id", text.alias("facts_text"))
 
 
 def due_text(totals: DataFrame, rows: DataFrame, show: int = 20) -> DataFrame:
     """``question_id, facts_text`` of a list of positions that are due."""
-    item = F.concat(F.lit("  - "), F.coalesce("name", F.lit("")), F.lit(" (замена "), F.coalesce("replace_year_raw", F.lit("")), F.lit(") — "), F.coalesce("address", F.lit("")))
+    item = fill(fixed.DUE_ITEM, *(F.coalesce(c, F.lit("")) for c in ("name", "replace_year_raw", "address")))
     lines = rows.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("rank", item.alias("line")))).alias("items"))
-    head = F.concat(F.lit("Точный подсчёт по реестру: "), F.col("total_positions").cast("string"), F.lit(" позиций с нормативным сроком замены до "), F.col("year").cast("string"), F.lit(" включительно\n"))
-    more = F.when(F.col("total_positions") > show, F.concat(F.lit("\n  ... и ещё "), (F.col("total_positions") - show).cast("string"))).otherwise("")
+    head = fill(fixed.DUE, F.col("total_positions").cast("string"), F.col("year").cast("string"))
+    more = F.when(F.col("total_positions") > show, fill(fixed.DUE_MORE, (F.col("total_positions") - show).cast("string"))).otherwise("")
     return totals.join(lines, "question_id").select("question_id", F.concat(head, F.array_join(F.transform("items", lambda x: x["line"]), "\n"), more).alias("facts_text"))
 
 
 def answer_from_registry(questions: DataFrame, registry: DataFrame, as_of_year: int, stop_words=fixed.COUNT_STOP_WORDS, count=fixed.FACT_COUNT, replacement=fixed.FACT_REPLACEMENT) -> DataFrame:
-    """``question_id, kind, facts_text`` of the questions that ask for register facts and have any."""
+    """``question_id, kind, facts_text`` of the questions that ask for register facts and have any.
+
+    The register is matched once; its counts by address and unit are written and
+    summed both ways.
+    """
     due = matches(F.col("question"), replacement)
     counted = questions.where(~due & matches(F.col("question"), count))
     totals, rows = replacements_due(questions.where(due), registry, as_of_year, stop_words=stop_words)
-    counts = count_text(count_equipment(counted, registry, stop_words), quantity_by_address(counted, registry, stop_words))
+    cells = held(count_cells(counted, registry, stop_words), "cells")
+    counts = count_text(_totals(counted, cells, stop_words), _by_address(cells))
     return counts.withColumn("kind", F.lit("count")).unionByName(due_text(totals, rows).withColumn("kind", F.lit("replacement"))).select("question_id", "kind", "facts_text")
 
 
@@ -126,10 +160,11 @@ def find_matching_rows(questions: DataFrame, registry: DataFrame, limit: int = 2
     of the others all must match if there are one or two, else half.
     """
     asked = questions.select("question_id", F.posexplode(significant_words(F.col("question"), stop_words)).alias("pos", "w"))
-    text = F.concat_ws("\x01", *(F.coalesce(c, F.lit("")) for c in ("model", "serial", "name")))
-    rows = registry.withColumn("text", text)
-    parts = F.filter(F.split(F.lower("text"), r"(?U)\W+"), lambda w: F.length(w) >= 3)
-    words = rows.select("text").distinct().select("text", F.explode(F.array_distinct(parts)).alias("c"))
+    fields = ("model", "serial", "name")
+    rows = registry.withColumn("text", _digest(*fields))
+    whole = F.concat_ws("\x01", *(F.coalesce(c, F.lit("")) for c in fields))
+    parts = F.filter(F.split(F.lower(whole), r"(?U)\W+"), lambda w: F.length(w) >= 3)
+    words = rows.select("text", *fields).distinct().select("text", F.explode(F.array_distinct(parts)).alias("c"))
     q, c = asked.select("w").distinct(), words.select("c").distinct()
     longer = q.join(c.select("c", F.explode(_prefixes(F.col("c"))).alias("w")), "w").select("w", "c")
     shorter = c.join(q.select("w", F.explode(_prefixes(F.col("w"))).alias("c")), "c").select("w", "c")

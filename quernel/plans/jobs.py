@@ -5,66 +5,77 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quernel.functions import fixed
 from quernel.functions.text import is_procedural, passage_text, query_text, searchable
 from quernel.operators.articles import build_catalog, exact_articles, expand_query, fuzzy_articles, maximal_matches
 from quernel.operators.documents import build_chunks, dedupe_files, new_sources
-from quernel.operators.hits import best_sections, boost_procedural, combine_hits, dedupe_hits, final_topk, top_sources, with_parent_text
-from quernel.operators.search import bm25_topk, corpus_stats, embed, postings, rrf_fuse, vector_topk
+from quernel.operators.hits import best_sections, boost_procedural, combine_hits, dedupe_hits, final_topk, light_hits, top_sources, with_parent_text
+from quernel.operators.search import bm25_topk, corpus_stats, embed, hash_encoder, rrf_fuse, vector_topk
 from quernel.sources.scratch import held
+from quernel.sources.tables import pdf_layer_text
 
 
-def build_index(sources: DataFrame, existing: DataFrame, origin: str = "equipment", make_encoder=None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(chunks, parents, report)`` of sources that are neither copies of one another nor indexed.
+def build_index(sources: DataFrame, existing: DataFrame, origin: str = "equipment", make_encoder=hash_encoder) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """``(chunks, parents, report, errors)`` of sources that are neither copies of one another nor indexed.
 
-    ``sources(content_hash, file_name, source_label, suffix, text)``; texts without
-    anything in them are reported as failed.
+    ``sources(content_hash, file_name, source_label, suffix, text)``; the text of a
+    PDF is its raw text layer.  ``errors`` has ``source_label`` and ``reason`` of
+    files that give no chunk.
     """
-    unique = dedupe_files(sources, "source_label").select("content_hash", F.col("kept").alias("source_label"))
+    unique = dedupe_files(sources, "source_label").select("content_hash", F.col("kept").alias("source_label"), "copies")
     fresh = new_sources(sources.join(unique, ["content_hash", "source_label"], "left_semi"), existing)
-    usable = fresh.where(F.coalesce(F.col("text").rlike(r"(?U)\S"), F.lit(False)))
+    read = pdf_layer_text(fresh)
+    usable = read.where(F.coalesce(F.col("text").rlike(r"(?U)\S"), F.lit(False)))
     rows = build_chunks(usable, origin)
     passages = rows.withColumn("passage", passage_text(F.col("doc_title"), F.col("heading_path"), F.col("text")))
-    chunks = (embed(passages, "passage", make_encoder) if make_encoder else embed(passages, "passage")).drop("passage", "parent_text")
+    chunks = embed(passages, "passage", make_encoder).drop("passage", "parent_text")
     parents = rows.select("parent_ref", F.col("parent_text").alias("text")).dropDuplicates(["parent_ref"])
     known = existing.select("content_hash").distinct().withColumn("known", F.lit(1))
     marked = unique.join(known, "content_hash", "left").join(rows.groupBy("content_hash").agg(F.count("*").alias("chunks")), "content_hash", "left")
+    failed = F.col("known").isNull() & F.col("chunks").isNull()
     report = marked.agg(
-        F.count("*").alias("unique_files"), F.count("known").alias("already_indexed"), F.count_if(F.col("known").isNull()).alias("to_index"),
-        F.coalesce(F.sum("chunks"), F.lit(0)).alias("new_chunks"), F.count_if(F.col("known").isNull() & F.col("chunks").isNull()).alias("failed"),
+        F.coalesce(F.sum("copies"), F.lit(0)).alias("files_total"), F.count("*").alias("unique_files"), F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("duplicates"),
+        F.count("known").alias("already_indexed"), F.count_if(F.col("known").isNull()).alias("to_index"), F.coalesce(F.sum("chunks"), F.lit(0)).alias("new_chunks"), F.count_if(failed).alias("failed"),
     )
-    return chunks, parents, report
+    errors = marked.where(failed).select("source_label", F.lit(fixed.NO_TEXT).alias("reason"))
+    return chunks, parents, report, errors
 
 
 def search_lists(questions: DataFrame, vectors: DataFrame, chunks: DataFrame, k: int = 20) -> DataFrame:
     """The vector list (0) and the lexical list (1) of each question and collection."""
-    posts = postings(chunks)
-    terms, sizes = corpus_stats(posts, chunks)
-    lexical = bm25_topk(questions, posts, terms, sizes, k).select("question_id", "origin", "chunk_id", F.lit(1).alias("list_no"), "rank", F.lit(None).cast("double").alias("distance"))
+    terms, sizes = corpus_stats(chunks)
+    lexical = bm25_topk(questions, chunks, terms, sizes, k).select("question_id", "origin", "chunk_id", F.lit(1).alias("list_no"), "rank", F.lit(None).cast("double").alias("distance"))
     near = vector_topk(vectors, chunks, k).select("question_id", "origin", "chunk_id", F.lit(0).alias("list_no"), "rank", "distance")
     return near.unionByName(lexical)
 
 
-def retrieve(questions: DataFrame, chunks: DataFrame, parents: DataFrame, registry: DataFrame, top_k: int = 5, make_encoder=None) -> DataFrame:
+def retrieve(questions: DataFrame, chunks: DataFrame, parents: DataFrame, registry: DataFrame, top_k: int = 5, make_encoder=hash_encoder) -> DataFrame:
     """The best fragments for each question: ``question_id, rank, text, snippet, source_file, source_label, origin, score, distance``."""
     catalog = build_catalog(registry)
     exact = exact_articles(questions, catalog)
     articles = maximal_matches(exact).select("question_id", "rank", "canonical").unionByName(fuzzy_articles(questions, catalog, exact))
     asked = expand_query(questions, articles)
     queries = asked.select("question_id", query_text(F.col("expanded")).alias("q"))
-    vectors = embed(queries, "q", make_encoder) if make_encoder else embed(queries, "q")
+    vectors = embed(queries, "q", make_encoder)
     corpus = chunks.select("chunk_id", "origin", "embedding", searchable(F.col("doc_title"), F.col("heading_path"), F.col("text")).alias("text"))
     lists = search_lists(asked.select("question_id", F.col("expanded").alias("question")), vectors, corpus)
     return finish(questions, rrf_fuse(lists), chunks, parents, top_k)
 
 
 def finish(questions: DataFrame, fused: DataFrame, chunks: DataFrame, parents: DataFrame, top_k: int = 5) -> DataFrame:
-    """Parents, boost, section scan, dedupe and cut for fused hits."""
+    """Parents, boost, section scan, dedupe and cut for fused hits.
+
+    Texts are read for the boost and the digest of their beginnings, then left
+    behind; the last few hits of each question get them again.
+    """
     known = chunks.select("chunk_id", "origin", F.col("text").alias("snippet"), "source_file", "source_label", "parent_ref", F.struct("content_hash", "chunk_index").alias("chunk_order"))
     hits = with_parent_text(fused.join(known, ["chunk_id", "origin"]), parents).join(questions, "question_id")
     boosted = boost_procedural(hits).withColumn("position", F.struct(F.when(F.col("origin") == "equipment", 0).otherwise(1).alias("o"), "position"))
-    boosted = held(boosted, "hits")  # used by both branches
+    boosted = held(light_hits(boosted), "hits")  # used by both branches
     asking = boosted.where(is_procedural(F.col("question")))
     sections = best_sections(known, top_sources(asking)).withColumn("position", F.struct(F.lit(2).alias("o"), F.col("source_no").alias("position")))
-    sections = with_parent_text(sections, parents).withColumn("distance", F.lit(None).cast("double"))
-    names = ["question_id", "text", "snippet", "source_file", "source_label", "origin", "score", "distance", "position"]
-    return final_topk(dedupe_hits(combine_hits(boosted.select(names), sections.select(names))), top_k)
+    sections = light_hits(with_parent_text(sections, parents)).withColumn("distance", F.lit(None).cast("double"))
+    names = ["question_id", "chunk_id", "origin", "begin", "score", "distance", "position"]
+    best = final_topk(dedupe_hits(combine_hits(boosted.select(names), sections.select(names))), top_k)
+    shown = with_parent_text(best.join(known, ["chunk_id", "origin"]), parents)
+    return shown.select("question_id", "rank", "chunk_id", "text", "snippet", "source_file", "source_label", "origin", "score", "distance", "position")

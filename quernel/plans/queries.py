@@ -50,6 +50,7 @@ reg AS (
          p_name AS name, p_type || ' ' || p_brand AS model, CAST(l_partkey AS VARCHAR) AS serial, n_name AS address, l_quantity AS qty, l_linestatus AS unit, year(l_shipdate) AS y
   FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
 )"""
+_QUARTERS = _REG.replace("l_quantity AS qty", "l_quantity / 4 AS qty")
 _STOP = ", ".join(f"'{w}'" for w in STOP)
 _ASK = f"""
 q AS (
@@ -83,7 +84,10 @@ def count_questions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def due_questions(spark: SparkSession, sf: str) -> DataFrame:
-    asked = _read(spark, sf, "part").select(F.concat(F.lit("which "), "p_name", F.lit(" need replacing by 1996")).alias("question")).distinct()
+    """One for each part name, and one without a word for equipment for each year before 1997."""
+    named = _read(spark, sf, "part").select(F.concat(F.lit("which "), "p_name", F.lit(" need replacing by 1996")).alias("question"))
+    years = _read(spark, sf, "lineitem").select(F.year("l_shipdate").alias("y")).where("y < 1997")
+    asked = named.unionByName(years.select(F.concat(F.lit("which need replacing by "), F.col("y").cast("string")).alias("question"))).distinct()
     return asked.withColumn("question_id", F.col("question"))
 
 
@@ -99,37 +103,53 @@ def registry_by_address(spark, sf):
     return registry.quantity_by_address(count_questions(spark, sf), registry_view(spark, sf), STOP).drop("first_row")
 
 
-@query(f"""WITH {_REG}, {_ASK}, a AS (SELECT question_id, address, sum(s) AS q, min(first) AS f FROM j GROUP BY ALL),
+_NUMBER = "CASE WHEN {0} = floor({0}) THEN CAST(CAST({0} AS BIGINT) AS VARCHAR) ELSE printf('%.1f', {0}) END"
+_COUNT_FACTS = f"""WITH {_QUARTERS}, {_ASK}, a AS (SELECT question_id, address, sum(s) AS q, min(first) AS f FROM j GROUP BY ALL),
 u AS (SELECT question_id, unit, sum(n) AS n, min(first) AS f FROM j GROUP BY ALL),
 t AS (SELECT question_id, arg_min(unit, (-n, f)) AS unit, CAST(sum(n) AS BIGINT) AS n FROM u GROUP BY ALL),
-l AS (SELECT question_id, sum(q) AS q, string_agg('  - ' || address || ': ' || CAST(CAST(q AS BIGINT) AS VARCHAR), chr(10) ORDER BY q DESC, f) AS lines FROM a GROUP BY ALL)
-SELECT question_id, 'count' AS kind, 'Точный подсчёт по реестру для «' || array_to_string(q.words, ' ') || '»: ' || t.n || ' позиций, суммарно ' || CAST(CAST(l.q AS BIGINT) AS VARCHAR) || ' ' || t.unit || chr(10) || 'По адресам:' || chr(10) || l.lines AS facts_text
-FROM t JOIN l USING (question_id) JOIN q USING (question_id)""")
-def registry_facts_text(spark, sf):
-    return registry.answer_from_registry(count_questions(spark, sf), registry_view(spark, sf), 1996, STOP, count="how many", replacement="replacing")
+l AS (SELECT question_id, sum(q) AS q, string_agg('  - ' || address || ': ' || {_NUMBER.format('q')}, chr(10) ORDER BY q DESC, f) AS lines FROM a GROUP BY ALL)
+SELECT question_id, 'count' AS kind, 'Точный подсчёт по реестру для «' || array_to_string(q.words, ' ') || '»: ' || t.n || ' позиций, суммарно ' || {_NUMBER.format('l.q')} || ' ' || t.unit || chr(10) || 'По адресам:' || chr(10) || l.lines AS facts_text
+FROM t JOIN l USING (question_id) JOIN q USING (question_id)"""
 
 
 _DUE = f"""
 q AS (
   SELECT question AS question_id, list_filter(regexp_split_to_array(lower(question), '[^a-z0-9_]+'), lambda w: length(w) >= 4 AND w NOT IN ({_STOP}) AND NOT regexp_full_match(w, '[0-9]{{4}}')) AS words
-  FROM (SELECT DISTINCT 'which ' || p_name || ' need replacing by 1996' AS question FROM part)
+  FROM (SELECT DISTINCT 'which ' || p_name || ' need replacing by 1996' AS question FROM part UNION SELECT DISTINCT 'which need replacing by ' || y FROM reg WHERE y < 1997)
 ), d AS (
   SELECT DISTINCT name, model, list_transform(list_filter(regexp_split_to_array(lower(name || ' ' || model), '[^a-z0-9_]+'), lambda w: length(w) >= 4), lambda w: w[1:5]) AS stems FROM reg
 ), met AS (
-  SELECT question_id, name, model FROM q JOIN d ON len(words) = 0 OR list_has_any(list_transform(words, lambda w: w[1:5]), stems)
+  SELECT question_id, CAST(right(question_id, 4) AS INTEGER) AS asked, name, model FROM q JOIN d ON len(words) = 0 OR list_has_any(list_transform(words, lambda w: w[1:5]), stems)
 ), due AS (
-  SELECT question_id, row_id, name, address, y, row_number() OVER (PARTITION BY question_id ORDER BY y, row_id) AS rank, count(*) OVER (PARTITION BY question_id) AS total_positions
-  FROM met JOIN reg USING (name, model) WHERE y <= 1996
+  SELECT question_id, asked, row_id, name, address, y, row_number() OVER (PARTITION BY question_id ORDER BY y, row_id) AS rank, count(*) OVER (PARTITION BY question_id) AS total_positions
+  FROM met JOIN reg USING (name, model) WHERE y <= asked
 )"""
 
 
+_DUE_FACTS = f"""WITH {_REG}, {_DUE}, r AS (
+  SELECT question_id, any_value(total_positions) AS n, any_value(asked) AS asked, string_agg('  - ' || name || ' (замена ' || y || ') — ' || address, chr(10) ORDER BY rank) AS lines FROM due WHERE rank <= 20 GROUP BY question_id
+) SELECT question_id, 'replacement' AS kind, 'Точный подсчёт по реестру: ' || n || ' позиций с нормативным сроком замены до ' || asked || ' включительно' || chr(10) || lines || CASE WHEN n > 20 THEN chr(10) || '  ... и ещё ' || (n - 20) ELSE '' END AS facts_text FROM r"""
+
+
+def registry_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """Facts for all count and due questions; quantities are quarters, so that some are not whole."""
+    view = registry_view(spark, sf).withColumn("qty_raw", (F.col("qty_raw").cast("double") / 4).cast("string"))
+    asked = count_questions(spark, sf).unionByName(due_questions(spark, sf))
+    return registry.answer_from_registry(asked, view, 1996, STOP, count="how many", replacement="replacing")
+
+
+@query(f"SELECT * FROM ({_COUNT_FACTS}) UNION ALL SELECT * FROM ({_DUE_FACTS})")
+def registry_facts_text(spark, sf):
+    return registry_facts(spark, sf)
+
+
 @query(f"WITH {_REG}, {_DUE} SELECT question_id, rank, row_id, name, address, y AS due_year, total_positions FROM due WHERE rank <= 20")
 def registry_due(spark, sf):
     totals, rows = registry.replacements_due(due_questions(spark, sf), registry_view(spark, sf), 2000, stop_words=STOP)
     return rows.join(totals.select("question_id", "total_positions"), "question_id").select("question_id", "rank", "row_id", "name", "address", "due_year", "total_positions")
 
 
-@query(f"""WITH {_REG}, q AS (
+_MATCHING = f"""WITH {_REG}, q AS (
   SELECT question AS question_id, list_filter(regexp_split_to_array(lower(question), '[^a-z0-9_]+'), lambda w: length(w) >= 4 AND w NOT IN ({_STOP})) AS words
   FROM (SELECT DISTINCT 'how many ' || p_name || ' in total' AS question FROM part)
 ), a AS (
@@ -150,7 +170,10 @@ def registry_due(spark, sf):
 ), r AS (
   SELECT question_id, score, row_id, name, model, serial, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, row_id) AS rank
   FROM s JOIN k USING (question_id) JOIN reg USING (model, serial, name) WHERE score >= CASE WHEN n <= 2 THEN n ELSE (n + 1) // 2 END
-) SELECT question_id, rank, score, row_id, name, model, serial FROM r WHERE rank <= 20""")
+) SELECT question_id, rank, score, row_id, name, model, serial FROM r WHERE rank <= 20"""
+
+
+@query(_MATCHING)
 def registry_matching_rows(spark, sf):
     return registry.find_matching_rows(count_questions(spark, sf), registry_view(spark, sf), stop_words=STOP)
 
@@ -232,6 +255,20 @@ def article_expand(spark, sf):
     return articles.expand_query(asked, found).select("question_id", "question", "expanded")
 
 
+_PAIRS = _CATALOG.replace("SELECT raw AS question_id, 'status of ' || raw || ' today' AS question FROM (SELECT DISTINCT raw FROM kk)",
+                         "SELECT 'of ' || raw || ' and ' || r2 || ' now' AS question_id, 'of ' || raw || ' and ' || r2 || ' now' AS question FROM (SELECT raw, lead(raw) OVER (PARTITION BY doc_id ORDER BY i) AS r2 FROM kk) WHERE r2 IS NOT NULL GROUP BY ALL")
+
+
+@query(f"WITH {_PAIRS} SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY -length(article_key), article_key) AS rank, article_key, canonical FROM best")
+def article_pairs(spark, sf):
+    """Questions that name two neighbouring articles of a document."""
+    found = T.article_candidates(F.col("model"), ARTICLE)
+    both = article_view(spark, sf).select(F.explode(F.arrays_zip(found.alias("a"), F.slice(found, 2, 2**30).alias("b"))).alias("p")).where("p.b is not null")
+    asked = both.select(F.concat(F.lit("of "), "p.a", F.lit(" and "), "p.b", F.lit(" now")).alias("question")).distinct()
+    catalog = articles.build_catalog(article_view(spark, sf), ARTICLE)
+    return articles.maximal_matches(articles.exact_articles(asked.withColumn("question_id", F.col("question")), catalog))
+
+
 @query()
 def article_fuzzy(spark, sf):
     catalog = articles.build_catalog(article_view(spark, sf), ARTICLE)
@@ -294,11 +331,20 @@ def parents_upsert(spark, sf):
     return sinks.new_parents(docs.where("lang = 'en'").select("parent_ref"), docs.select("parent_ref", "text"))
 
 
-@query("SELECT count(*) AS unique_files, count(*) FILTER (known) AS already_indexed, count(*) FILTER (NOT known) AS to_index, count(*) FILTER (NOT known AND NOT empty) AS indexed, count(*) FILTER (NOT known AND empty) AS failed FROM (SELECT sha256(text) AS h, bool_or(lang = 'en') AS known, any_value(trim(text) = '') AS empty FROM documents GROUP BY ALL)")
+@query("SELECT CAST(sum(n) AS BIGINT) AS files_total, count(*) AS unique_files, CAST(sum(n) - count(*) AS BIGINT) AS duplicates, count(*) FILTER (known) AS already_indexed, count(*) FILTER (NOT known) AS to_index, count(*) FILTER (NOT known AND NOT empty) AS indexed, count(*) FILTER (NOT known AND empty) AS failed FROM (SELECT sha256(text) AS h, count(*) AS n, bool_or(lang = 'en') AS known, any_value(trim(text) = '') AS empty FROM documents GROUP BY ALL)")
 def index_report(spark, sf):
-    files = files_view(spark, sf).select("content_hash", "file_name", F.col("path").alias("source_label"), F.lit(".txt").alias("suffix"), "text")
-    chunks, _, report = jobs.build_index(files, stored_view(spark, sf))
-    return report.select("unique_files", "already_indexed", "to_index", (F.col("to_index") - F.col("failed")).alias("indexed"), "failed")
+    _, _, report, _ = jobs.build_index(source_files(spark, sf), stored_view(spark, sf))
+    return report.select("files_total", "unique_files", "duplicates", "already_indexed", "to_index", (F.col("to_index") - F.col("failed")).alias("indexed"), "failed")
+
+
+def source_files(spark: SparkSession, sf: str) -> DataFrame:
+    return files_view(spark, sf).select("content_hash", "file_name", F.col("path").alias("source_label"), F.lit(".txt").alias("suffix"), "text")
+
+
+@query()
+def index_chunks(spark, sf):
+    """The chunks of the index job with their vectors."""
+    return jobs.build_index(source_files(spark, sf), stored_view(spark, sf))[0]
 
 
 _ROWS = r"list_filter(list_transform(string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10) || chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')"
@@ -310,7 +356,31 @@ def row_chunks(spark, sf):
     return documents.chunk_rows(docs).select("doc_id", "chunk_index", "chunk_count", "text")
 
 
-@query()
+def _window_sql(source: str, key: str, text: str, size: int, overlap: int, out: str) -> str:
+    """Windows of ``size`` over ``text``: (key, place, piece); a window ends at the last blank line in its second half."""
+    half = size // 2
+    second = f"substr({{t}}, a + {half}, {size - half})".replace("{t}", "t")
+    gap = f"strpos(reverse({second}), chr(10) || chr(10))"
+    stop = f"CASE WHEN {gap} > 0 THEN a + {half} + length({second}) - {gap} - 1 ELSE a + {size} END"
+    return f"""{out}_w AS (
+  SELECT {key} AS key, {text} AS t, length({text}) AS n, 1::BIGINT AS a, 0 AS place FROM {source}
+  UNION ALL
+  SELECT key, t, n, greatest({stop} - {overlap}, a + {half}), place + 1 FROM {out}_w WHERE a - 1 + {size} < n
+), {out} AS (
+  SELECT key, place, CASE WHEN n <= {size} THEN t ELSE regexp_replace(CASE WHEN a - 1 + {size} < n THEN substr(t, a, {stop} - a) ELSE substr(t, a) END, '^\\s+|\\s+$', '', 'g') END AS piece, n <= {size} AS whole FROM {out}_w
+)"""
+
+
+_CHUNKS = f"""WITH RECURSIVE src AS (SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS text FROM documents),
+{_window_sql('src', 'doc_id', 'text', 3000, 0, 'big')},
+{_window_sql("(SELECT (key, place) AS bk, piece FROM big WHERE whole OR piece <> '')", 'bk', 'piece', 700, 100, 'small')},
+kept AS (SELECT key, place, piece FROM small WHERE regexp_matches(piece, '\\S')),
+named AS (SELECT k.key[1] AS doc_id, b.piece AS parent_text, k.piece AS text, row_number() OVER (PARTITION BY k.key[1] ORDER BY k.key[2], k.place) - 1 AS i, count(*) OVER (PARTITION BY k.key[1]) AS n
+  FROM kept k JOIN big b ON b.key = k.key[1] AND b.place = k.key[2])
+SELECT doc_id, CAST(n AS INTEGER) AS chunk_count, CAST(i AS INTEGER) AS chunk_index, text, parent_text, '' AS heading_path FROM named"""
+
+
+@query(_CHUNKS)
 def chunk_documents(spark, sf):
     docs = _read(spark, sf, "documents").select("doc_id", F.regexp_replace("text", "\n", "\n\n").alias("text"))
     return documents.chunk_documents(docs)
@@ -349,11 +419,12 @@ def csv_rows(spark, sf):
     return tables.csv_rows_to_text(rows.unionByName(head))
 
 
-@query("SELECT p_brand AS doc_id, string_agg(line, chr(10) || chr(10) ORDER BY late, k) AS text FROM (SELECT p_brand, 0 AS late, p_partkey AS k, p_name AS line FROM part UNION ALL SELECT p_brand, 1, p_partkey, p_type || ' | ' || p_size FROM part) GROUP BY p_brand")
+@query("SELECT doc_id, string_agg(line, chr(10) || chr(10) ORDER BY late, k) AS text FROM (SELECT p_partkey // 50 AS doc_id, 0 AS late, p_partkey AS k, p_name AS line FROM part UNION ALL SELECT p_partkey // 50, 1, p_partkey, p_type || ' | ' || p_size FROM part) GROUP BY doc_id")
 def blocks_to_text(spark, sf):
-    part = _read(spark, sf, "part")
-    paragraphs = part.select(F.col("p_brand").alias("doc_id"), F.lit("paragraph").alias("kind"), F.col("p_partkey").alias("block_idx"), F.array("p_name").alias("cells"))
-    rows = part.select(F.col("p_brand").alias("doc_id"), F.lit("table").alias("kind"), F.col("p_partkey").alias("block_idx"), F.array("p_type", F.col("p_size").cast("string")).alias("cells"))
+    """Documents of the paragraphs and table rows of fifty parts."""
+    part = _read(spark, sf, "part").withColumn("doc_id", F.floor(F.col("p_partkey") / 50))
+    paragraphs = part.select("doc_id", F.lit("paragraph").alias("kind"), F.col("p_partkey").alias("block_idx"), F.array("p_name").alias("cells"))
+    rows = part.select("doc_id", F.lit("table").alias("kind"), F.col("p_partkey").alias("block_idx"), F.array("p_type", F.col("p_size").cast("string")).alias("cells"))
     return tables.blocks_to_text(paragraphs.unionByName(rows))
 
 
@@ -442,19 +513,23 @@ def tokens(spark, sf):
     return _read(spark, sf, "documents").select("doc_id", F.size(t).cast("long").alias("n_tokens"), F.md5(F.array_join(t, " ")).alias("digest"))
 
 
+@query(f"WITH {_BM25} SELECT origin, chunk_id, term, tf, len AS length FROM posts")
+def bm25_postings(spark, sf):
+    return search.postings(search_chunks(spark, sf))
+
+
 @query(f"WITH {_BM25} SELECT origin, term, df, round(idf, 6) AS idf FROM terms")
 def bm25_stats(spark, sf):
     chunks = search_chunks(spark, sf)
-    terms, _ = search.corpus_stats(search.postings(chunks), chunks)
+    terms, _ = search.corpus_stats(chunks)
     return terms.withColumn("idf", F.round("idf", 6))
 
 
 @query(f"WITH {_BM25} SELECT question_id, origin, chunk_id, round(score, 6) AS score, rank FROM bm")
 def bm25_topk(spark, sf):
     chunks = search_chunks(spark, sf)
-    posts = search.postings(chunks)
-    terms, sizes = search.corpus_stats(posts, chunks)
-    return search.bm25_topk(benchmark_questions(spark, sf), posts, terms, sizes).withColumn("score", F.round("score", 6))
+    terms, sizes = search.corpus_stats(chunks)
+    return search.bm25_topk(benchmark_questions(spark, sf), chunks, terms, sizes).withColumn("score", F.round("score", 6))
 
 
 @query(f"WITH {_VEC.format('vec_id % 50 = 0')} SELECT question_id, origin, chunk_id, round(distance, 6) AS distance, rank FROM vt")
@@ -478,9 +553,8 @@ def _fused(spark: SparkSession, sf: str) -> DataFrame:
     asked = benchmark_questions(spark, sf)
     vectors = _read(spark, sf, "embeddings").withColumnRenamed("vec_id", "question_id").join(asked.select("question_id"), "question_id", "left_semi").select("question_id", "embedding")
     chunks = search_chunks(spark, sf)
-    posts = search.postings(chunks)
-    terms, sizes = search.corpus_stats(posts, chunks)
-    lexical = search.bm25_topk(asked, posts, terms, sizes).select("question_id", "origin", "chunk_id", F.lit(1).alias("list_no"), "rank", F.lit(None).cast("double").alias("distance"))
+    terms, sizes = search.corpus_stats(chunks)
+    lexical = search.bm25_topk(asked, chunks, terms, sizes).select("question_id", "origin", "chunk_id", F.lit(1).alias("list_no"), "rank", F.lit(None).cast("double").alias("distance"))
     near = search.vector_topk(vectors, vector_chunks(spark, sf)).select("question_id", "origin", "chunk_id", F.lit(0).alias("list_no"), "rank", "distance")
     return search.rrf_fuse(near.unionByName(lexical))
 
@@ -544,9 +618,9 @@ def section_scan(spark, sf):
 
 
 def _combined(spark: SparkSession, sf: str) -> DataFrame:
-    boosted = held(_boosted(spark, sf), "hits")  # used by both branches
-    sections = hits.with_parent_text(_sections(spark, sf, boosted), parents_view(spark, sf)).withColumn("distance", F.lit(None).cast("double"))
-    names = ["question_id", "origin", "chunk_id", "text", "snippet", "source_label", "score", "distance", "position"]
+    boosted = held(hits.light_hits(_boosted(spark, sf)), "hits")  # used by both branches
+    sections = hits.light_hits(hits.with_parent_text(_sections(spark, sf, boosted), parents_view(spark, sf))).withColumn("distance", F.lit(None).cast("double"))
+    names = ["question_id", "origin", "chunk_id", "begin", "source_label", "score", "distance", "position"]
     sections = sections.withColumn("position", F.col("source_no"))
     own = boosted.withColumn("position", F.when(F.col("origin") == "equipment", 0).otherwise(1000) + F.col("position"))
     return hits.combine_hits(own.select(names), sections.select(names))
@@ -573,6 +647,12 @@ def _final(spark: SparkSession, sf: str) -> DataFrame:
     return hits.final_topk(hits.dedupe_hits(_combined(spark, sf)))
 
 
+def _shown(spark: SparkSession, sf: str) -> DataFrame:
+    """The final hits with their texts."""
+    docs = _read(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("snippet"), T.parent_ref(F.col("text")).alias("parent_ref"))
+    return hits.with_parent_text(held(_final(spark, sf), "final").join(docs, "chunk_id"), parents_view(spark, sf))
+
+
 @query(f"WITH {_ALL} SELECT question_id, rank, origin, chunk_id, part, round(score, 6) AS score FROM final")
 def retrieve(spark, sf):
     return _final(spark, sf).select("question_id", "rank", "origin", "chunk_id", "part", F.round("score", 6).alias("score"))
@@ -583,7 +663,7 @@ _PERCENT = "CASE WHEN distance IS NULL THEN 75 ELSE greatest(0, least(100, CAST(
 
 @query(rf"WITH {_ALL} SELECT question_id, rank, regexp_replace(regexp_extract(source_label, '([^/]*)$', 1), '(.)\.[^.]*$', '\1') AS title, substr(trim(regexp_replace(snippet, '\s+', ' ', 'g')), 1, 200) AS snippet, {_PERCENT} AS relevance FROM final")
 def found_docs(spark, sf):
-    return hits.found_docs(_final(spark, sf))
+    return hits.found_docs(_shown(spark, sf))
 
 
 @query(f"WITH {_ALL} SELECT question_id, string_agg(DISTINCT source_label, ',' ORDER BY source_label) AS sources FROM final GROUP BY question_id")
@@ -631,51 +711,85 @@ def retain_turns(spark, sf):
     return dialogue.retain_turns(turns_view(spark, sf), 3, 500)
 
 
+def asked_of(spark: SparkSession, sf: str) -> DataFrame:
+    """``question_id, asked``: the register question that goes with a benchmark question: the count of the part of its number."""
+    part = _read(spark, sf, "part").select(F.col("p_partkey").alias("question_id"), F.concat(F.lit("how many "), "p_name", F.lit(" in total")).alias("question"))
+    return benchmark_questions(spark, sf).select("question_id").join(part, "question_id")
+
+
 def _facts(spark: SparkSession, sf: str) -> DataFrame:
-    """Facts for some benchmark questions: those of English words about ``the``."""
-    return benchmark_questions(spark, sf).where("question like 'The%'").select("question_id", F.lit("10 позиций").alias("facts_text"))
+    """The register's answers to the questions that go with benchmark questions."""
+    view = registry_view(spark, sf).withColumn("qty_raw", (F.col("qty_raw").cast("double") / 4).cast("string"))
+    return registry.answer_from_registry(asked_of(spark, sf), view, 1996, STOP, count="how many", replacement="replacing").select("question_id", "facts_text")
 
 
-@query(f"""WITH {_ALL}, {_TURNS}, h AS (
+_FACTS = f"facts AS (SELECT p_partkey AS question_id, facts_text FROM ({_COUNT_FACTS}) c JOIN part ON c.question_id = 'how many ' || p_name || ' in total')"
+
+
+@query(f"""WITH {_ALL}, {_TURNS}, {_FACTS}, h AS (
   SELECT conv_id AS question_id, string_agg('Пользователь: ' || question || chr(10) || 'Ты: ' || substr(answer, 1, 400), chr(10) ORDER BY turn_id) AS t FROM (SELECT * FROM turns QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn_id DESC) <= 3) GROUP BY conv_id
 ), f AS (
   SELECT question_id, string_agg('[Источник ' || rank || ': ' || source_label || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS t FROM final GROUP BY question_id
 ) SELECT b.item_id AS question_id, md5(concat_ws(chr(10) || chr(10) || '---' || chr(10) || chr(10),
   'ПРЕДЫДУЩИЕ ВОПРОСЫ (для понимания отсылок вроде «а сколько их»):' || chr(10) || h.t,
-  CASE WHEN b.text LIKE 'The%' THEN 'ТОЧНЫЕ ДАННЫЕ ИЗ РЕЕСТРА (посчитаны по всей базе, используй эти числа как достоверные):' || chr(10) || '10 позиций' END,
-  CASE WHEN f.t IS NOT NULL THEN 'ФРАГМЕНТЫ ДОКУМЕНТАЦИИ:' || chr(10) || chr(10) || f.t WHEN b.text NOT LIKE 'The%' THEN 'КОНТЕКСТ ПУСТ: подходящих документов не найдено.' END,
-  'ВОПРОС: ' || b.text)) AS context_md5 FROM benchmark b LEFT JOIN h ON h.question_id = b.item_id LEFT JOIN f ON f.question_id = b.item_id""")
+  'ТОЧНЫЕ ДАННЫЕ ИЗ РЕЕСТРА (посчитаны по всей базе, используй эти числа как достоверные):' || chr(10) || facts.facts_text,
+  CASE WHEN f.t IS NOT NULL THEN 'ФРАГМЕНТЫ ДОКУМЕНТАЦИИ:' || chr(10) || chr(10) || f.t WHEN facts.facts_text IS NULL THEN 'КОНТЕКСТ ПУСТ: подходящих документов не найдено.' END,
+  'ВОПРОС: ' || b.text)) AS context_md5 FROM benchmark b LEFT JOIN h ON h.question_id = b.item_id LEFT JOIN f ON f.question_id = b.item_id LEFT JOIN facts ON facts.question_id = b.item_id""")
 def context(spark, sf):
     turns = dialogue.recent_turns(turns_view(spark, sf)).withColumnRenamed("conv_id", "question_id")
-    made = dialogue.assemble_context(benchmark_questions(spark, sf), _final(spark, sf), _facts(spark, sf), turns)
+    made = dialogue.assemble_context(benchmark_questions(spark, sf), _shown(spark, sf), _facts(spark, sf), turns)
     return made.select("question_id", F.md5("context").alias("context_md5"))
 
 
 def _answers(spark: SparkSession, sf: str) -> DataFrame:
-    """The benchmark text as the answer; those that begin with A refuse."""
+    """The benchmark text as the answer, with facts; those that begin with A refuse."""
     asked = benchmark_questions(spark, sf).join(_facts(spark, sf), "question_id", "left")
     return asked.select("question_id", F.when(F.col("question").startswith("A"), F.concat(F.lit("не найден "), "question")).otherwise(F.col("question")).alias("answer"), "facts_text")
 
 
-@query(f"""WITH {_ALL}, d AS (SELECT question_id, count(*) AS n, max({_PERCENT}) AS best FROM final GROUP BY question_id)
-SELECT item_id AS question_id, CASE WHEN (text LIKE 'The%' AND coalesce(n, 0) = 0) OR text LIKE 'A%' THEN NULL WHEN coalesce(n, 0) = 0 THEN 'Ответ дан без опоры на документацию — проверьте сведения сами.'
+_CAUTION = f"""{_ALL}, {_FACTS}, d AS (SELECT question_id, count(*) AS n, max({_PERCENT}) AS best FROM final GROUP BY question_id), cautions AS (
+SELECT item_id AS question_id, text AS question, facts_text, CASE WHEN text LIKE 'A%' THEN 'не найден ' ELSE '' END || text AS answer,
+CASE WHEN (facts_text IS NOT NULL AND coalesce(n, 0) = 0) OR text LIKE 'A%' THEN NULL WHEN coalesce(n, 0) = 0 THEN 'Ответ дан без опоры на документацию — проверьте сведения сами.'
 WHEN best < 60 THEN 'Подходящих мест в документации не нашлось — ответ может относиться к другому оборудованию. Сверьтесь с источниками.'
-WHEN n <= 2 THEN 'Ответ собран по одному-двум фрагментам. Сверьтесь с источниками.' END AS caution FROM benchmark LEFT JOIN d ON d.question_id = item_id""")
+WHEN n <= 2 THEN 'Ответ собран по одному-двум фрагментам. Сверьтесь с источниками.' END AS caution FROM benchmark LEFT JOIN d ON d.question_id = item_id LEFT JOIN facts ON facts.question_id = item_id)"""
+
+
+@query(f"WITH {_CAUTION} SELECT question_id, caution FROM cautions")
 def caution(spark, sf):
-    return dialogue.caution(_answers(spark, sf), hits.found_docs(_final(spark, sf)))
+    return dialogue.caution(_answers(spark, sf), hits.found_docs(_shown(spark, sf)))
 
 
-@query()
+_FOUND = rf"""found AS (SELECT question_id, rank, regexp_replace(regexp_extract(source_label, '([^/]*)$', 1), '(.)\.[^.]*$', '\1') AS title, substr(trim(regexp_replace(snippet, '\s+', ' ', 'g')), 1, 200) AS snippet, {_PERCENT} AS relevance FROM final)"""
+_RESPONSE_ROWS = _MATCHING.replace("(SELECT DISTINCT 'how many ' || p_name || ' in total' AS question FROM part)", "(SELECT DISTINCT 'how many ' || p_name || ' in total' AS question FROM part JOIN benchmark ON item_id = p_partkey)")
+
+
+@query(f"""WITH {_CAUTION}, {_FOUND}, docs AS (SELECT question_id, list({{'title': title, 'snippet': snippet, 'relevance': relevance}} ORDER BY rank) AS found_docs FROM found GROUP BY question_id),
+labels AS (SELECT question_id, list(DISTINCT source_label ORDER BY source_label) AS sources FROM final GROUP BY question_id),
+matching AS (SELECT p_partkey AS question_id, list({{'score': score, 'row_id': row_id, 'name': name, 'model': model, 'serial': serial}} ORDER BY rank) AS registry_rows FROM ({_RESPONSE_ROWS}) m JOIN part ON m.question_id = 'how many ' || p_name || ' in total' GROUP BY p_partkey)
+SELECT question_id, CAST(to_json({{'answer': answer, 'sources': coalesce(sources, []), 'registry_rows': coalesce(registry_rows, []), 'exact_counts': facts_text, 'found_docs': coalesce(found_docs, []), 'caution': caution}}) AS VARCHAR) AS response
+FROM cautions LEFT JOIN docs USING (question_id) LEFT JOIN labels USING (question_id) LEFT JOIN matching USING (question_id)""")
 def response(spark, sf):
-    final = _final(spark, sf)
-    docs, answers = hits.found_docs(final), _answers(spark, sf)
-    return dialogue.response_json(answers, hits.sources(final), docs, dialogue.caution(answers, docs))
+    final = held(_shown(spark, sf), "shown")
+    docs, answers = hits.found_docs(final), held(_answers(spark, sf), "answers")
+    rows = registry.find_matching_rows(asked_of(spark, sf), registry_view(spark, sf), stop_words=STOP)
+    return dialogue.response_json(answers, hits.sources(final), docs, dialogue.caution(answers, docs), rows)
 
 
-@query("""SELECT item_id AS question_id, (NOT refuse OR text LIKE 'A%') AND has AND NOT bad AS passed FROM (
-SELECT *, length(text) % 2 = 0 AS refuse, contains(lower(text), 'the') AS has, contains(lower(text), 'zz') AS bad FROM benchmark)""")
-def evaluate(spark, sf):
+_CHECKS = f"""WITH {_FACTS}, c AS (
+SELECT item_id, length(text) % 2 = 0 AS refuse, text LIKE 'A%' AS refused, contains(lower(text), 'the') AS has, contains(lower(text), 'zz') AS bad, length(text) % 3 = 0 AND facts_text IS NULL AS uncounted FROM benchmark LEFT JOIN facts ON facts.question_id = item_id)"""
+
+
+def _checked(spark: SparkSession, sf: str) -> DataFrame:
     asked = benchmark_questions(spark, sf)
-    cases = asked.select("question_id", (F.length("question") % 2 == 0).alias("must_refuse"), F.array(F.lit("The")).alias("must_contain"), F.array(F.lit("ZZ")).alias("must_not_contain"), F.lit(False).alias("needs_exact_counts"))
-    answers = _answers(spark, sf).withColumnRenamed("facts_text", "exact_counts")
-    return dialogue.evaluate_answers(answers, cases).select("question_id", "passed")
+    cases = asked.select("question_id", (F.length("question") % 2 == 0).alias("must_refuse"), F.array(F.lit("The")).alias("must_contain"), F.array(F.lit("ZZ")).alias("must_not_contain"), (F.length("question") % 3 == 0).alias("needs_exact_counts"))
+    return dialogue.evaluate_answers(_answers(spark, sf).withColumnRenamed("facts_text", "exact_counts"), cases)
+
+
+@query(f"{_CHECKS} SELECT item_id AS question_id, (NOT refuse OR refused) AND has AND NOT bad AND NOT uncounted AS passed FROM c")
+def evaluate(spark, sf):
+    return _checked(spark, sf).select("question_id", "passed")
+
+
+@query(f"""{_CHECKS} SELECT * FROM (SELECT unnest(['refusal', 'exact_counts', 'contains', 'excludes']) AS check, unnest([count(*) FILTER (refuse AND NOT refused), count(*) FILTER (uncounted), count(*) FILTER (NOT has), count(*) FILTER (bad)]) AS failures FROM c) WHERE failures > 0""")
+def evaluate_failures(spark, sf):
+    return dialogue.check_failures(_checked(spark, sf))

@@ -13,10 +13,15 @@ _OWN: dict[str, str] = {}
 def held(df: DataFrame, label: str = "held") -> DataFrame:
     """``df`` written to the folder in ``spark.checkpoint.dir`` and read back.
 
-    Without that setting, as in tests, a temporary folder is used.
+    Only on a local master, as in tests, may that setting be absent; a temporary
+    folder is used then.
     """
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or _OWN.setdefault("dir", tempfile.mkdtemp(prefix="spark-"))
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = _OWN["dir"] = _OWN.get("dir") or tempfile.mkdtemp(prefix="spark-")
     path = f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

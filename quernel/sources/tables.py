@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import csv
+import io
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from quernel.functions import fixed
-from quernel.functions.text import strip, suffix
+from quernel.functions.text import repair_text, strip, strip_toc_lines, suffix
 
 
 def scan_files(spark: SparkSession, root: str, suffixes=fixed.SUFFIXES, excluded=fixed.EXCLUDED_FOLDERS) -> DataFrame:
@@ -28,7 +33,8 @@ def with_content_hash(df: DataFrame, column: str) -> DataFrame:
 def read_csv_cells(spark: SparkSession, path: str, width: int) -> DataFrame:
     """Records of delimited files as ``(file_id, row_idx, cells)``, in the order of each file.
 
-    Quoted line breaks need one task for each file.
+    Quoted line breaks need one task for each file.  Cells beyond ``width``, the number of cells of the
+    longest record, are left out.
     """
     names = [f"c{k}" for k in range(width)]
     raw = spark.read.option("multiLine", "true").schema(", ".join(f"{n} string" for n in names)).csv(path)
@@ -37,6 +43,25 @@ def read_csv_cells(spark: SparkSession, path: str, width: int) -> DataFrame:
     return cells.join(first, "file_id").select("file_id", (F.col("n") - F.col("first")).alias("row_idx"), "cells")
 
 
+@F.pandas_udf(StringType())
+def csv_content_to_text(content: pd.Series) -> pd.Series:
+    """The rows of whole delimited files as text, blocks between blank lines; the header is the first record.
+
+    A file that is not UTF-8 has its wrong bytes replaced.
+    """
+
+    def text(raw: bytes | None) -> str:
+        records = list(csv.reader(io.StringIO((raw or b"").decode("utf-8-sig", "replace"), newline="")))
+        lines = (", ".join(f"{h}: {v}" for h, v in zip(records[0], r) if v) for r in records[1:])
+        return "\n\n".join(x for x in lines if x)
+
+    return content.map(text)
+
+
+#: How the bytes of a file become text, by suffix; other kinds need a reader of the caller's.
+READERS = {".csv": csv_content_to_text}
+
+
 def csv_rows_to_text(cells: DataFrame) -> DataFrame:
     """``header: value`` pairs of non-empty values joined by commas; the header is row 0."""
     header = cells.where("row_idx = 0").select("file_id", F.col("cells").alias("header"))
@@ -105,3 +130,10 @@ def useful_text(docs: DataFrame, min_chars: int = fixed.MIN_USEFUL) -> DataFrame
     n = F.length(strip(F.coalesce("text", F.lit(""))))
     reason = F.when(n == 0, "empty").when(n < min_chars, "short")
     return docs.withColumn("useful", n >= min_chars).withColumn("reason", reason)
+
+
+def pdf_layer_text(docs: DataFrame, min_chars: int = fixed.MIN_USEFUL) -> DataFrame:
+    """Texts of ``.pdf`` rows repaired, without contents lines, and empty where too little is left; others as they are."""
+    clean = strip_toc_lines(repair_text(F.col("text")))
+    kept = F.when(F.length(strip(clean)) >= min_chars, clean).otherwise("")
+    return docs.withColumn("text", F.when(F.col("suffix") == ".pdf", kept).otherwise(F.col("text")))

@@ -2,65 +2,92 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernel.functions import fixed
-from quernel.functions.text import safe_filename, suffix
+from quernel.functions.text import fill, passage_text, safe_filename, suffix
 from quernel.operators.documents import build_chunks, duplicate_uploads
+from quernel.operators.search import embed, hash_encoder
 from quernel.sources.sinks import new_parents
-from quernel.sources.tables import with_content_hash
+from quernel.sources.tables import READERS, with_content_hash
+
+CHUNKS = (
+    "chunk_id string, content_hash string, chunk_index int, chunk_count int, source_file string, source_label string, doc_title string, heading_path string, "
+    "parent_ref string, text string, embedding array<float>, origin string, batch_id long"
+)
+STATUS = "batch_id long, path string, status string, chunks long, error string"
 
 
 def check_uploads(files: DataFrame, max_bytes: int = fixed.MAX_UPLOAD, suffixes=fixed.SUFFIXES) -> DataFrame:
     """Adds ``file_name``, ``suffix`` and the reason why a file is ``rejected``, or null."""
     named = files.withColumn("file_name", safe_filename(F.col("path"))).withColumn("suffix", suffix(F.col("file_name")))
-    kind = F.concat(F.lit("Неподдерживаемый формат: "), F.coalesce("suffix", F.lit("")))
-    size = F.lit(f"Файл больше {max_bytes // 1024 // 1024} МБ")
+    kind = fill(fixed.WRONG_KIND, F.coalesce("suffix", F.lit("")))
+    size = F.lit(fixed.TOO_LARGE % (max_bytes // 1024 // 1024))
     return named.withColumn("rejected", F.when(~F.coalesce(F.col("suffix").isin(*suffixes), F.lit(False)), kind).when(F.col("length") > max_bytes, size))
 
 
-def ingest_batch(batch: DataFrame, batch_id: int, index_dir: str, origin: str = "user") -> None:
-    """Indexes one batch and appends its statuses; a repeated batch finds its contents indexed and adds nothing."""
+def file_text(files: DataFrame, readers=READERS) -> DataFrame:
+    """Adds ``text``, read by the reader of a file's suffix; ``rejected`` where there is none."""
+    text: Column | None = None
+    for kind, read in readers.items():
+        hit = F.col("suffix") == kind
+        text = F.when(hit, read(F.col("content"))) if text is None else text.when(hit, read(F.col("content")))
+    unread = F.when(~F.coalesce(F.col("suffix").isin(*readers), F.lit(False)), fill(fixed.NO_READER, F.coalesce("suffix", F.lit(""))))
+    return files.withColumn("rejected", F.coalesce("rejected", unread)).withColumn("text", F.when(F.col("rejected").isNull(), text))
+
+
+def ingest_batch(batch: DataFrame, batch_id: int, index_dir: str, origin: str = "user", make_encoder=hash_encoder, readers=READERS) -> None:
+    """Indexes one batch: parents, chunks with their vectors, then one status for each file.
+
+    Chunks lie in folders of their batch, which a repeated batch writes anew; it
+    looks for known contents in earlier batches only.  So a batch that broke off
+    between its writes ends with the same chunks and statuses as an unbroken one.
+    """
     spark = batch.sparkSession
     chunks_dir, parents_dir, status_dir = (f"{index_dir}/{n}" for n in ("chunks", "parents", "status"))
-    done = _read(spark, status_dir, "batch_id long, path string, status string, chunks long, error string")
-    if not done.where(F.col("batch_id") == batch_id).isEmpty():
+    if not _read(spark, status_dir, STATUS).where(F.col("batch_id") == batch_id).isEmpty():
         return
-    files = check_uploads(with_content_hash(batch, "content")).withColumn("source_label", F.col("file_name")).persist()
-    existing = _read(spark, chunks_dir, "chunk_id string, content_hash string, chunk_index int, chunk_count int, source_file string, source_label string, doc_title string, heading_path string, parent_ref string, text string, origin string")
+    files = file_text(check_uploads(with_content_hash(batch, "content")), readers).withColumn("source_label", F.col("file_name")).drop("content").persist()
+    existing = _read(spark, chunks_dir, CHUNKS).where(F.col("batch_id") < batch_id)
     good = files.where("rejected is null")
     first = good.groupBy("content_hash").agg(F.min("path").alias("path"))
-    known = duplicate_uploads(good, existing).select("path", F.lit("error").alias("status"), F.lit(0).cast("long").alias("chunks"), F.col("message").alias("error"))
     fresh = good.join(first, ["content_hash", "path"], "left_semi").join(existing.select("content_hash").distinct(), "content_hash", "left_anti")
-    texts = fresh.withColumn("text", F.decode("content", "UTF-8"))
-    rows = build_chunks(texts, origin).persist()
-    made = fresh.join(rows.groupBy("content_hash").agg(F.count("*").alias("n")), "content_hash", "left")
-    made = made.select("path", F.when(F.col("n").isNull(), "error").otherwise("done").alias("status"), F.coalesce("n", F.lit(0)).alias("chunks"), F.when(F.col("n").isNull(), "пустой текст после парсинга").alias("error"))
+    rows = build_chunks(fresh, origin).withColumn("passage", passage_text(F.col("doc_title"), F.col("heading_path"), F.col("text")))
+    rows = embed(rows, "passage", make_encoder).drop("passage").persist()
+
+    failed = lambda df, message: df.select("path", F.lit("error").alias("status"), F.lit(0).cast("long").alias("chunks"), message.alias("error"))
+    counted = fresh.join(rows.groupBy("content_hash").agg(F.count("*").alias("n")), "content_hash", "left")
+    made = counted.where("n is not null").select("path", F.lit("done").alias("status"), F.col("n").alias("chunks"), F.lit(None).cast("string").alias("error"))
+    empty = failed(counted.where("n is null"), F.lit(fixed.NO_TEXT))
+    known = failed(duplicate_uploads(good, existing), F.col("message"))
     twins = good.join(first, ["content_hash", "path"], "left_anti").join(existing.select("content_hash").distinct(), "content_hash", "left_anti")
-    twins = twins.select("path", F.lit("error").alias("status"), F.lit(0).cast("long").alias("chunks"), F.lit("Этот документ уже добавлен").alias("error"))
-    refused = files.where("rejected is not null").select("path", F.lit("error").alias("status"), F.lit(0).cast("long").alias("chunks"), F.col("rejected").alias("error"))
-    status = made.unionByName(known).unionByName(twins).unionByName(refused).withColumn("batch_id", F.lit(batch_id).cast("long")).persist()
-    status.count()  # before the chunks are there
-    parents = rows.select("parent_ref", F.col("parent_text").alias("text"))
-    new_parents(_read(spark, parents_dir, "parent_ref string, text string"), parents).write.mode("append").parquet(parents_dir)
-    rows.drop("parent_text").write.mode("append").partitionBy("origin").parquet(chunks_dir)
-    status.select("batch_id", "path", "status", "chunks", "error").write.mode("append").parquet(status_dir)
-    for df in (files, rows, status):
+    refused = failed(files.where("rejected is not null"), F.col("rejected"))
+    status = made.unionByName(empty).unionByName(known).unionByName(failed(twins, F.lit(fixed.KNOWN_FILE))).unionByName(refused)
+
+    new_parents(_read(spark, parents_dir, "parent_ref string, text string"), rows.select("parent_ref", F.col("parent_text").alias("text"))).write.mode("append").parquet(parents_dir)
+    placed = rows.drop("parent_text").withColumn("batch_id", F.lit(batch_id).cast("long"))
+    placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("origin", "batch_id").parquet(chunks_dir)
+    status.select(F.lit(batch_id).cast("long").alias("batch_id"), "path", "status", "chunks", "error").write.mode("append").parquet(status_dir)
+    for df in (files, rows):
         df.unpersist()
 
 
 def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+    """The table at ``path``, empty where nothing has been written yet."""
+    try:
+        table = spark.read.schema(schema).parquet(path)
+        table.schema  # noqa: B018  a missing path shows here at the latest
+        return table
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path)
 
 
-def ingest_stream(spark: SparkSession, in_dir: str, index_dir: str, checkpoint: str, once: bool = False):
+def ingest_stream(spark: SparkSession, in_dir: str, index_dir: str, checkpoint: str, once: bool = False, make_encoder=hash_encoder, readers=READERS):
     """Starts the stream over files that arrive below ``in_dir``; returns the streaming query."""
     arriving = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").schema("path string, modificationTime timestamp, length long, content binary").load(in_dir)
-    writer = arriving.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, n: ingest_batch(df, n, index_dir))
+    writer = arriving.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, n: ingest_batch(df, n, index_dir, make_encoder=make_encoder, readers=readers))
     return (writer.trigger(availableNow=True) if once else writer).start()
-
-

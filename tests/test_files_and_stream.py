@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from quernel.plans import jobs
 from quernel.sources import sinks, tables
+from quernel.streaming import ingest
 from quernel.streaming.ingest import check_uploads, ingest_stream
 
 
@@ -25,8 +26,9 @@ def test_index_and_retrieval(spark, tmp_path):
         ("h2", "t.csv", "t.csv", ".csv", "щит ВА47-63\n\nлампа"), ("h3", "empty.pdf", "empty.pdf", ".pdf", "  \n"), ("h4", "old.pdf", "old.pdf", ".pdf", "old"),
     ]
     existing = spark.createDataFrame([("h4",)], "content_hash string")
-    chunks, parents, report = jobs.build_index(spark.createDataFrame(rows, SOURCES), existing)
-    assert report.first().asDict() == {"unique_files": 4, "already_indexed": 1, "to_index": 3, "new_chunks": 3, "failed": 1}
+    chunks, parents, report, errors = jobs.build_index(spark.createDataFrame(rows, SOURCES), existing)
+    assert report.first().asDict() == {"files_total": 5, "unique_files": 4, "duplicates": 1, "already_indexed": 1, "to_index": 3, "new_chunks": 3, "failed": 1}
+    assert [tuple(r) for r in errors.collect()] == [("empty.pdf", "пустой текст после парсинга")]
     sinks.write_chunks(chunks, f"{tmp_path}/chunks")
     sinks.write_chunks(chunks.withColumn("origin", F.lit("user")).where("content_hash = 'h2'"), f"{tmp_path}/chunks")
     stored = sinks.read_collections(spark, f"{tmp_path}/chunks")
@@ -48,17 +50,56 @@ def test_upload_guard(spark):
     assert got[0].startswith("Неподдерживаемый") and got[1] == "Файл больше 200 МБ" and got[2] is None
 
 
+def test_pdf_layers_are_cleaned(spark):
+    long = "слово " * 40
+    rows = [(1, ".pdf", f"/uni0421{long}\nВведение ........ 5"), (2, ".pdf", "коротко"), (3, ".csv", "коротко")]
+    got = {r["n"]: r["text"] for r in tables.pdf_layer_text(spark.createDataFrame(rows, "n int, suffix string, text string")).collect()}
+    assert got == {1: f"С{long}", 2: "", 3: "коротко"}
+
+
+def statuses(spark, index):
+    return {r["path"].rsplit("/", 1)[1]: (r["status"], r["chunks"], r["error"]) for r in spark.read.parquet(f"{index}/status").collect()}
+
+
 def test_stream_indexes_once(spark, tmp_path):
     arriving, index = tmp_path / "in", f"{tmp_path}/index"
     arriving.mkdir()
     run = lambda: ingest_stream(spark, f"file:{arriving}", index, f"{tmp_path}/cp", once=True).awaitTermination()
-    (arriving / "a.csv").write_text("строка один\n\nстрока два")
-    (arriving / "b.csv").write_text("  ")
+    (arriving / "a.csv").write_text('\ufeffимя,число\n"щит\nА",2\n,\nлампа,\n')
+    (arriving / "b.csv").write_text("имя\n")
+    (arriving / "d.pdf").write_bytes(b"%PDF-1.4 \xff\xfe")
     run()
-    (arriving / "copy.csv").write_text("строка один\n\nстрока два")
+    (arriving / "copy.csv").write_bytes((arriving / "a.csv").read_bytes())
     (arriving / "c.exe").write_text("x")
     run()
     run()
-    status = {r["path"].rsplit("/", 1)[1]: (r["status"], r["chunks"]) for r in spark.read.parquet(f"{index}/status").collect()}
-    assert status == {"a.csv": ("done", 2), "b.csv": ("error", 0), "copy.csv": ("error", 0), "c.exe": ("error", 0)}
-    assert spark.read.parquet(f"{index}/chunks").count() == 2
+    assert statuses(spark, index) == {
+        "a.csv": ("done", 2, None), "b.csv": ("error", 0, "пустой текст после парсинга"), "d.pdf": ("error", 0, "нет чтения формата .pdf"),
+        "copy.csv": ("error", 0, "Этот документ уже добавлен — «a.csv»"), "c.exe": ("error", 0, "Неподдерживаемый формат: .exe"),
+    }
+    chunks = spark.read.parquet(f"{index}/chunks").orderBy("chunk_index").collect()
+    assert [c["text"] for c in chunks] == ["имя: щит\nА, число: 2", "имя: лампа"] and all(abs(sum(x * x for x in c["embedding"]) - 1) < 1e-5 for c in chunks)
+
+
+def test_a_batch_that_broke_off_is_written_anew(spark, tmp_path, monkeypatch):
+    """The status is lost after the chunks were written; the repeated batch ends as an unbroken one."""
+    index = f"{tmp_path}/index"
+    batch = spark.createDataFrame([("/x/a.csv", 9, bytearray("k\nодин\nдва".encode())), ("/x/b.csv", 9, bytearray("k\nодин\nдва".encode()))], "path string, length long, content binary")
+    real = ingest.duplicate_uploads
+    monkeypatch.setattr(ingest, "duplicate_uploads", lambda *a: real(*a).withColumn("message", F.raise_error(F.lit("broken"))))
+    first = spark.createDataFrame([("/x/o.csv", 9, bytearray(b"k\nold"))], "path string, length long, content binary")
+    ingest.ingest_batch(first, 0, index)
+    try:
+        ingest.ingest_batch(batch.unionByName(first), 1, index)
+        raise AssertionError("the batch should break off")
+    except AssertionError:
+        raise
+    except Exception:
+        pass
+    assert spark.read.parquet(f"{index}/chunks").where("batch_id = 1").count() == 2
+    monkeypatch.undo()
+    for _ in range(2):
+        ingest.ingest_batch(batch.unionByName(first), 1, index)
+    rows = spark.read.parquet(f"{index}/status").where("batch_id = 1").collect()
+    assert sorted((r["path"], r["status"], r["chunks"]) for r in rows) == [("/x/a.csv", "done", 2), ("/x/b.csv", "error", 0), ("/x/o.csv", "error", 0)]
+    assert spark.read.parquet(f"{index}/chunks").count() == 3

@@ -32,7 +32,7 @@ def value(spark, f, s):
     (T.decode_uni_glyphs, "a/uni0421/uni0422b /uniD800", "aСТb /uniD800"), (T.strip_toc_lines, "Введение ........ 5\nтекст", "текст"), (T.strip, "  x\n", "x"),
     (T.article_candidates, "Датчик ИПР 513-3АМ и РИП-12, год 2024", ["ИПР 513-3АМ", "РИП-12", "год 2024"]), (T.significant_words, "Сколько всего светильников?", ["светильников"]),
     (lambda c: T.replacement_words(T.significant_words(c)), "Какие насосы заменить до года 2024", ["насосы", "года"]),
-    (T.rows_of, "a\n\n \n\n b ", ["a", "b"]), (T.parent_ref, "x", "11f6ad8ec52a2984"), (lambda c: T.format_number(c.cast("double")), "3.0", "3"), (lambda c: T.format_number(c.cast("double")), "0.25", "0.2"),
+    (T.rows_of, "a\n\n \n\n b ", ["a", "b"]), (T.parent_ref, "x", "11f6ad8ec52a2984"), (lambda c: T.format_number(c.cast("double")), "3.0", "3"), (lambda c: T.format_number(c.cast("double")), "0.25", "0.2"), *((lambda c: T.format_number(c.cast("double")), raw, want) for raw, want in (("0.35", "0.3"), ("2.45", "2.5"), ("1.05", "1.1"), ("0.05", "0.1"), ("-1.5", "-1.5"))),
     (lambda c: T.relevance_percent(c.cast("double")), "0.1", 80), (lambda c: T.relevance_percent(c.cast("double")), None, 75), (lambda c: T.relevance_percent(c.cast("double")), "0.9", 0),
     (T.procedural_markers, "Перечень работ: осмотр узла, раз в 6 мес.", 3), (T.is_refusal, "Не найдено в базе", True), (T.is_procedural, "Как обслуживать насос", True),
 ])
@@ -136,9 +136,9 @@ def test_read_csv_with_mark_and_line_break(spark, tmp_path):
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.sampled_from(["слово ", "x", "\n\n", "длинное предложение без конца "]), max_size=400).map("".join))
 def test_pieces_cover_the_text_and_keep_the_size(text):
-    pieces = documents._pieces(text, 100, 20)
+    pieces = documents.split_by_size(text, 100, 20)
     assert all(len(p) <= 100 for p in pieces) or len(text) <= 100
-    assert set("".join(pieces).split()) >= set() and "".join("".join(documents._pieces(text, 100, 0)).split()) == "".join(text.split())
+    assert set("".join(pieces).split()) >= set() and "".join("".join(documents.split_by_size(text, 100, 0)).split()) == "".join(text.split())
 
 
 def test_chunks_of_markdown():
@@ -154,9 +154,8 @@ def test_bm25_by_hand(spark):
     import math
 
     chunks = spark.createDataFrame([("e", 1, "насос насос щит"), ("e", 2, "щит"), ("e", 3, "лампа щит")], "origin string, chunk_id long, text string")
-    posts = search.postings(chunks)
-    terms, sizes = search.corpus_stats(posts, chunks)
-    got = {r["chunk_id"]: r["score"] for r in search.bm25_topk(asked(spark, "насос"), posts, terms, sizes).collect()}
+    terms, sizes = search.corpus_stats(chunks)
+    got = {r["chunk_id"]: r["score"] for r in search.bm25_topk(asked(spark, "насос"), chunks, terms, sizes).collect()}
     idf = math.log(3 - 1 + 0.5) - math.log(1.5)
     assert got == {1: pytest.approx(idf * 2 * 2.5 / (2 + 1.5 * (0.25 + 0.75 * 3 / 2)))}
 
@@ -186,3 +185,59 @@ def test_answer_checks(spark):
     checked = dialogue.evaluate_answers(answers, cases)
     assert {r["question_id"]: r["passed"] for r in checked.collect()} == {0: True, 1: True, 2: False}
     assert dialogue.pass_rate(checked).first()[:] == (3, 2)
+
+
+def test_failures_by_check(spark):
+    cases = spark.createDataFrame([(1, True, ["a"], [], True), (2, False, [], ["b"], False), (3, True, [], [], True)], "question_id long, must_refuse boolean, must_contain array<string>, must_not_contain array<string>, needs_exact_counts boolean")
+    answers = spark.createDataFrame([(1, "x", ""), (2, "b смаж", None), (3, "не найден", "3")], "question_id long, answer string, exact_counts string")
+    checked = dialogue.evaluate_answers(answers, cases)
+    assert {r["check"]: r["failures"] for r in dialogue.check_failures(checked).collect()} == {"refusal": 1, "exact_counts": 1, "contains": 1, "excludes": 1, "invented": 1}
+
+
+def test_articles_within_two_letters_match_brute_force(spark):
+    import random
+    from difflib import SequenceMatcher
+
+    rng = random.Random(4)
+    keys = {"".join(rng.choices("ab12", k=rng.randrange(4, 18))) for _ in range(150)}
+    asked = {"".join(c for c in k if rng.random() > 0.06) + rng.choice(["", "", "z"]) for k in keys} | {"".join(rng.sample(k, len(k))) for k in list(keys)[:30]}
+    want = {(a, k) for a in asked for k in keys if abs(len(a) - len(k)) <= 2 and a and SequenceMatcher(None, a, k).ratio() > 0.86}
+    got = articles.alike_keys(spark.createDataFrame([(a,) for a in asked], "key string"), spark.createDataFrame([(k,) for k in keys], "article_key string"), 0.86)
+    pairs = {tuple(r) for r in got.collect()}
+    assert want and want <= pairs and len(pairs) < len(asked) * len(keys) / 4
+
+
+def test_lexical_scores_match_the_join(spark, monkeypatch):
+    import random
+
+    rng = random.Random(5)
+    word = lambda: rng.choice("абвгд") + rng.choice("xyz")
+    chunks = spark.createDataFrame([(f"c{k}", rng.choice(["equipment", "user"]), " ".join(word() for _ in range(rng.randrange(0, 30)))) for k in range(300)], "chunk_id string, origin string, text string").repartition(5)
+    questions = spark.createDataFrame([(f"q{k}", " ".join(word() for _ in range(rng.randrange(0, 6)))) for k in range(40)], "question_id string, question string")
+    terms, sizes = search.corpus_stats(chunks)
+    rows = lambda: {(r["question_id"], r["origin"], r["rank"]): (r["chunk_id"], round(r["score"], 8)) for r in search.bm25_topk(questions, chunks, terms, sizes, 7).collect()}
+    one = rows()
+    monkeypatch.setattr(search, "SCAN_QUESTIONS", 11)
+    assert one and rows() == one
+    monkeypatch.setattr(search, "MOST_WEIGHTS", 0)
+    assert rows() == one
+    none = search.vector_topk(spark.createDataFrame([], "question_id string, embedding array<float>"), chunks.withColumn("embedding", F.array(F.lit(1.0).cast("float"))))
+    assert none.collect() == [] and dict(none.dtypes)["question_id"] == "string"
+
+
+def test_pooling_leaves_out_masked_tokens():
+    import numpy as np
+
+    v = np.array([[[3.0, 0.0], [0.0, 4.0], [9.0, 9.0]], [[1.0, 1.0], [5.0, 5.0], [5.0, 5.0]]])
+    got = search.pooled(v, np.array([[1, 1, 0], [0, 0, 0]]))
+    assert np.allclose(got, [[0.6, 0.8], [0.0, 0.0]])
+    seen = []
+
+    def make():
+        def model(texts, most):
+            seen.append(most)
+            return np.ones((len(texts), 600, 2)), np.ones((len(texts), 600))
+
+        return model
+
+    assert search.token_encoder(make)()(["a"]).shape == (1, 2) and seen == [512]
