@@ -18,14 +18,14 @@ _SIGNS = r"^((?:[ \t]?>)+)"
 _RUN, _LEVEL = "\x01", "\x02"
 
 
-def with_passages(messages: DataFrame) -> DataFrame:
-    """Adds ``own`` (the text without quotes) and ``passages``, an array of ``(level, text)``.
+def with_runs(messages: DataFrame) -> DataFrame:
+    """Adds ``runs``, an array of ``(level, text)``: the runs of lines of one level, in order; 0 is the message's own.
 
     The control characters U+0001 and U+0002 are dropped from texts.  A text
-    without a sign of quotation is not cut into lines.
+    without a sign of quotation is one run and not cut into lines.
     """
     clean = F.regexp_replace(F.translate(F.coalesce("text", F.lit("")), _RUN + _LEVEL, ""), r"\r\n", "\n")
-    clean_name, lines_name, levels_name, all_name = unused(messages, "clean", "lines", "levels", "all")
+    clean_name, lines_name, levels_name = unused(messages, "clean", "lines", "levels")
     signed = messages.withColumn(clean_name, clean)
     lines = signed.withColumn(lines_name, F.when(F.contains(clean_name, F.lit(">")), F.split(clean_name, "\n")))
     level = lambda x: F.length(F.translate(F.regexp_extract(x, _SIGNS, 1), " \t", ""))
@@ -36,13 +36,17 @@ def with_passages(messages: DataFrame) -> DataFrame:
         same = (i > 0) & (F.element_at(levels_name, F.greatest(i, F.lit(1))) == F.element_at(levels_name, i + 1))
         return F.when(same, F.concat(F.lit("\n"), inner)).otherwise(F.concat(F.lit(_RUN), F.element_at(levels_name, i + 1).cast("string"), F.lit(_LEVEL), inner))
 
-    runs = F.slice(F.split(F.array_join(F.transform(lines_name, mark), ""), _RUN), 2, 2**30)
-    passages = F.transform(runs, lambda r: F.struct(F.substring_index(r, _LEVEL, 1).cast("int").alias("level"), F.substring_index(r, _LEVEL, -1).alias("text")))
-    out = lines.withColumn(all_name, passages)
-    own = F.array_join(F.transform(F.filter(all_name, lambda p: p["level"] == 0), lambda p: p["text"]), "\n")
-    none = F.array().cast("array<struct<level:int,text:string>>")
-    out = out.withColumn("own", F.coalesce(own, clean_name)).withColumn("passages", F.coalesce(F.filter(all_name, lambda p: p["level"] > 0), none))
-    return out.drop(clean_name, lines_name, levels_name, all_name)
+    marked = F.slice(F.split(F.array_join(F.transform(lines_name, mark), ""), _RUN), 2, 2**30)
+    runs = F.transform(marked, lambda r: F.struct(F.substring_index(r, _LEVEL, 1).cast("int").alias("level"), F.substring_index(r, _LEVEL, -1).alias("text")))
+    one = F.array(F.struct(F.lit(0).alias("level"), F.col(clean_name).alias("text")))
+    return lines.withColumn("runs", F.coalesce(runs, one)).drop(clean_name, lines_name, levels_name)
+
+
+def with_passages(messages: DataFrame) -> DataFrame:
+    """Adds ``own`` (the text without quotes) and ``passages``, the quoted ones of ``with_runs``."""
+    out = with_runs(messages)
+    own = F.array_join(F.transform(F.filter("runs", lambda p: p["level"] == 0), lambda p: p["text"]), "\n")
+    return out.withColumn("own", own).withColumn("passages", F.filter("runs", lambda p: p["level"] > 0)).drop("runs")
 
 
 def sentences(text):
@@ -53,11 +57,8 @@ def sentences(text):
 
 def hashed_sentences(messages: DataFrame) -> DataFrame:
     """``conv_id, turn, level, h``: the distinct sentences of every message by level, 0 for its own."""
-    parsed = with_passages(messages)
-    own = F.struct(F.lit(0).alias("level"), F.col("own").alias("text"))
-    parts = F.concat(F.array(own), F.col("passages"))
-    hashed = F.flatten(F.transform(parts, lambda p: F.transform(sentences(p["text"]), lambda s: F.struct(p["level"].alias("level"), F.xxhash64(s).alias("h")))))
-    return parsed.select("conv_id", "turn", F.explode(F.array_distinct(hashed)).alias("s")).select("conv_id", "turn", "s.level", "s.h")
+    hashed = F.flatten(F.transform("runs", lambda p: F.transform(sentences(p["text"]), lambda s: F.struct(p["level"].alias("level"), F.xxhash64(s).alias("h")))))
+    return with_runs(messages).select("conv_id", "turn", F.explode(F.array_distinct(hashed)).alias("s")).select("conv_id", "turn", "s.level", "s.h")
 
 
 def link_quotes(messages: DataFrame) -> DataFrame:
