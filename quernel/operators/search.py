@@ -68,7 +68,7 @@ class Best:
         rows, asked = np.nonzero((keys <= self.limit) & (keys < np.inf))
         self.parts.append((asked, keys[rows, asked], values[rows, asked], ids[rows]))
         self.size += len(rows)
-        if self.size > 2 * self.k * len(self.limit) + 200_000:
+        if self.size > 2 * self.k * len(self.limit) + 20_000:
             self.compact()
 
     def compact(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -102,7 +102,7 @@ def _best_of_chunks(chunks: DataFrame, questions: DataFrame, setup, k: int, colu
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
                 origins = np.array([*part.column("origin").to_pylist(), None], object)[:-1]
-                ids = np.array([*part.column("chunk_id").to_pylist(), None], object)[:-1]
+                ids = part.column("chunk_id").to_numpy(zero_copy_only=False)
                 for origin in dict.fromkeys(origins.tolist()):
                     own = np.array([o == origin for o in origins.tolist()])
                     got = scored(ask, origin, part.column(column).filter(pa.array(own)))
