@@ -1,10 +1,11 @@
 """Register facts for a table of questions.
 
 ``questions(question_id, question)``; ``registry(row_id, name, model, serial,
-address, qty_raw, unit, replace_year_raw)`` with string values.  Equal pairs of
-name and model are matched once and the register is summed before it is joined,
-so that the joins grow with the number of distinct descriptions; their keys are
-digests of the descriptions.
+address, qty_raw, unit, replace_year_raw)`` with string values.  Whether a row
+matches a question depends on the stems of its name and model alone, so rows of
+the same set of stems (a kind) are matched once, and the register is summed by
+description, then by kind before it is joined: the joins grow with the number of
+kinds.  The key of a kind is a digest of its stems.
 """
 
 from __future__ import annotations
@@ -21,13 +22,18 @@ def _digest(*columns: str):
     return F.md5(F.concat_ws("\x01", *(F.coalesce(c, F.lit("")) for c in columns)))
 
 
-def match_by_stem(questions: DataFrame, described: DataFrame) -> DataFrame:
-    """``(question_id, described)`` where a description shares a stem with the question's ``stems``."""
+def with_kind(registry: DataFrame) -> DataFrame:
+    """Adds ``kind_stems``, the sorted distinct stems of name and model, and ``kind``, their digest."""
     text = F.concat_ws(" ", F.coalesce("name", F.lit("")), F.coalesce("model", F.lit("")))
     words = F.filter(F.split(F.lower(text), r"(?U)\W+"), lambda w: F.length(w) >= 4)
-    rows = described.select("described", "name", "model").distinct().select("described", F.explode(stems(words)).alias("stem"))
+    return registry.withColumn("kind_stems", F.array_sort(stems(words))).withColumn("kind", F.md5(F.array_join("kind_stems", " ")))
+
+
+def match_by_stem(questions: DataFrame, kinds: DataFrame) -> DataFrame:
+    """``(question_id, kind)`` where a kind shares a stem with the question's ``stems``."""
+    rows = kinds.select("kind", "kind_stems").distinct().select("kind", F.explode("kind_stems").alias("stem"))
     asked = questions.select("question_id", F.explode("stems").alias("stem"))
-    return asked.join(rows, "stem").select("question_id", "described").distinct()
+    return asked.join(rows, "stem").select("question_id", "kind").distinct()
 
 
 def _asked_terms(questions: DataFrame, stop_words) -> DataFrame:
@@ -43,9 +49,11 @@ def count_cells(questions: DataFrame, registry: DataFrame, stop_words=fixed.COUN
     unit = strip(F.coalesce("unit", F.lit("")))
     address = F.coalesce("address", F.lit(fixed.NO_ADDRESS))
     counts = [F.count("*").alias("positions"), F.sum(to_number(F.col("qty_raw"))).alias("quantity"), F.min("row_id").alias("first")]
-    summed = registry.groupBy("name", "model", address.alias("address"), unit.alias("unit")).agg(*counts).withColumn("described", _digest("name", "model"))
-    met = match_by_stem(_asked_terms(questions, stop_words), summed).join(summed, "described")
     again = [F.sum("positions").alias("positions"), F.sum("quantity").alias("quantity"), F.min("first").alias("first")]
+    described = registry.groupBy("name", "model", address.alias("address"), unit.alias("unit")).agg(*counts)
+    kinds = with_kind(described).groupBy("kind", "kind_stems", "address", "unit").agg(*again)
+    summed = held(kinds, "kinds")  # read for the match and for the sums
+    met = match_by_stem(_asked_terms(questions, stop_words), summed).join(summed.drop("kind_stems"), "kind")
     return met.groupBy("question_id", "address", "unit").agg(*again)
 
 
@@ -86,14 +94,15 @@ def replacements_due(questions: DataFrame, registry: DataFrame, as_of_year: int,
     asked = questions.withColumn("matched_terms", replacement_words(found)).withColumn("year", asked_year(F.col("question"), as_of_year))
     asked = asked.withColumn("stems", stems(F.col("matched_terms")))
     due = registry.withColumn("due_year", to_year(F.col("replace_year_raw"))).where("due_year is not null")
-    counts = due.groupBy("name", "model", "due_year").agg(F.count("*").alias("n")).withColumn("described", _digest("name", "model"))
+    described = with_kind(due.groupBy("name", "model", "due_year").agg(F.count("*").alias("n")))
+    counts = held(described.groupBy("kind", "kind_stems", "due_year").agg(F.sum("n").alias("n")), "due")
     named = asked.where(F.size("stems") > 0)
     met = match_by_stem(named, counts).join(named.select("question_id", "year"), "question_id")
-    of_named = met.join(counts.select("described", "due_year", "n"), "described").where("due_year <= year").groupBy("question_id").agg(F.sum("n").alias("total_positions"))
-    # No question shows more than the first rows of one description.
-    early = due.withColumn("described", _digest("name", "model"))
-    early = early.withColumn("k", F.row_number().over(Window.partitionBy("described").orderBy("due_year", "row_id"))).where(F.col("k") <= show).drop("k")
-    rows = met.join(early, "described").where("due_year <= year")
+    of_named = met.join(counts.select("kind", "due_year", "n"), "kind").where("due_year <= year").groupBy("question_id").agg(F.sum("n").alias("total_positions"))
+    # No question shows more than the first rows of one description, or of one kind.
+    first = lambda rows, key: rows.withColumn("k", F.row_number().over(Window.partitionBy(key).orderBy("due_year", "row_id"))).where(F.col("k") <= show).drop("k")
+    early = first(with_kind(first(due.withColumn("described", _digest("name", "model")), "described")), "kind").drop("described", "kind_stems")
+    rows = met.join(early, "kind").where("due_year <= year")
     rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy("due_year", "row_id"))).where(F.col("rank") <= show)
     shown = ["row_id", "name", "address", "replace_year_raw", "due_year"]
 

@@ -228,7 +228,7 @@ c AS (
 
 def article_view(spark: SparkSession, sf: str) -> DataFrame:
     plain = F.regexp_replace("text", "[^ -~]", " ")
-    return _read(spark, sf, "documents").select(F.col("doc_id").alias("row_id"), plain.alias("model"), F.lit(None).cast("string").alias("name"))
+    return tables.spread(_read(spark, sf, "documents")).select(F.col("doc_id").alias("row_id"), plain.alias("model"), F.lit(None).cast("string").alias("name"))
 
 
 def article_questions(spark: SparkSession, sf: str, spelling=lambda c: c) -> DataFrame:
@@ -382,7 +382,7 @@ SELECT doc_id, CAST(n AS INTEGER) AS chunk_count, CAST(i AS INTEGER) AS chunk_in
 
 @query(_CHUNKS)
 def chunk_documents(spark, sf):
-    docs = _read(spark, sf, "documents").select("doc_id", F.regexp_replace("text", "\n", "\n\n").alias("text"))
+    docs = tables.spread(_read(spark, sf, "documents")).select("doc_id", F.regexp_replace("text", "\n", "\n\n").alias("text"))
     return documents.chunk_documents(docs)
 
 
@@ -496,11 +496,13 @@ vs AS (
 
 def search_chunks(spark: SparkSession, sf: str) -> DataFrame:
     origin = F.when(F.col("lang") == "en", "equipment").otherwise("user")
-    return _read(spark, sf, "documents").select(origin.alias("origin"), F.col("doc_id").alias("chunk_id"), "text")
+    return tables.spread(_read(spark, sf, "documents")).select(origin.alias("origin"), F.col("doc_id").alias("chunk_id"), "text")
 
 
 def vector_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    return _read(spark, sf, "embeddings").join(search_chunks(spark, sf).select("origin", F.col("chunk_id").alias("vec_id")), "vec_id").select(F.col("vec_id").alias("chunk_id"), "origin", "embedding")
+    origin = F.when(F.col("lang") == "en", "equipment").otherwise("user")
+    of = _read(spark, sf, "documents").select(origin.alias("origin"), F.col("doc_id").alias("vec_id"))
+    return _read(spark, sf, "embeddings").join(of, "vec_id").select(F.col("vec_id").alias("chunk_id"), "origin", "embedding")
 
 
 def benchmark_questions(spark: SparkSession, sf: str) -> DataFrame:
@@ -685,7 +687,7 @@ def embed_text(spark, sf):
 
 @query()
 def embed(spark, sf):
-    return search.embed(_read(spark, sf, "documents").select("doc_id", "text"), "text").select("doc_id", "embedding")
+    return search.embed(tables.spread(_read(spark, sf, "documents")).select("doc_id", "text"), "text").select("doc_id", "embedding")
 
 
 # ---------------------------------------------------------------- dialogue

@@ -14,6 +14,16 @@ from quernel.functions import fixed
 from quernel.functions.text import repair_text, strip, strip_toc_lines, suffix
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scanned table over all cores of the cluster.
+
+    One that comes in fewer parts than there are cores (a few small files) is dealt
+    out once, for the work on its texts; a larger one stays where it lies.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def scan_files(spark: SparkSession, root: str, suffixes=fixed.SUFFIXES, excluded=fixed.EXCLUDED_FOLDERS) -> DataFrame:
     """Files below ``root`` of the wanted kinds, outside the excluded folders, with their content hash."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
