@@ -80,19 +80,34 @@ def _signed(x: int) -> int:
 
 def _signatures(docs: DataFrame, width: int) -> DataFrame:
     def work(c):
-        out = {"doc_id": c["doc_id"], "th": c["th"], "n": [], "v": [], "w": [], "tokens": [], "low": []}
+        out = {"doc_id": c["doc_id"], "th": c["th"], "n": [], "d": [], "w": [], "tokens": [], "low": []}
         for text in c["text"]:
             s = shingle_set(spaced_words(text or b""), width)
             digest = xxhash.xxh3_128_intdigest(s.tobytes())
             t = minwise(s)
             out["n"].append(len(s))
-            out["v"].append(_signed(digest >> 64))
+            out["d"].append(_signed(digest >> 64))
             out["w"].append(_signed(digest & (2**64 - 1)))
             out["tokens"].append(t.tobytes() if len(s) else None)
             out["low"].append(t.astype(np.uint8).tobytes() if len(s) else None)
         return out
 
-    return map_batches(docs.select("doc_id", "th", F.col("text").cast("binary").alias("text")), work, "doc_id long, th long, n long, v long, w long, tokens binary, low binary")
+    return map_batches(docs.select("doc_id", "th", F.col("text").cast("binary").alias("text")), work, "doc_id long, th long, n long, d long, w long, tokens binary, low binary")
+
+
+def with_vertices(classes: DataFrame) -> DataFrame:
+    """Adds a vertex number ``v`` to distinct sets with 128-bit digests ``(d, w)``.
+
+    It is ``d``, unless sets share that; then the one of least ``w`` keeps it and the
+    others get a hash of both halves, so that different sets are different vertices.
+    """
+    shared = classes.groupBy("d").agg(F.count("*").alias("sets"), F.min("w").alias("first")).where("sets > 1").select("d", "first")
+    shared = materialize(shared, "shared")
+    if shared.isEmpty():
+        discard(shared)
+        return classes.withColumn("v", F.col("d"))
+    other = F.col("first").isNotNull() & (F.col("w") != F.col("first"))
+    return classes.join(shared, "d", "left").withColumn("v", F.when(other, F.xxhash64("d", "w")).otherwise(F.col("d"))).drop("first")
 
 
 def _branch(rows: DataFrame, root: bool, trees: int) -> DataFrame:
@@ -325,8 +340,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: int = 80, of: int =
     signed = materialize(_signatures(docs, width), "signatures")
     some = signed.where("n > 0")
     rep = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("rep")
-    classes = some.groupBy("v", "w").agg(rep, F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("low").alias("low"))
-    classes = materialize(classes.select("v", "w", F.col("rep.doc_id").alias("rep_id"), F.col("rep.th").alias("rep_th"), "n", "tokens", "low"), "classes")
+    classes = some.groupBy("d", "w").agg(rep, F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("low").alias("low"))
+    classes = materialize(classes.select("d", "w", F.col("rep.doc_id").alias("rep_id"), F.col("rep.th").alias("rep_th"), "n", "tokens", "low"), "classes")
+    classes = with_vertices(classes)
 
     candidates = candidate_edges(classes, share / of, recall)
     covering = connected_components(_union(candidates))
@@ -344,14 +360,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, share: int = 80, of: int =
     found = exact_links(map_batches(texts, sets, "v long, n long, root long, tiles int, shingles binary"), sizes, share, of)
     links = connected_components(_union(found))
 
-    labelled = classes.select("v", "w", "rep_id").join(links, "v", "left").select("v", "w", "rep_id", F.coalesce("root", "v").alias("root"))
+    labelled = classes.select("v", "d", "w", "rep_id").join(links, "v", "left").select("d", "w", "rep_id", F.coalesce("root", "v").alias("root"))
     labelled = materialize(labelled, "labelled")
     discard(*found)
     least = materialize(labelled.groupBy("root").agg(F.min("rep_id").alias("component_id")), "least")
-    of_class = materialize(labelled.join(least, "root").select("v", "w", "component_id"), "components")
-    keys = [F.when(F.col("n") > 0, F.col(k)).alias(k) for k in ("v", "w")]
-    joined = signed.select("doc_id", "th", F.col("n").alias("n_shingles"), *keys).join(of_class, ["v", "w"], "left")
-    component = F.when(F.col("v").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    of_class = materialize(labelled.join(least, "root").select("d", "w", "component_id"), "components")
+    keys = [F.when(F.col("n") > 0, F.col(k)).alias(k) for k in ("d", "w")]
+    joined = signed.select("doc_id", "th", F.col("n").alias("n_shingles"), *keys).join(of_class, ["d", "w"], "left")
+    component = F.when(F.col("d").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return joined.select("doc_id", "th", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 

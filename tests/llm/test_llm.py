@@ -220,6 +220,26 @@ def test_near_duplicates_match_brute_force(spark, monkeypatch, small):
         assert got == brute_components(docs, width, share, 100)
 
 
+def test_sets_whose_digests_begin_alike_stay_apart(spark, monkeypatch):
+    """Digests are cut to three values here; every distinct set still is a vertex of its own."""
+    signatures = near_dedup._signatures
+    monkeypatch.setattr(near_dedup, "_signatures", lambda docs, width: signatures(docs, width).withColumn("d", F.pmod("d", F.lit(3))))
+    rng = random.Random(9)
+    docs = {}
+    for base in [prose(rng, 80) for _ in range(12)]:
+        for _ in range(3):
+            w = list(base)
+            w[rng.randrange(80)] = f"e{len(docs)}"
+            docs[len(docs)] = " ".join(w)
+    docs |= {100: docs[4], 101: docs[4].upper(), 102: "a b", 103: ""}
+    rows = [(k, t, None, None, None) for k, t in docs.items()]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(frame(spark, rows)).collect()}
+    assert got == brute_components(docs, 5, 80, 100)
+    classes = spark.createDataFrame([(1, 5), (1, 4), (1, 6), (2, 4)], "d long, w long")
+    made = {(r["d"], r["w"]): r["v"] for r in near_dedup.with_vertices(classes).collect()}
+    assert len(set(made.values())) == 4 and made[1, 4] == 1 and made[2, 4] == 2
+
+
 def test_large_groups_of_several_tiles(spark, monkeypatch):
     """Groups of many tiles: one of near copies, and two that a covering joins but no link does."""
     monkeypatch.setattr(near_dedup, "TILE", 8)
