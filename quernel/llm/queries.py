@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 from quernel.llm.chat import reply_threads
 from quernel.llm.decontamination import contamination, items_digest
+from quernel.llm.fill_in_middle import fill_in_middle, restored
 from quernel.llm.fingerprint import compare_with_next
+from quernel.llm.html_text import extract_text
 from quernel.llm.labels import in_fold
 from quernel.llm.license_scan import scan_licenses
 from quernel.llm.near_dedup import near_duplicates
 from quernel.llm.packing import pack
 from quernel.llm.quality import learn_quality, score_quality
+from quernel.llm.ranked_search import ranked_search
 from quernel.llm.substring_dedup import remove_repeats
 from quernel.llm.toxicity import learn_lexicon, score_toxicity
 from quernel.llm.url_filter import judge_urls
@@ -80,6 +83,20 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    output, form = F.col("output"), F.col("form")
+    return made.select("doc_id", "n", form, "prefix_chars", "middle_chars", F.sha2(output, 256).alias("output_sha256"), F.sha2(restored(output, form), 256).alias("restored_sha256"))
+
+
+def op13_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(_read(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 _OP1 = f"""
@@ -200,13 +217,54 @@ SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_it
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+_TERMS = r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'"
+_OP11 = rf"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), {_TERMS}) AS w FROM documents
+), size AS (
+  SELECT count(*) AS n_docs, sum(len(w))::BIGINT AS n_terms FROM d WHERE len(w) > 0
+), asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), {_AZ}), {_TERMS})) AS term FROM benchmark
+), post AS (
+  SELECT doc_id, len(w) AS n, unnest(w) AS term FROM d
+), tf AS (
+  SELECT doc_id, n, term, count(*) AS tf FROM post SEMI JOIN asked USING (term) GROUP BY ALL
+), weight AS (
+  SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, size GROUP BY term
+), scored AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM asked JOIN tf USING (term) JOIN weight USING (term), size GROUP BY ALL
+), ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM scored WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
+
+_OP12 = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || doc_id) AS h FROM documents
+), x AS (
+  SELECT doc_id, t, n, ('0x' || h[1:8])::BIGINT % (n + 1) AS a, ('0x' || h[9:16])::BIGINT % (n + 1) AS b, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d
+), f AS (
+  SELECT doc_id, t, n, least(a, b) AS p, greatest(a, b) AS m,
+         CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM x
+), o AS (
+  SELECT *, substr(t, 1, p) AS prefix, substr(t, p + 1, m - p) AS middle, substr(t, m + 1) AS suffix FROM f
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN p END AS prefix_chars, CASE WHEN form <> 'plain' THEN m - p END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM o
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op1_url_filter, op2_license_scan, op3_best_fit_packing, op4_chat_threads, op5_quality, op6_near_dedup, op7_substring_dedup, op8_toxicity, op9_decontamination, op10_fingerprints)
+        for f in (op1_url_filter, op2_license_scan, op3_best_fit_packing, op4_chat_threads, op5_quality, op6_near_dedup, op7_substring_dedup, op8_toxicity, op9_decontamination, op10_fingerprints,
+                  op11_ranked_search, op12_fill_in_middle, op13_html_text)
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": _OP1, "op4_chat_threads": _OP4, "op6_near_dedup": _OP6, "op9_decontamination": _OP9}
+    return {"op1_url_filter": _OP1, "op4_chat_threads": _OP4, "op6_near_dedup": _OP6, "op9_decontamination": _OP9, "op11_ranked_search": _OP11, "op12_fill_in_middle": _OP12}
