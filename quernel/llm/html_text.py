@@ -259,7 +259,7 @@ def _settle(page: Page) -> None:
         if page.out[k] in ("", "form") and page.tag[k] not in HEADINGS:
             shares[page.out[k] == "form"] += points(text, linked)
             prose += len(text) * (page.out[k] == "form" and page.tag[k] == "p")
-    if shares[True] > shares[False] and prose > 250:
+    if shares[True] > shares[False] and prose > (250 if shares[False] else 0):
         page.out = ["" if why == "form" else why for why in page.out]
     kept, first, upto = [], 0, -1  # elements from ``first`` to ``upto`` hold what follows such a heading
     for k, text, linked in page.blocks:
