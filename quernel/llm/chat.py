@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quernel.llm._shared import materialize, unused
 
-_SIGNS = r"^((?:[ \t]?>)+)"
+_SIGNS = r"^((?:[ \t]?>)++)"  # possessive: a group that may give back recurses for each sign
 _RUN, _LEVEL = "\x01", "\x02"
 
 
