@@ -1,7 +1,9 @@
 """Operators against versions written from their definitions alone, and cases that once went wrong."""
 
+import hashlib
 import random
 import re
+import time
 
 import duckdb
 import numpy as np
@@ -312,11 +314,43 @@ def test_next_document_where_one_id_holds_most_rows(spark):
     for (doc_id, text, th), (_, after, _) in zip(order, order[1:] + order[:1]):
         a, b = (fingerprint.syncmers(t)[1] for t in (text, after))
         assert got[doc_id, th]["near_next"] == fingerprint.nearness(a, b)
-    numbers = fingerprint.Ranges([1.0, 2.0, 2.0, 2.0, 5.0], 3)
-    ids = np.array([6.0, 5.0, 3.0, 2.0, 2.0, 2.0, 1.5, 1.0, np.nan, np.nan])
-    th = np.array([0, 0, 0, -(2**63), 0, 2**63 - 1, 0, 0, -(2**63), 2**63 - 1])
-    found = numbers.number(ids, th).tolist()
-    assert found == sorted(found) and len(set(found[3:6])) == 3 and found[8] < found[9]
+    keys = [(2, 5), (1, 0), (2, -9), (None, 3), (2**60 + 1, 0), (2**60, 0), (-(2**63), 0), (2**63 - 1, 7)]
+    numbers = fingerprint.Ranges(keys, len(keys))
+    asked = sorted([*keys, (2, 0), (2**60 + 2, 1), (None, -1), (None, 9), (-(2**63) + 1, 0), (2**63 - 1, 6)], key=lambda k: (k[0] is None, -(k[0] or 0), k[1]))
+    found = numbers.number(np.array([k[0] or 0 for k in asked]), np.array([k[0] is None for k in asked]), np.array([k[1] for k in asked])).tolist()
+    assert found == sorted(found) and len(set(found)) == len(keys)
+    assert fingerprint.Ranges([], 4).number(np.array([1]), np.array([False]), np.array([1])).tolist() == [0]
+
+
+@pytest.mark.parametrize("first", [0, 2**60, 2**63 - 300, -(2**63), -(2**60)])
+def test_next_document_of_dense_ids(spark, first):
+    rng = random.Random(first)
+    rows = [(first + k, f"text {rng.randrange(10**9)} of {k} " * rng.randrange(1, 4)) for k in range(300)]
+    rows += [(first + 7, "again"), (first + 7, "again"), (None, "no id"), (None, None), (first + 9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    order = [tuple(r) for r in docs.withColumn("th", F.xxhash64("text")).orderBy(F.col("doc_id").desc_nulls_last(), "th").collect()]
+    got = {}
+    for r in fingerprint.compare_with_next(docs.repartition(5)).collect():
+        got.setdefault((r["doc_id"], r["th"]), []).append(r["edited_sha256"])
+    expected = {}
+    for (doc_id, text, th), (_, after, _) in zip(order, order[1:] + order[:1]):
+        changed = fingerprint.edited(text or "", after or "")
+        expected.setdefault((doc_id, th), []).append(hashlib.sha256(changed.encode()).hexdigest())
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in expected.items()}
+
+
+def test_repetitive_texts_take_linear_time():
+    a = "the cat sat on a mat and " * 40_000
+    begun = time.perf_counter()
+    assert fingerprint.nearness(*(fingerprint.syncmers(t)[1] for t in (a, a[:300_000] + "a few other words" + a[300_000:]))) > 0.99
+    assert 0 < fingerprint.nearness(*(fingerprint.syncmers(t)[1] for t in (a, "the cat sat on the mat and " * 37_000))) < 0.5
+    assert time.perf_counter() - begun < 20
+
+
+def test_long_quote_marks_kill_nothing(spark):
+    rows = [(1, 0, "user", "First words. Second words."), (1, 1, "assistant", ">" * 100_000 + " First words.\nAnswer."), (1, 2, "user", "> " * 50_000 + "Answer.\n>> First words.\nYes."), (2, 0, "user", " >" * 100_000)]
+    got = {(r["conv_id"], r["turn"]): r for r in chat.reply_threads(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got[1, 1]["reply_to"] == 0 and got[1, 1]["text"] == "Answer." and got[1, 2]["reply_to"] == 0 and got[2, 0]["text"] == ""
 
 
 CLASHING = ("__key", "__id", "__th", "__spans", "__cut", "__m", "key", "of_id", "of_th", "gone", "shorter", "measured", "times", "th", "spans")
