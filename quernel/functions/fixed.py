@@ -31,8 +31,9 @@ FACT_COUNT = r"\b(скольк\w*|посчита\w+|подсчита\w+|обще
 FACT_REPLACEMENT = r"\b(замен\w+|устарел\w+|просроч\w+|истек\w+|менять|заменить|срок\w*\s+служб\w+|ресурс)\b"
 YEAR_WORD = r"\d{4}|году?|год"
 
-# Article numbers.
-ARTICLE = r"\b[A-Za-zА-Яа-я]{1,6}[\s\-]?\d{1,4}(?:[\-–.]?[A-Za-zА-Яа-я0-9]{1,6})*(?:\s\d{1,4}(?:[\-–.]?[A-Za-zА-Яа-я0-9]{1,6})*)*"
+# Article numbers.  Repeats are possessive: nothing after them has to match, and groups that
+# may give back recurse once for each repeat.
+ARTICLE = r"\b[A-Za-zА-Яа-я]{1,6}[\s\-]?\d{1,4}(?:[\-–.]?[A-Za-zА-Яа-я0-9]{1,6})*+(?:\s\d{1,4}(?:[\-–.]?[A-Za-zА-Яа-я0-9]{1,6})*+)*+"
 LATIN, CYRILLIC = "abcekmoptxh", "авсекмортхн"
 MIN_ARTICLE = 4
 LIKE_ARTICLE = 0.86

@@ -5,7 +5,7 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,17 +22,30 @@ def build_catalog(registry: DataFrame, pattern: str = "(?U)" + fixed.ARTICLE) ->
     return rows.groupBy(normalize_article(F.col("raw")).alias("article_key")).agg(F.min_by("raw", order).alias("canonical"))
 
 
+def _grams(c: Column, size: int = fixed.MIN_ARTICLE) -> Column:
+    """Distinct stretches of ``size`` characters; none of a shorter text."""
+    starts = F.when(F.length(c) >= size, F.sequence(F.lit(1), F.length(c) - size + 1))
+    return F.array_distinct(F.transform(starts, lambda i: F.substring(c, i, F.lit(size))))
+
+
+def anchored_keys(catalog: DataFrame) -> DataFrame:
+    """``gram, article_key, canonical``: every key under that of its grams which fewest keys have."""
+    grams = catalog.select("article_key", "canonical", F.explode(_grams(F.col("article_key"))).alias("gram"))
+    often = grams.groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = F.min_by("gram", F.struct("n", "gram")).alias("gram")
+    return grams.join(often, "gram").groupBy("article_key", "canonical").agg(rarest).select("gram", "article_key", "canonical")
+
+
 def exact_articles(questions: DataFrame, catalog: DataFrame) -> DataFrame:
     """``question_id, article_key, canonical``: catalogue keys contained in the normalised question.
 
-    Substrings of the lengths that keys have are joined with the keys.
+    Keys have ``MIN_ARTICLE`` letters at least.  A key is filed under its rarest gram,
+    so that a question gives one row a letter at most, meets few keys and checks these.
     """
-    spans = catalog.agg(F.array_sort(F.collect_set(F.length("article_key"))).alias("lengths"))  # one row; lengths only
-    text = questions.select("question_id", normalize_article(F.coalesce("question", F.lit(""))).alias("t")).join(F.broadcast(spans))
-    lengths = F.filter("lengths", lambda n: n <= F.length("t"))
-    cut = F.flatten(F.transform(lengths, lambda n: F.transform(F.sequence(F.lit(1), F.length("t") - n + 1), lambda i: F.substring(F.col("t"), i, n))))
-    pieces = text.select("question_id", F.explode(F.array_distinct(cut)).alias("article_key"))
-    return pieces.join(catalog, "article_key").select("question_id", "article_key", "canonical")
+    text = questions.select("question_id", normalize_article(F.coalesce("question", F.lit(""))).alias("t"))
+    probes = text.select("question_id", F.explode(_grams(F.col("t"))).alias("gram"))
+    met = probes.join(anchored_keys(catalog), "gram").drop("gram")
+    return met.join(text, "question_id").where(F.contains("t", "article_key")).select("question_id", "article_key", "canonical").distinct()
 
 
 def maximal_matches(found: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+import re
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -24,16 +25,45 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
 
 
-def scan_files(spark: SparkSession, root: str, suffixes=fixed.SUFFIXES, excluded=fixed.EXCLUDED_FOLDERS) -> DataFrame:
-    """Files below ``root`` of the wanted kinds, outside the excluded folders, with their content hash."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+def list_files(spark: SparkSession, root: str, suffixes=fixed.SUFFIXES, excluded=fixed.EXCLUDED_FOLDERS) -> DataFrame:
+    """``path, folder, source_label, file_name, suffix, length`` of the wanted files below ``root``; no file is opened."""
     base = F.regexp_replace(F.lit(root), "/+$", "")
-    inner = F.expr("substring(path, instr(path, b) + length(b) + 1)")
-    files = files.withColumn("b", base).withColumn("source_label", inner).drop("b")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length").withColumn("b", base)
+    files = files.withColumn("source_label", F.expr("substring(path, instr(path, b) + length(b) + 1)")).drop("b")
     files = files.withColumn("file_name", F.element_at(F.split("source_label", "/"), -1)).withColumn("suffix", suffix(F.col("file_name")))
+    files = files.withColumn("folder", F.expr("substring(path, 1, length(path) - length(file_name) - 1)"))
     folders = F.slice(F.split("source_label", "/"), 1, F.size(F.split("source_label", "/")) - 1)
-    kept = files.where(F.col("suffix").isin(*suffixes) & ~F.arrays_overlap(folders, F.array(*map(F.lit, excluded))))
-    return with_content_hash(kept, "content").select("path", "source_label", "file_name", "suffix", "length", "content", "content_hash")
+    return files.where(F.col("suffix").isin(*suffixes) & ~F.arrays_overlap(folders, F.array(*map(F.lit, excluded))))
+
+
+def _literal(path: str) -> str:
+    """A path in which no character is a wild card."""
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", path)
+
+
+def read_contents(spark: SparkSession, folders: list[str], suffixes=fixed.SUFFIXES) -> DataFrame:
+    """``path, length, content`` of the files of these suffixes that lie in ``folders`` themselves."""
+    kinds = ",".join("*" + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in s) for s in suffixes)
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", "{" + kinds + "}")
+    return reader.load([_literal(f) for f in folders]).select("path", "length", "content")
+
+
+def scan_files(spark: SparkSession, root: str, suffixes=fixed.SUFFIXES, excluded=fixed.EXCLUDED_FOLDERS) -> DataFrame:
+    """Files below ``root`` of the wanted kinds, outside the excluded folders, with their content hash.
+
+    Files are listed first, then read from the folders that hold wanted ones: what is
+    excluded is never opened.  The driver gets the names of these folders, fewer than
+    the names of files that Spark's own listing keeps there.
+    """
+    listed = list_files(spark, root, suffixes, excluded)
+    folders = sorted(r["folder"] for r in listed.select("folder").distinct().collect())
+    names = ["path", "source_label", "file_name", "suffix", "length", "content", "content_hash"]
+    if not folders:
+        return listed.withColumn("content", F.lit(None).cast("binary")).withColumn("content_hash", F.lit(None).cast("string")).select(names)
+    read = with_content_hash(read_contents(spark, folders, suffixes), "content")
+    base = F.regexp_replace(F.lit(root), "/+$", "")
+    labelled = read.withColumn("b", base).withColumn("source_label", F.expr("substring(path, instr(path, b) + length(b) + 1)")).drop("b")
+    return labelled.withColumn("file_name", F.element_at(F.split("source_label", "/"), -1)).withColumn("suffix", suffix(F.col("file_name"))).select(names)
 
 
 def with_content_hash(df: DataFrame, column: str) -> DataFrame:

@@ -17,6 +17,19 @@ def test_scan_leaves_out_folders_and_other_kinds(spark, tmp_path):
     assert out.select("content_hash").distinct().count() == 1
 
 
+def test_excluded_files_are_never_opened(spark, tmp_path):
+    for name in ("a.csv", "s[1]{x}*/b.Csv", "chroma/long.csv", "s/long.txt", "s/k/user_uploads/long.pdf"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"x" * (50_000 if "long" in name else 10))
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", 1000)
+    try:
+        got = {r["source_label"]: r for r in tables.scan_files(spark, f"file:{tmp_path}/").collect()}
+        assert set(got) == {"a.csv", "s[1]{x}*/b.Csv"} and all(bytes(r["content"]) == b"x" * 10 and r["length"] == 10 for r in got.values())
+        assert tables.scan_files(spark, f"file:{tmp_path}/s").collect() == []
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+
+
 SOURCES = "content_hash string, file_name string, source_label string, suffix string, text string"
 
 
