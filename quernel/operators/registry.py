@@ -10,13 +10,21 @@ kinds.  The key of a kind is a digest of its stems.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from quernel.functions import fixed
 from quernel.functions.text import asked_year, fill, format_number, matches, replacement_words, significant_words, stems, strip, to_number, to_year
 from quernel.sources.scratch import held
 
+BITMAP_BYTES = 4096  # of Spark's bitmaps
+
 
 def _digest(*columns: str):
     return F.md5(F.concat_ws("\x01", *(F.coalesce(c, F.lit("")) for c in columns)))
@@ -29,11 +37,37 @@ def with_kind(registry: DataFrame) -> DataFrame:
     return registry.withColumn("kind_stems", F.array_sort(stems(words))).withColumn("kind", F.md5(F.array_join("kind_stems", " ")))
 
 
+def numbered(kinds: DataFrame) -> DataFrame:
+    """``kind, kind_stems, kind_no`` of the distinct kinds; numbers of one part of the table follow one another."""
+    return held(kinds.select("kind", "kind_stems").distinct().withColumn("kind_no", F.monotonically_increasing_id()), "kinds")
+
+
+def stem_bitmaps(kinds: DataFrame) -> DataFrame:
+    """``stem, bucket, bits``: the numbers of the kinds that have a stem, 32,768 in a bitmap."""
+    rows = kinds.select((F.col("kind_no") + 1).alias("n"), F.explode("kind_stems").alias("stem"))
+    return rows.groupBy("stem", F.bitmap_bucket_number("n").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("n")).alias("bits"))
+
+
 def match_by_stem(questions: DataFrame, kinds: DataFrame) -> DataFrame:
-    """``(question_id, kind)`` where a kind shares a stem with the question's ``stems``."""
-    rows = kinds.select("kind", "kind_stems").distinct().select("kind", F.explode("kind_stems").alias("stem"))
+    """``(question_id, kind_no)`` where a numbered kind shares a stem with the question's ``stems``.
+
+    A common stem is a few bitmaps, not a row for each kind, and a question's bitmaps
+    are or-ed before they are read, so that no pair comes twice and none is made distinct.
+    """
     asked = questions.select("question_id", F.explode("stems").alias("stem"))
-    return asked.join(rows, "stem").select("question_id", "kind").distinct()
+    met = asked.join(stem_bitmaps(kinds), "stem").groupBy("question_id", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+    schema = T.StructType([questions.schema["question_id"], T.StructField("kind_no", T.LongType())])
+    arrow = to_arrow_schema(schema)
+
+    def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                bits = np.frombuffer(batch.column(2)[row].as_py(), np.uint8)
+                numbers = np.flatnonzero(np.unpackbits(bits, bitorder="little")) + (batch.column(1)[row].as_py() - 1) * 8 * BITMAP_BYTES
+                question = batch.column(0).take(pa.array(np.full(len(numbers), row)))
+                yield pa.RecordBatch.from_arrays([question.cast(arrow.field(0).type), pa.array(numbers.astype(np.int64))], schema=arrow)
+
+    return met.mapInArrow(unfold, schema)
 
 
 def _asked_terms(questions: DataFrame, stop_words) -> DataFrame:
@@ -52,8 +86,9 @@ def count_cells(questions: DataFrame, registry: DataFrame, stop_words=fixed.COUN
     again = [F.sum("positions").alias("positions"), F.sum("quantity").alias("quantity"), F.min("first").alias("first")]
     described = registry.groupBy("name", "model", address.alias("address"), unit.alias("unit")).agg(*counts)
     kinds = with_kind(described).groupBy("kind", "kind_stems", "address", "unit").agg(*again)
-    summed = held(kinds, "kinds")  # read for the match and for the sums
-    met = match_by_stem(_asked_terms(questions, stop_words), summed).join(summed.drop("kind_stems"), "kind")
+    summed = held(kinds, "summed")  # read for the match and for the sums
+    of_kinds = numbered(summed)
+    met = match_by_stem(_asked_terms(questions, stop_words), of_kinds).join(of_kinds.select("kind_no", "kind"), "kind_no").join(summed.drop("kind_stems"), "kind")
     return met.groupBy("question_id", "address", "unit").agg(*again)
 
 
@@ -96,9 +131,14 @@ def replacements_due(questions: DataFrame, registry: DataFrame, as_of_year: int,
     due = registry.withColumn("due_year", to_year(F.col("replace_year_raw"))).where("due_year is not null")
     described = with_kind(due.groupBy("name", "model", "due_year").agg(F.count("*").alias("n")))
     counts = held(described.groupBy("kind", "kind_stems", "due_year").agg(F.sum("n").alias("n")), "due")
+    of_kinds = numbered(counts)
     named = asked.where(F.size("stems") > 0)
-    met = match_by_stem(named, counts).join(named.select("question_id", "year"), "question_id")
-    of_named = met.join(counts.select("kind", "due_year", "n"), "kind").where("due_year <= year").groupBy("question_id").agg(F.sum("n").alias("total_positions"))
+    met = match_by_stem(named, of_kinds).join(of_kinds.select("kind_no", "kind"), "kind_no").join(named.select("question_id", "year"), "question_id")
+    # One row a kind: its years, of which there are 200, with what is due by then.
+    running = F.sum("n").over(Window.partitionBy("kind").orderBy("due_year"))
+    by_year = counts.withColumn("n", running).groupBy("kind").agg(F.array_sort(F.collect_list(F.struct("due_year", "n"))).alias("years"))
+    by_then = F.try_element_at(F.filter("years", lambda y: y["due_year"] <= F.col("year")), F.lit(-1))["n"]
+    of_named = met.join(by_year, "kind").select("question_id", by_then.alias("n")).where("n is not null").groupBy("question_id").agg(F.sum("n").alias("total_positions"))
     # No question shows more than the first rows of one description, or of one kind.
     first = lambda rows, key: rows.withColumn("k", F.row_number().over(Window.partitionBy(key).orderBy("due_year", "row_id"))).where(F.col("k") <= show).drop("k")
     early = first(with_kind(first(due.withColumn("described", _digest("name", "model")), "described")), "kind").drop("described", "kind_stems")
@@ -166,22 +206,32 @@ def find_matching_rows(questions: DataFrame, registry: DataFrame, limit: int = 2
 
     Words match if equal, or if one of at least 5 letters begins the other and at
     most 3 are missing.  Question words that match no row at all do not count;
-    of the others all must match if there are one or two, else half.
+    of the others all must match if there are one or two, else half.  Rows are found
+    by a question's rarest words alone, then all of its words are looked for in them.
     """
     asked = questions.select("question_id", F.posexplode(significant_words(F.col("question"), stop_words)).alias("pos", "w"))
     fields = ("model", "serial", "name")
     rows = registry.withColumn("text", _digest(*fields))
     whole = F.concat_ws("\x01", *(F.coalesce(c, F.lit("")) for c in fields))
-    parts = F.filter(F.split(F.lower(whole), r"(?U)\W+"), lambda w: F.length(w) >= 3)
-    words = rows.select("text", *fields).distinct().select("text", F.explode(F.array_distinct(parts)).alias("c"))
-    q, c = asked.select("w").distinct(), words.select("c").distinct()
-    longer = q.join(c.select("c", F.explode(_prefixes(F.col("c"))).alias("w")), "w").select("w", "c")
-    shorter = c.join(q.select("w", F.explode(_prefixes(F.col("w"))).alias("c")), "c").select("w", "c")
-    pairs = longer.unionByName(shorter).distinct()
-    met = asked.join(pairs, "w").join(words, "c").select("question_id", "pos", "text").distinct()
-    n = F.count_distinct("pos")
-    needed = met.groupBy("question_id").agg(F.when(n <= 2, n).otherwise(F.floor((n + 1) / 2)).alias("needed"))
-    scores = met.groupBy("question_id", "text").agg(F.count("*").alias("score")).join(needed, "question_id").where("score >= needed")
+    parts = F.array_distinct(F.filter(F.split(F.lower(whole), r"(?U)\W+"), lambda w: F.length(w) >= 3))
+    texts = held(rows.select("text", *fields).distinct().select("text", parts.alias("words")), "texts")
+    words = texts.select("text", F.explode("words").alias("c"))
+    often = held(words.groupBy("c").agg(F.count("*").alias("df")), "often")
+    q = asked.select("w").distinct()
+    longer = q.join(often.select("c", "df", F.explode(_prefixes(F.col("c"))).alias("w")), "w").select("w", "c", "df")
+    shorter = often.join(q.select("w", F.explode(_prefixes(F.col("w"))).alias("c")), "c").select("w", "c", "df")
+    roots = longer.unionByName(shorter).distinct().groupBy("w").agg(F.collect_list("c").alias("cs"), F.sum("df").alias("df"))
+
+    known = held(asked.join(roots, "w"), "known")
+    n = F.count("*").over(Window.partitionBy("question_id"))
+    by_rarity = F.row_number().over(Window.partitionBy("question_id").orderBy("df", "pos"))
+    needed = F.when(F.col("n") <= 2, F.col("n")).otherwise(F.floor((F.col("n") + 1) / 2))
+    # A row that has enough of the words has one of the rarest: of n words, n less those needed may be missing.
+    rare = known.withColumn("n", n).withColumn("place", by_rarity).where(F.col("place") <= F.col("n") - needed + 1)
+    met = rare.select("question_id", F.explode("cs").alias("c")).distinct().join(words, "c").select("question_id", "text").distinct()
+    wanted = known.groupBy("question_id").agg(F.collect_list("cs").alias("wanted"), F.count("*").alias("n")).withColumn("needed", needed).drop("n")
+    score = F.size(F.filter("wanted", lambda cs: F.arrays_overlap(cs, F.col("words")))).cast("long")
+    scores = met.join(wanted, "question_id").join(texts, "text").select("question_id", "text", "needed", score.alias("score")).where("score >= needed").drop("needed")
     early = rows.withColumn("k", F.row_number().over(Window.partitionBy("text").orderBy("row_id"))).where(F.col("k") <= limit)
     order = Window.partitionBy("question_id").orderBy(F.desc("score"), "row_id")
     out = scores.join(early, "text").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)

@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quernel.functions import text as T
-from quernel.operators.lexical_index import LexicalIndex
 from quernel.operators import articles, dialogue, documents, hits, registry, routing, search
+from quernel.operators.lexical_index import LexicalIndex
 from quernel.plans import jobs
 from quernel.sources import sinks, tables
 from quernel.sources.scratch import held, scratch_folder
@@ -413,10 +413,10 @@ def registry_load(spark, sf):
     return loaded.select("file_id", "row_id", field("Позиция").alias("position"), field("Na\nme").alias("name"), field("Note").alias("note"))
 
 
-@query("SELECT p_brand AS file_id, p_partkey AS row_idx, 'key: ' || p_partkey || ', name: ' || p_name || ', size: ' || p_size AS text FROM part WHERE p_partkey > 0")
+@query("SELECT p_brand AS file_id, p_partkey + 1 AS row_idx, 'key: ' || p_partkey || ', name: ' || p_name || ', size: ' || p_size AS text FROM part")
 def csv_rows(spark, sf):
-    part = _read(spark, sf, "part").where("p_partkey > 0")
-    rows = part.select(F.col("p_brand").alias("file_id"), F.col("p_partkey").alias("row_idx"), F.array(F.col("p_partkey").cast("string"), "p_name", F.col("p_size").cast("string"), F.lit(None).cast("string")).alias("cells"))
+    part = _read(spark, sf, "part")
+    rows = part.select(F.col("p_brand").alias("file_id"), (F.col("p_partkey") + 1).alias("row_idx"), F.array(F.col("p_partkey").cast("string"), "p_name", F.col("p_size").cast("string"), F.lit(None).cast("string")).alias("cells"))
     head = part.select(F.col("p_brand").alias("file_id")).distinct().select("file_id", F.lit(0).cast("long").alias("row_idx"), F.array(*map(F.lit, ("key", "name", "size", "note"))).alias("cells"))
     return tables.csv_rows_to_text(rows.unionByName(head))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import io
 import re
+import sys
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from pyspark.sql.types import StringType
 
 from quernel.functions import fixed
 from quernel.functions.text import repair_text, strip, strip_toc_lines, suffix
+from quernel.sources.delimited import read_records
 
 
 def spread(scan: DataFrame) -> DataFrame:
@@ -41,10 +43,14 @@ def _literal(path: str) -> str:
     return re.sub(r"([\\{}\[\]*?])", r"\\\1", path)
 
 
+def kinds_glob(suffixes) -> str:
+    """A file name pattern of the suffixes, in any case."""
+    return "{" + ",".join("*" + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in s) for s in suffixes) + "}"
+
+
 def read_contents(spark: SparkSession, folders: list[str], suffixes=fixed.SUFFIXES) -> DataFrame:
     """``path, length, content`` of the files of these suffixes that lie in ``folders`` themselves."""
-    kinds = ",".join("*" + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in s) for s in suffixes)
-    reader = spark.read.format("binaryFile").option("pathGlobFilter", "{" + kinds + "}")
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", kinds_glob(suffixes))
     return reader.load([_literal(f) for f in folders]).select("path", "length", "content")
 
 
@@ -70,17 +76,9 @@ def with_content_hash(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn("content_hash", F.sha2(F.col(column).cast("binary"), 256))
 
 
-def read_csv_cells(spark: SparkSession, path: str, width: int) -> DataFrame:
-    """Records of delimited files as ``(file_id, row_idx, cells)``, in the order of each file.
-
-    Quoted line breaks need one task for each file.  Cells beyond ``width``, the number of cells of the
-    longest record, are left out.
-    """
-    names = [f"c{k}" for k in range(width)]
-    raw = spark.read.option("multiLine", "true").schema(", ".join(f"{n} string" for n in names)).csv(path)
-    cells = raw.select(F.col("_metadata.file_path").alias("file_id"), F.monotonically_increasing_id().alias("n"), F.array(*names).alias("cells"))
-    first = cells.groupBy("file_id").agg(F.min("n").alias("first"))
-    return cells.join(first, "file_id").select("file_id", (F.col("n") - F.col("first")).alias("row_idx"), "cells")
+def read_csv_cells(spark: SparkSession, path: str) -> DataFrame:
+    """Records of delimited files as ``(file_id, row_idx, cells)``, in the order of each file; see ``read_records``."""
+    return read_records(spark, path)
 
 
 @F.pandas_udf(StringType())
@@ -91,6 +89,7 @@ def csv_content_to_text(content: pd.Series) -> pd.Series:
     """
 
     def text(raw: bytes | None) -> str:
+        csv.field_size_limit(sys.maxsize)
         records = list(csv.reader(io.StringIO((raw or b"").decode("utf-8-sig", "replace"), newline="")))
         lines = (", ".join(f"{h}: {v}" for h, v in zip(records[0], r) if v) for r in records[1:])
         return "\n\n".join(x for x in lines if x)

@@ -1,23 +1,32 @@
-"""Continuous ingestion of arriving files."""
+"""Continuous ingestion of arriving files.
+
+Which contents are known is state of the stream, kept by content hash in the state
+store of its checkpoint: a batch reads what has arrived and its own statuses, never
+the index.  Files are refused by name and length before they are opened.
+"""
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from quernel.functions import fixed
 from quernel.functions.text import fill, passage_text, safe_filename, suffix
-from quernel.operators.documents import build_chunks, duplicate_uploads
+from quernel.operators.documents import build_chunks
 from quernel.operators.search import embed, hash_encoder
-from quernel.sources.sinks import new_parents
-from quernel.sources.tables import READERS, with_content_hash
+from quernel.sources.store import table_or_empty
+from quernel.sources.tables import READERS, kinds_glob, with_content_hash
 
-CHUNKS = (
-    "chunk_id string, content_hash string, chunk_index int, chunk_count int, source_file string, source_label string, doc_title string, heading_path string, "
-    "parent_ref string, text string, embedding array<float>, origin string, batch_id long"
-)
-STATUS = "batch_id long, path string, status string, chunks long, error string"
+STATUS = "path string, status string, chunks long, error string, batch_id long"
+PARENTS = "parent_ref string, text string, batch_id long"
+FILES = "path string, modificationTime timestamp, length long, content binary"
+MARKED = "path string, file_name string, suffix string, content_hash string, text string, rejected string, stored_as string"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+FILES_AT_ONCE = 1000
 
 
 def check_uploads(files: DataFrame, max_bytes: int = fixed.MAX_UPLOAD, suffixes=fixed.SUFFIXES) -> DataFrame:
@@ -38,56 +47,97 @@ def file_text(files: DataFrame, readers=READERS) -> DataFrame:
     return files.withColumn("rejected", F.coalesce("rejected", unread)).withColumn("text", F.when(F.col("rejected").isNull(), text))
 
 
-def ingest_batch(batch: DataFrame, batch_id: int, index_dir: str, origin: str = "user", make_encoder=hash_encoder, readers=READERS) -> None:
-    """Indexes one batch: parents, chunks with their vectors, then one status for each file.
+class KnownContents(StatefulProcessor):
+    """Passes rows of a content on with ``stored_as``, the name under which an earlier batch had it; null for a new one."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._name = handle.getValueState("stored_as", "file_name string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        stored = self._name.get()[0] if self._name.exists() else None
+        first = None
+        for part in rows:
+            earliest = min(zip(part["path"], part["file_name"]))
+            first = earliest if first is None else min(first, earliest)
+            yield part.assign(stored_as=stored)
+        if stored is None and first is not None:
+            self._name.update((first[1],))
+
+    def close(self) -> None:
+        pass
 
-    Chunks lie in folders of their batch, which a repeated batch writes anew; it
-    looks for known contents in earlier batches only.  So a batch that broke off
-    between its writes ends with the same chunks and statuses as an unbroken one.
+
+def marked_files(listed: DataFrame, opened: DataFrame, max_bytes: int, readers=READERS) -> DataFrame:
+    """Every arriving file with its text, or why it is ``rejected``, and whether its content is known.
+
+    ``listed`` has all files, of which only path and length are read; ``opened`` those
+    of allowed kinds, of which the bytes are read where they are short enough.  Only
+    contents with text are known: a file without any is refused each time.
     """
-    spark = batch.sparkSession
+    names = [n.split()[0] for n in MARKED.split(", ")]
+    nothing = [F.lit(None).cast("string").alias(n) for n in ("content_hash", "text", "stored_as")]
+    refused = check_uploads(listed.select("path", "length"), max_bytes).where("rejected is not null").select("path", "file_name", "suffix", "rejected", *nothing)
+    short = opened.where(F.col("length") <= max_bytes)  # reaches the reader of files, which skips the rest
+    read = file_text(check_uploads(with_content_hash(short, "content"), max_bytes), readers).select(*(n for n in names if n != "stored_as"))
+    has_text = F.coalesce(F.col("text").rlike(r"(?U)\S"), F.lit(False))
+    void = read.where(~has_text).withColumn("rejected", F.coalesce("rejected", F.lit(fixed.NO_TEXT))).withColumn("stored_as", F.lit(None).cast("string"))
+    known = read.where(has_text).groupBy("content_hash").transformWithStateInPandas(statefulProcessor=KnownContents(), outputStructType=MARKED, outputMode="append", timeMode="None")
+    return known.unionByName(void.select(names)).unionByName(refused.select(names))
+
+
+def ingest_batch(marked: DataFrame, batch_id: int, index_dir: str, origin: str = "user", make_encoder=hash_encoder) -> None:
+    """Indexes one batch of ``marked_files``: parents, chunks with their vectors, then one status for each file.
+
+    All three lie in folders of their batch, which a repeated batch writes anew; so one
+    that broke off between its writes ends with the same chunks and statuses.
+    """
+    spark = marked.sparkSession
     chunks_dir, parents_dir, status_dir = (f"{index_dir}/{n}" for n in ("chunks", "parents", "status"))
-    if not _read(spark, status_dir, STATUS).where(F.col("batch_id") == batch_id).isEmpty():
+    if not table_or_empty(spark, status_dir, STATUS).where(F.col("batch_id") == batch_id).isEmpty():  # one folder is read
         return
-    files = file_text(check_uploads(with_content_hash(batch, "content")), readers).withColumn("source_label", F.col("file_name")).drop("content").persist()
-    existing = _read(spark, chunks_dir, CHUNKS).where(F.col("batch_id") < batch_id)
-    good = files.where("rejected is null")
-    first = good.groupBy("content_hash").agg(F.min("path").alias("path"))
-    fresh = good.join(first, ["content_hash", "path"], "left_semi").join(existing.select("content_hash").distinct(), "content_hash", "left_anti")
-    rows = build_chunks(fresh, origin).withColumn("passage", passage_text(F.col("doc_title"), F.col("heading_path"), F.col("text")))
-    rows = embed(rows, "passage", make_encoder).drop("passage").persist()
-
-    failed = lambda df, message: df.select("path", F.lit("error").alias("status"), F.lit(0).cast("long").alias("chunks"), message.alias("error"))
-    counted = fresh.join(rows.groupBy("content_hash").agg(F.count("*").alias("n")), "content_hash", "left")
-    made = counted.where("n is not null").select("path", F.lit("done").alias("status"), F.col("n").alias("chunks"), F.lit(None).cast("string").alias("error"))
-    empty = failed(counted.where("n is null"), F.lit(fixed.NO_TEXT))
-    known = failed(duplicate_uploads(good, existing), F.col("message"))
-    twins = good.join(first, ["content_hash", "path"], "left_anti").join(existing.select("content_hash").distinct(), "content_hash", "left_anti")
-    refused = failed(files.where("rejected is not null"), F.col("rejected"))
-    status = made.unionByName(empty).unionByName(known).unionByName(failed(twins, F.lit(fixed.KNOWN_FILE))).unionByName(refused)
-
-    new_parents(_read(spark, parents_dir, "parent_ref string, text string"), rows.select("parent_ref", F.col("parent_text").alias("text"))).write.mode("append").parquet(parents_dir)
-    placed = rows.drop("parent_text").withColumn("batch_id", F.lit(batch_id).cast("long"))
-    placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("origin", "batch_id").parquet(chunks_dir)
-    status.select(F.lit(batch_id).cast("long").alias("batch_id"), "path", "status", "chunks", "error").write.mode("append").parquet(status_dir)
-    for df in (files, rows):
-        df.unpersist()
-
-
-def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The table at ``path``, empty where nothing has been written yet."""
+    kept: list[DataFrame] = []
     try:
-        table = spark.read.schema(schema).parquet(path)
-        table.schema  # noqa: B018  a missing path shows here at the latest
-        return table
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
-
-
-def ingest_stream(spark: SparkSession, in_dir: str, index_dir: str, checkpoint: str, once: bool = False, make_encoder=hash_encoder, readers=READERS):
-    """Starts the stream over files that arrive below ``in_dir``; returns the streaming query."""
-    arriving = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").schema("path string, modificationTime timestamp, length long, content binary").load(in_dir)
-    writer = arriving.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, n: ingest_batch(df, n, index_dir, make_encoder=make_encoder, readers=readers))
+        files = marked.persist()
+        kept.append(files)
+        good = files.where("rejected is null")
+        fresh = good.where("stored_as is null")
+        first = fresh.groupBy("content_hash").agg(F.min("path").alias("path"))
+        new = fresh.join(first, ["content_hash", "path"], "left_semi").withColumn("source_label", F.col("file_name"))
+        rows = build_chunks(new, origin).withColumn("passage", passage_text(F.col("doc_title"), F.col("heading_path"), F.col("text")))
+        rows = embed(rows, "passage", make_encoder).drop("passage").persist()
+        kept.append(rows)
+        place = {"batch_id": F.lit(batch_id).cast("long")}
+        of_batch = lambda df, *keys: df.withColumns(place).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys, "batch_id")
+        of_batch(rows.select("parent_ref", F.col("parent_text").alias("text")).dropDuplicates(["parent_ref"])).parquet(parents_dir)
+        of_batch(rows.drop("parent_text"), "origin").parquet(chunks_dir)
+
+        failed = lambda df, message: df.select("path", F.lit("error").alias("status"), F.lit(0).cast("long").alias("chunks"), message.alias("error"))
+        counted = new.join(rows.groupBy("content_hash").agg(F.count("*").alias("n")), "content_hash")
+        made = counted.select("path", F.lit("done").alias("status"), F.col("n").alias("chunks"), F.lit(None).cast("string").alias("error"))
+        other = F.when(F.col("stored_as") != F.col("file_name"), fill(fixed.KNOWN_AS, F.col("stored_as"))).otherwise("")
+        known = failed(good.where("stored_as is not null"), F.concat(F.lit(fixed.KNOWN_FILE), other))
+        twins = failed(fresh.join(first, ["content_hash", "path"], "left_anti"), F.lit(fixed.KNOWN_FILE))
+        refused = failed(files.where("rejected is not null"), F.col("rejected"))
+        of_batch(made.unionByName(known).unionByName(twins).unionByName(refused)).parquet(status_dir)
+    finally:
+        for df in kept:
+            df.unpersist()
+
+
+def read_parents(spark: SparkSession, index_dir: str) -> DataFrame:
+    """``parent_ref, text``: blocks that several batches have come once; of equal ones any will do."""
+    return table_or_empty(spark, f"{index_dir}/parents", PARENTS).groupBy("parent_ref").agg(F.any_value("text").alias("text"))
+
+
+def ingest_stream(spark: SparkSession, in_dir: str, index_dir: str, checkpoint: str, once: bool = False, make_encoder=hash_encoder, readers=READERS, max_bytes: int = fixed.MAX_UPLOAD, files_at_once: int = FILES_AT_ONCE):
+    """Starts the stream over files that arrive below ``in_dir``; returns the streaming query.
+
+    A batch takes ``files_at_once`` files.  The state store is RocksDB, so that
+    contents known to a task need not fit in its memory.
+    """
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    longest = int(spark.conf.get("spark.sql.sources.binaryFile.maxLength", str(2**31 - 1)))
+    source = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_at_once).schema(FILES)
+    marked = marked_files(source.load(in_dir), source.option("pathGlobFilter", kinds_glob(fixed.SUFFIXES)).load(in_dir), min(max_bytes, longest), readers)
+    writer = marked.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, n: ingest_batch(df, n, index_dir, make_encoder=make_encoder))
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -1,5 +1,6 @@
 """What needs files: discovery, sinks, the index job, retrieval and the stream."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from quernel.plans import jobs
@@ -94,25 +95,54 @@ def test_stream_indexes_once(spark, tmp_path):
     assert [c["text"] for c in chunks] == ["имя: щит\nА, число: 2", "имя: лампа"] and all(abs(sum(x * x for x in c["embedding"]) - 1) < 1e-5 for c in chunks)
 
 
-def test_a_batch_that_broke_off_is_written_anew(spark, tmp_path, monkeypatch):
-    """The status is lost after the chunks were written; the repeated batch ends as an unbroken one."""
-    index = f"{tmp_path}/index"
-    batch = spark.createDataFrame([("/x/a.csv", 9, bytearray("k\nодин\nдва".encode())), ("/x/b.csv", 9, bytearray("k\nодин\nдва".encode()))], "path string, length long, content binary")
-    real = ingest.duplicate_uploads
-    monkeypatch.setattr(ingest, "duplicate_uploads", lambda *a: real(*a).withColumn("message", F.raise_error(F.lit("broken"))))
-    first = spark.createDataFrame([("/x/o.csv", 9, bytearray(b"k\nold"))], "path string, length long, content binary")
-    ingest.ingest_batch(first, 0, index)
+def test_oversize_files_get_a_status_unopened(spark, tmp_path):
+    arriving, index = tmp_path / "in", f"{tmp_path}/index"
+    arriving.mkdir()
+    (arriving / "long.csv").write_text("k\n" + "x" * 5000)
+    (arriving / "long.exe").write_text("x" * 5000)
+    (arriving / "a.CSV").write_text("k\nодин")
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", 1000)
     try:
-        ingest.ingest_batch(batch.unionByName(first), 1, index)
-        raise AssertionError("the batch should break off")
-    except AssertionError:
-        raise
-    except Exception:
-        pass
+        for _ in range(2):
+            ingest_stream(spark, f"file:{arriving}", index, f"{tmp_path}/cp", once=True, files_at_once=1).awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert statuses(spark, index) == {"a.CSV": ("done", 1, None), "long.csv": ("error", 0, "Файл больше 0 МБ"), "long.exe": ("error", 0, "Неподдерживаемый формат: .exe")}
+
+
+def test_a_batch_that_broke_off_is_written_anew(spark, tmp_path, monkeypatch):
+    """The status is lost after the chunks were written; the restarted stream ends as an unbroken one."""
+    arriving, index = tmp_path / "in", f"{tmp_path}/index"
+    arriving.mkdir()
+    start = lambda: ingest_stream(spark, f"file:{arriving}", index, f"{tmp_path}/cp", once=True)
+    (arriving / "o.csv").write_text("k\nold")
+    start().awaitTermination()
+    for name in ("a.csv", "b.csv"):
+        (arriving / name).write_text("k\nодин\nдва")
+    (arriving / "o2.csv").write_text("k\nold")
+    real = ingest.fill
+    monkeypatch.setattr(ingest, "fill", lambda pattern, *a: real(pattern, F.raise_error(F.lit("broken"))) if pattern == ingest.fixed.KNOWN_AS else real(pattern, *a))
+    with pytest.raises(Exception, match="broken"):
+        start().awaitTermination()
     assert spark.read.parquet(f"{index}/chunks").where("batch_id = 1").count() == 2
+    assert set(statuses(spark, index)) == {"o.csv"}
     monkeypatch.undo()
     for _ in range(2):
-        ingest.ingest_batch(batch.unionByName(first), 1, index)
-    rows = spark.read.parquet(f"{index}/status").where("batch_id = 1").collect()
-    assert sorted((r["path"], r["status"], r["chunks"]) for r in rows) == [("/x/a.csv", "done", 2), ("/x/b.csv", "error", 0), ("/x/o.csv", "error", 0)]
-    assert spark.read.parquet(f"{index}/chunks").count() == 3
+        start().awaitTermination()
+    assert statuses(spark, index) == {"o.csv": ("done", 1, None), "a.csv": ("done", 2, None), "b.csv": ("error", 0, "Этот документ уже добавлен"), "o2.csv": ("error", 0, "Этот документ уже добавлен — «o.csv»")}
+    assert spark.read.parquet(f"{index}/chunks").count() == 3 and ingest.read_parents(spark, index).count() == 3
+
+
+def test_a_batch_does_not_read_the_index(spark, tmp_path):
+    """With the chunks and parents of earlier batches gone, what they held is still known."""
+    arriving, index = tmp_path / "in", tmp_path / "index"
+    arriving.mkdir()
+    start = lambda: ingest_stream(spark, f"file:{arriving}", str(index), f"{tmp_path}/cp", once=True).awaitTermination()
+    (arriving / "a.csv").write_text("k\nодин")
+    start()
+    for name in ("chunks", "parents"):
+        (index / name).rename(tmp_path / f"moved-{name}")
+    (arriving / "b.csv").write_text("k\nодин")
+    (arriving / "c.csv").write_text("k\nдва")
+    start()
+    assert statuses(spark, str(index)) == {"a.csv": ("done", 1, None), "b.csv": ("error", 0, "Этот документ уже добавлен — «a.csv»"), "c.csv": ("done", 1, None)}

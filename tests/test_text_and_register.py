@@ -129,7 +129,7 @@ def test_sheets_and_csv(spark):
 
 def test_read_csv_with_mark_and_line_break(spark, tmp_path):
     (tmp_path / "a.csv").write_text('﻿h1,h2\n"x\ny",2\n,\n3\n', encoding="utf-8")
-    out = tables.csv_rows_to_text(tables.read_csv_cells(spark, str(tmp_path), 4)).orderBy("row_idx").collect()
+    out = tables.csv_rows_to_text(tables.read_csv_cells(spark, str(tmp_path))).orderBy("row_idx").collect()
     assert [r["text"] for r in out] == ["h1: x\ny, h2: 2", "h1: 3"]
 
 
