@@ -33,7 +33,11 @@ NOTICES = {
     "permission is hereby granted free of charge": "mit", "redistribution and use in source and binary forms": "bsd",
     "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "isc",
 }
-TAG = "spdx license identifier"
+# What an identifier or an expression follows.
+TAGS = ("spdx license identifier", "license expression", "licence expression")
+#: These are tags where a colon or an equals sign comes next, or an at sign stands before.
+FIELDS = ("license", "licence", "licenses", "licences")
+LEADS = tuple(f"{verb} under{the}" for verb in ("licensed", "licenced", "released", "distributed", "available", "published") for the in ("", " the", " the terms of the"))
 
 # How freely text under a licence may be used, from 0 to 1.
 FREEDOM = {
@@ -45,6 +49,7 @@ FREEDOM = {
 }
 UNKNOWN = 0.5
 _BINDS = {"with": 3, "and": 2, "or": 1}
+_SIGNS = {"/": "or", "&": "and", "|": "or"}
 _FAMILIES = sorted(FREEDOM, key=len, reverse=True)
 # A line break is read with the comment sign that the next line may begin with.
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9.+\-:]+|\n[ \t]*(?:[#*;%/]+|--+)?|[^ \t\r]")
@@ -64,7 +69,7 @@ def read_expression(text: str, at: int = 0) -> tuple[list[str], int]:
     """Shunting-yard: the licence expression at ``at`` in postfix order, and where it ends.
 
     ``with`` binds closest, then ``and``, then ``or``.  Reading stops at the first
-    token that cannot continue the expression, and at the end of a line unless a
+    token that cannot continue the expression (a slash means ``or``), and at the end of a line unless a
     bracket is open or an operator still wants its right side.  Unclosed brackets
     are closed.
     """
@@ -74,7 +79,7 @@ def read_expression(text: str, at: int = 0) -> tuple[list[str], int]:
     end = at
     for m in _TOKEN.finditer(text, at):
         t = m[0]
-        low = t.lower()
+        low = _SIGNS.get(t, t.lower())
         if t[0] == "\n":
             if stack and (operand or "(" in stack):
                 continue
@@ -130,8 +135,12 @@ def evaluate(postfix: list[str]) -> tuple[float, set[str]] | None:
 
 def build_automaton() -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
-    for phrase, label in [*BASE.items(), *NOTICES.items(), (TAG, None)]:
+    other = {p.replace("license", "licence"): label for p, label in (BASE | NOTICES).items() if "license" in p}
+    for phrase, label in (other | NOTICES | BASE).items():
         a.add_word(f" {phrase} ", (phrase.count(" ") + 1, label, phrase in BASE))
+    for kind, phrases in enumerate((TAGS, FIELDS, LEADS)):
+        for phrase in phrases:
+            a.add_word(f" {phrase} ", (phrase.count(" ") + 1, None, kind))
     a.make_automaton()
     return a
 
@@ -157,7 +166,7 @@ def scan(text: str | None, automaton: ahocorasick.Automaton) -> dict:
         number += line.count(" ", at, end)
         at = end
         if label is None:
-            tags.append(number)  # the word after the tag
+            tags.append((number, counted))  # the word after the tag, and its kind
             continue
         hits.append((number - n, number, label))
         if counted:
@@ -169,11 +178,18 @@ def scan(text: str | None, automaton: ahocorasick.Automaton) -> dict:
     expressions = []
     if tags:
         spans = [m.span() for m in _WORD.finditer(text)]
-        for k in tags:
+        for k, kind in tags:
             start = spans[k - 1][1]
-            while start < len(text) and text[start] in " \t:=\"'`<":
+            while start < len(text) and text[start] in " \t\"'`<":
+                start += 1
+            marked = text[start : start + 1] in (":", "=") or text[max(0, spans[k - 1][0] - 1) : spans[k - 1][0]] == "@"
+            if kind == 1 and not marked:
+                continue
+            while start < len(text) and text[start] in " \t:=\"'`<[":
                 start += 1
             postfix, end = read_expression(text, start)
+            if kind and not (postfix and label_of(postfix[0]) in FREEDOM):
+                continue  # prose after a word that is a tag only at times
             got = evaluate(postfix)
             if got is not None:
                 terms.append(got[0])
@@ -192,6 +208,8 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     and of the evaluated expressions after identifier tags, 0 where none is named.
     A notice inside a longer one counts as a base place, but the longer one decides
     the score: a lesser general public licence is not scored as a general one.
+    Tags are ``TAGS``; fields like ``License:`` or ``@license`` and leads like
+    ``licensed under the`` count where a known identifier follows.
 
     * A null text counts as empty: no words, no places, empty label strings.
     * Places are word numbers from 0; a phrase that stands several times, or in a

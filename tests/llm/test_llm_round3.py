@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quernel.llm import license_scan
 from quernel.llm import ranked_search as rs
 from quernel.llm.fill_in_middle import CutText, fill_in_middle, restored
 from quernel.llm.html_text import Page, extract_text, main_text
@@ -95,6 +96,21 @@ def test_ranking_of_odd_rows(spark):
     assert rs.ranked_search(docs, none).collect() == [] == rs.ranked_search(docs.where("false"), items).collect()
 
 
+# --- licence tags
+
+
+def test_licence_fields_and_leads():
+    automaton = license_scan.build_automaton()
+    labels = lambda t: license_scan.scan(t, automaton)["labels"]
+    assert labels("License: MIT") == labels("Licensed under the MIT.") == labels('{"license": "MIT"}') == labels("/** @license MIT */") == labels("the MIT licence") == "mit"
+    assert labels("License-Expression: MIT OR Apache-2.0") == labels("SPDX-License-Identifier: MIT/Apache-2.0") == labels("licence = Apache-2.0/MIT") == "apache,mit"
+    assert labels("License: see the file") == labels("a license of ours") == labels("licensed under water") == labels("license") == labels("released under") == ""
+    found = license_scan.scan("Distributed under the terms of the GPL-2.0-or-later WITH Classpath-exception-2.0.", automaton)
+    assert found["labels"] == "gpl" and found["score"] == 0.5 and found["base_labels"] == "" and found["n_base"] == 0
+    base = license_scan.scan("MIT License and mit licence", automaton)
+    assert (base["n_base"], base["first_word"], base["last_word"], base["base_labels"]) == (1, 0, 0, "mit")
+
+
 # --- fill-in-the-middle
 
 
