@@ -34,11 +34,12 @@ def best_sections(chunks: DataFrame, sources: DataFrame, most: int = 400, told:
 
     A source's best chunk is the same for every question, so it is found once and
     joined to the questions last.  The sources are read twice and so written once.
+    Chunks that have ``markers``, counted when they were indexed, are not searched again.
     """
     sources = held(sources, "sources")
     own = chunks.where("origin = 'equipment'").join(sources.select("source_file").distinct(), "source_file", "left_semi")
     early = own.withColumn("k", F.row_number().over(Window.partitionBy("source_file").orderBy("chunk_order"))).where(F.col("k") <= most)
-    marked = early.withColumn("n", procedural_markers(F.col("snippet"), told)).where("n > 0")
+    marked = early.withColumn("n", F.col("markers") if "markers" in chunks.columns else procedural_markers(F.col("snippet"), told)).where("n > 0")
     best = marked.withColumn("b", F.row_number().over(Window.partitionBy("source_file").orderBy(F.desc("n"), "chunk_order"))).where("b = 1")
     return best.withColumn("score", 0.02 * F.least("n", F.lit(6))).drop("k", "b", "n").join(sources, "source_file")
 

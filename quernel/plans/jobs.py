@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernel.functions import fixed
-from quernel.functions.text import is_procedural, passage_text, query_text, searchable
+from quernel.functions.text import is_procedural, passage_text, procedural_markers, query_text, searchable
 from quernel.operators.articles import build_catalog, exact_articles, expand_query, fuzzy_articles, maximal_matches
 from quernel.operators.documents import build_chunks, dedupe_files, new_sources
 from quernel.operators.hits import best_sections, boost_procedural, combine_hits, dedupe_hits, final_topk, light_hits, top_sources, with_parent_text
+from quernel.operators.lexical_index import LexicalIndex
 from quernel.operators.search import bm25_topk, corpus_stats, embed, hash_encoder, rrf_fuse, vector_topk
+from quernel.sources.parents import ParentStore
 from quernel.sources.scratch import held
+from quernel.sources.store import ChunkStore
 from quernel.sources.tables import pdf_layer_text
 
 
@@ -41,16 +44,73 @@ def build_index(sources: DataFrame, existing: DataFrame, origin: str = "equipmen
     return chunks, parents, report, errors
 
 
-def search_lists(questions: DataFrame, vectors: DataFrame, chunks: DataFrame, k: int = 20) -> DataFrame:
-    """The vector list (0) and the lexical list (1) of each question and collection."""
-    terms, sizes = corpus_stats(chunks)
-    lexical = bm25_topk(questions, chunks, terms, sizes, k).select("question_id", "origin", "chunk_id", F.lit(1).alias("list_no"), "rank", F.lit(None).cast("double").alias("distance"))
+CHUNKS = (
+    "chunk_id string, origin string, content_hash string, chunk_index int, chunk_count int, source_file string, source_label string, doc_title string, heading_path string, "
+    "parent_ref string, text string, embedding array<float>, markers int"
+)
+
+
+class StoredIndex:
+    """Chunks, parents and the inverted index below one folder, of which a change touches only the documents it names."""
+
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = 64):
+        self.chunks_store = ChunkStore(spark, f"{folder}/chunks", CHUNKS, buckets)
+        self.parents_store = ParentStore(spark, f"{folder}/parents")
+        self.lexical = LexicalIndex(spark, f"{folder}/lexical")
+
+    def chunks(self) -> DataFrame:
+        return self.chunks_store.chunks()
+
+    def parents(self) -> DataFrame:
+        return self.parents_store.parents()
+
+    def _reindex(self, touched: list[tuple]) -> None:
+        corpus = self.chunks().withColumn("text", searchable(F.col("doc_title"), F.col("heading_path"), F.col("text")))
+        if self.lexical.layout is None:
+            self.lexical.build(corpus, self.chunks_store.buckets)
+        else:
+            self.lexical.update(corpus, touched)
+
+    def add(self, sources: DataFrame, origin: str = "equipment", make_encoder=hash_encoder) -> tuple[DataFrame, DataFrame]:
+        """Indexes new sources as ``build_index`` does; returns its report and errors.
+
+        Markers of procedures are counted here, once for each chunk.
+        """
+        existing = held(self.chunks().where(F.col("origin") == origin).select("content_hash").distinct(), "known")
+        chunks, parents, report, errors = build_index(sources, existing, origin, make_encoder)
+        report, errors = held(report, "report"), held(errors, "errors")
+        chunks = held(chunks.withColumn("markers", procedural_markers(F.col("text"))), "chunks")  # embedded once
+        self.parents_store.upsert(parents)
+        touched = self.chunks_store.append(chunks)
+        if touched:
+            self._reindex(touched)
+        return report, errors
+
+    def remove(self, hashes: DataFrame) -> list[tuple]:
+        """Takes documents out of the chunks and the inverted index; parents stay, as they may be shared."""
+        touched = self.chunks_store.delete(hashes)
+        if touched:
+            self._reindex(touched)
+        return touched
+
+
+def search_lists(questions: DataFrame, vectors: DataFrame, chunks: DataFrame, k: int = 20, index: LexicalIndex | None = None) -> DataFrame:
+    """The vector list (0) and the lexical list (1) of each question and collection; the latter from a stored index if there is one."""
+    if index is None:
+        terms, sizes = corpus_stats(chunks)
+        found = bm25_topk(questions, chunks, terms, sizes, k)
+    else:
+        found, _ = index.topk(questions, k)
+    lexical = found.select("question_id", "origin", "chunk_id", F.lit(1).alias("list_no"), "rank", F.lit(None).cast("double").alias("distance"))
     near = vector_topk(vectors, chunks, k).select("question_id", "origin", "chunk_id", F.lit(0).alias("list_no"), "rank", "distance")
     return near.unionByName(lexical)
 
 
-def retrieve(questions: DataFrame, chunks: DataFrame, parents: DataFrame, registry: DataFrame, top_k: int = 5, make_encoder=hash_encoder) -> DataFrame:
-    """The best fragments for each question: ``question_id, rank, text, snippet, source_file, source_label, origin, score, distance``."""
+def retrieve(questions: DataFrame, chunks: DataFrame, parents: DataFrame, registry: DataFrame, top_k: int = 5, make_encoder=hash_encoder, index: LexicalIndex | None = None) -> DataFrame:
+    """The best fragments for each question: ``question_id, rank, text, snippet, source_file, source_label, origin, score, distance``.
+
+    ``index`` is the stored inverted index of the same chunks, if there is one.
+    """
     catalog = build_catalog(registry)
     exact = exact_articles(questions, catalog)
     articles = maximal_matches(exact).select("question_id", "rank", "canonical").unionByName(fuzzy_articles(questions, catalog, exact))
@@ -58,7 +118,7 @@ def retrieve(questions: DataFrame, chunks: DataFrame, parents: DataFrame, regist
     queries = asked.select("question_id", query_text(F.col("expanded")).alias("q"))
     vectors = embed(queries, "q", make_encoder)
     corpus = chunks.select("chunk_id", "origin", "embedding", searchable(F.col("doc_title"), F.col("heading_path"), F.col("text")).alias("text"))
-    lists = search_lists(asked.select("question_id", F.col("expanded").alias("question")), vectors, corpus)
+    lists = search_lists(asked.select("question_id", F.col("expanded").alias("question")), vectors, corpus, index=index)
     return finish(questions, rrf_fuse(lists), chunks, parents, top_k)
 
 
@@ -68,7 +128,7 @@ def finish(questions: DataFrame, fused: DataFrame, chunks: DataFrame, parents: D
     Texts are read for the boost and the digest of their beginnings, then left
     behind; the last few hits of each question get them again.
     """
-    known = chunks.select("chunk_id", "origin", F.col("text").alias("snippet"), "source_file", "source_label", "parent_ref", F.struct("content_hash", "chunk_index").alias("chunk_order"))
+    known = chunks.select("chunk_id", "origin", F.col("text").alias("snippet"), "source_file", "source_label", "parent_ref", F.struct("content_hash", "chunk_index").alias("chunk_order"), *(c for c in chunks.columns if c == "markers"))
     hits = with_parent_text(fused.join(known, ["chunk_id", "origin"]), parents).join(questions, "question_id")
     boosted = boost_procedural(hits).withColumn("position", F.struct(F.when(F.col("origin") == "equipment", 0).otherwise(1).alias("o"), "position"))
     boosted = held(light_hits(boosted), "hits")  # used by both branches

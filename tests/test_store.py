@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from quernel.functions.text import tokenize
 from quernel.operators import search
 from quernel.operators.lexical_index import LexicalIndex
+from quernel.plans import jobs
+from quernel.sources.parents import ParentStore
 from quernel.sources.store import ChunkStore
 
 SCHEMA = "origin string, content_hash string, chunk_id string, chunk_index int, text string"
@@ -138,3 +140,38 @@ def test_index_finds_what_scoring_every_chunk_finds(spark, store, tmp_path):
     assert kept and all(before[f] == after.get(f) for f in kept) and len(named) < 12
     for k in (2, 20):
         assert ranked(index.topk(questions, k=k)[0]) == ranked(by_join(questions, store.chunks(), k))
+
+
+# --- parents and the whole index
+
+
+def test_parents_are_ignored_where_known(spark, tmp_path):
+    store = ParentStore(spark, f"{tmp_path}/parents", buckets=16)
+    schema = "parent_ref string, text string"
+    block = lambda *ks: spark.createDataFrame([(f"r{k}", f"text {k}") for k in ks], schema)
+    assert store.upsert(block(*range(300), *range(20))) == []
+    assert store.upsert(block(*range(300, 400))) == []  # no filter says that one of them may be there
+    read = store.upsert(block(7, 7, 8, *range(400, 420)).unionByName(spark.createDataFrame([(None, "x")], schema)))
+    assert 1 <= len(read) <= 3
+    got = sorted(tuple(r) for r in store.parents().collect())
+    assert got == sorted((f"r{k}", f"text {k}") for k in range(420))
+    assert store.upsert(block()) == [] and store.doubtful_buckets(block(1).select("parent_ref")) == store.doubtful_buckets(block(1, 1).select("parent_ref"))
+
+
+def test_stored_index_adds_and_removes(spark, tmp_path):
+    sources = "content_hash string, file_name string, source_label string, suffix string, text string"
+    long = "# Насос\n" + "Техническое обслуживание насоса, перечень работ, осмотр узла. " * 4
+    index = jobs.StoredIndex(spark, f"{tmp_path}/index", buckets=4)
+    report, errors = index.add(spark.createDataFrame([("h1", "Насос.pdf", "d/Насос.pdf", ".pdf", long), ("h2", "t.csv", "t.csv", ".csv", "щит ВА47-63\n\nлампа"), ("h3", "e.pdf", "e.pdf", ".pdf", " ")], sources))
+    assert report.first()["new_chunks"] == 3 and [r["source_label"] for r in errors.collect()] == ["e.pdf"]
+    index = jobs.StoredIndex(spark, f"{tmp_path}/index")
+    assert index.add(spark.createDataFrame([("h1", "x.pdf", "x.pdf", ".pdf", long), ("h4", "u.csv", "u.csv", ".csv", "щит учёта")], sources))[0].first()["already_indexed"] == 1
+    reg = spark.createDataFrame([(1, "щит", "BA47-63")], "row_id long, name string, model string")
+    questions = spark.createDataFrame([(1, "Как обслуживать насос"), (2, "щит ВА 47 63")], "question_id long, question string")
+    found = lambda **kw: sorted(tuple(r) for r in jobs.retrieve(questions, index.chunks(), index.parents(), reg, **kw).select("question_id", "rank", "chunk_id", F.round("score", 9)).collect())
+    assert found(index=index.lexical) == found() and {r[2] for r in found()} >= {"h1_0", "h2_0"}
+    parents = index.parents().count()
+    assert index.remove(spark.createDataFrame([("h2",)], "content_hash string")) != []
+    assert "h2_0" not in {r[2] for r in found(index=index.lexical)} and found(index=index.lexical) == found() and index.parents().count() == parents
+    plain = index.chunks().drop("markers")
+    assert sorted(map(str, jobs.retrieve(questions, plain, index.parents(), reg).collect())) == sorted(map(str, jobs.retrieve(questions, index.chunks(), index.parents(), reg).collect()))
