@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -58,13 +59,18 @@ def _unmask(m: re.Match) -> str:
 def fold(text: str) -> bytes:
     """Lower-cased text with look-alikes and substitutes folded; words joined by a space.
 
+    Letters of mathematical and other styles become plain ones; accents stay, as words
+    of other languages differ by them.
+
     A substitute is folded where it is written together with two letters or more;
     signs at the end of a word are not.  Starts and ends with a space unless there
     are no words.
     """
     low = text.lower()
-    if not low.isascii() and _LOOKALIKE.search(low):
-        low = low.translate(_FOLD)
+    if not low.isascii():
+        low = unicodedata.normalize("NFKC", low).lower()
+        if _LOOKALIKE.search(low):
+            low = low.translate(_FOLD)
     if _SIGN.search(low):
         low = " ".join(t if t.isalpha() or not _SIGN.search(t) else _WRITTEN.sub(_unmask, t) for t in low.split())
     words = plain_words(low.encode("utf-8", "surrogatepass"))

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quernel.llm import license_scan
+from quernel.llm import license_scan, toxicity
 from quernel.llm import ranked_search as rs
 from quernel.llm.fill_in_middle import CutText, fill_in_middle, restored
 from quernel.llm.html_text import Page, extract_text, main_text
@@ -111,6 +111,11 @@ def test_licence_fields_and_leads():
     assert (base["n_base"], base["first_word"], base["last_word"], base["base_labels"]) == (1, 0, 0, "mit")
 
 
+def test_styled_letters_are_folded():
+    assert toxicity.fold("𝗂𝖽𝗂𝗈𝗍 Ｉｄｉｏｔ 1d10t ⓘdiot") == b" idiot idiot idiot idiot "
+    assert toxicity.fold("Straße été") == " straße été ".encode()
+
+
 # --- fill-in-the-middle
 
 
