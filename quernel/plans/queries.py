@@ -70,7 +70,8 @@ q AS (
 
 
 def registry_view(spark: SparkSession, sf: str) -> DataFrame:
-    li, part, supplier, nation = (_read(spark, sf, t) for t in ("lineitem", "part", "supplier", "nation"))
+    part, supplier, nation = (_read(spark, sf, t) for t in ("part", "supplier", "nation"))
+    li = tables.spread(_read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_linestatus"))
     joined = li.join(part, li.l_partkey == part.p_partkey).join(supplier, li.l_suppkey == supplier.s_suppkey).join(nation, supplier.s_nationkey == nation.n_nationkey)
     pad = lambda c, n: F.lpad(F.col(c).cast("string"), n, "0")
     row_id = F.concat_ws("-", pad("l_orderkey", 12), pad("l_linenumber", 3), pad("l_partkey", 10), pad("l_suppkey", 10), F.date_format("l_shipdate", "yyyyMMdd"))
