@@ -16,7 +16,7 @@ from quernel.functions import text as T
 from quernel.operators import articles, dialogue, documents, hits, registry, routing, search
 from quernel.operators.lexical_index import LexicalIndex
 from quernel.plans import jobs
-from quernel.sources import sinks, tables
+from quernel.sources import parents, sinks, store, tables
 from quernel.sources.scratch import held, scratch_folder
 
 STOP = ("many", "total", "which", "need", "replacing")
@@ -389,6 +389,52 @@ def chunk_documents(spark, sf):
     return documents.chunk_documents(docs)
 
 
+_MARKED = "SELECT doc_id, replace(coalesce(text, ''), '#', ' ') || repeat('.', 80) AS t, 'Part ' || doc_id % 7 AS part FROM documents"
+
+
+@query(f"SELECT doc_id, 0 AS chunk_index, 2 AS chunk_count, part AS heading_path, '# ' || part || chr(10) || t || chr(10) AS text FROM ({_MARKED}) "
+       f"UNION ALL SELECT doc_id, 1, 2, part || ' › Sub', '## Sub' || chr(10) || t FROM ({_MARKED})")
+def heading_sections(spark, sf):
+    """Sections of documents with two headings each, whole."""
+    t = F.concat(F.replace(F.coalesce("text", F.lit("")), F.lit("#"), F.lit(" ")), F.repeat(F.lit("."), 80))
+    part = F.concat(F.lit("Part "), (F.col("doc_id") % 7).cast("string"))
+    marked = _read(spark, sf, "documents").select("doc_id", F.concat(F.lit("# "), part, F.lit("\n"), t, F.lit("\n## Sub\n"), t).alias("text"))
+    return documents.chunk_documents(marked, child=2**31, overlap=0, parent=2**31).select("doc_id", "chunk_index", "chunk_count", "heading_path", "text")
+
+
+@query("SELECT doc_id, md5(text) AS digest FROM documents")
+def decode_glyphs(spark, sf):
+    """Texts whose commonest letters were written as glyph names, read again."""
+    text = F.col("text")
+    for letter in "eéñü":
+        text = F.replace(text, F.lit(letter), F.lit(f"/uni{ord(letter):04X}"))
+    return _read(spark, sf, "documents").select("doc_id", F.md5(T.decode_uni_glyphs(text)).alias("digest"))
+
+
+@query("SELECT CASE WHEN lang = 'en' THEN 'equipment' ELSE 'user' END AS origin, CAST(doc_id AS VARCHAR) AS content_hash, CASE WHEN doc_id % 6 = 0 THEN 'changed' ELSE md5(text) END AS digest "
+       "FROM documents WHERE doc_id % 3 <> 0 OR doc_id % 6 = 0")
+def store_changes(spark, sf):
+    """A chunk store after every third document was deleted and half of these were added again, changed."""
+    rows = search_chunks(spark, sf).select("origin", F.col("chunk_id").cast("string").alias("content_hash"), F.md5("text").alias("digest"))
+    stored = store.ChunkStore(spark, scratch_folder(spark, "store"), rows.schema, buckets=8)
+    stored.append(rows)
+    number = F.col("content_hash").cast("long")
+    stored.delete(rows.where(number % 3 == 0).select("content_hash"))
+    stored.append(rows.where(number % 6 == 0).withColumn("digest", F.lit("changed")))
+    return stored.chunks()
+
+
+@query("SELECT DISTINCT substr(sha1(text), 1, 16) AS parent_ref, md5(text) AS digest FROM documents")
+def parents_stored(spark, sf):
+    """A parent store after the English documents, then all of them."""
+    docs = _read(spark, sf, "documents")
+    blocks = lambda df: df.select(T.parent_ref(F.col("text")).alias("parent_ref"), "text")
+    stored = parents.ParentStore(spark, scratch_folder(spark, "parents"), buckets=8)
+    stored.upsert(blocks(docs.where("lang = 'en'")))
+    stored.upsert(blocks(docs))
+    return stored.parents().select("parent_ref", F.md5("text").alias("digest"))
+
+
 _WHOLE = "parts AS (SELECT p_partkey, p_name, p_brand, p_type, p_size FROM part)"
 
 
