@@ -19,10 +19,10 @@ def written(rng, n, width):
     return out.getvalue()
 
 
-@pytest.mark.parametrize("bytes_at_once", [64, 1000, 10_000_000])
+@pytest.mark.parametrize("bytes_at_once", [150, 1000, 10_000_000])
 def test_records_over_byte_ranges(spark, tmp_path, bytes_at_once):
     rng = random.Random(bytes_at_once)
-    texts = {"a.csv": "﻿" + written(rng, 120, 5), "b.csv": written(rng, 40, 9), "c.csv": "", "d.csv": 'h\n"x\ny', "e.csv": "one\n\n\ntwo", "f.csv": '"' + "\n" * 500 + '",z\nlast,' + "x" * 200_000}
+    texts = {"a.csv": "﻿" + written(rng, 50, 4), "b.csv": written(rng, 15, 7), "c.csv": "", "d.csv": 'h\n"x\ny', "e.csv": "one\n\n\ntwo", "f.csv": '"' + "\n" * 300 + '",z\nlast,' + "x" * (200_000 if bytes_at_once > 1000 else 900)}
     for name, text in texts.items():
         (tmp_path / name).write_bytes(text.encode())
     conf = {"spark.sql.files.maxPartitionBytes": str(bytes_at_once), "spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1"}
