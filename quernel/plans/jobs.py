@@ -16,14 +16,16 @@ from quernel.sources.parents import ParentStore
 from quernel.sources.scratch import held
 from quernel.sources.store import ChunkStore
 from quernel.sources.tables import pdf_layer_text
+from quernel.sources.vectors import VectorStore
 
 
-def build_index(sources: DataFrame, existing: DataFrame, origin: str = "equipment", make_encoder=hash_encoder) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def build_index(sources: DataFrame, existing: DataFrame, origin: str = "equipment", make_encoder=hash_encoder, vectors: VectorStore | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """``(chunks, parents, report, errors)`` of sources that are neither copies of one another nor indexed.
 
     ``sources(content_hash, file_name, source_label, suffix, text)``; the text of a
     PDF is its raw text layer.  ``errors`` has ``source_label`` and ``reason`` of
-    files that give no chunk.
+    files that give no chunk.  Where a store of ``vectors`` is given, only passages
+    that it does not have are embedded, and chunks have ``kept``.
     """
     unique = dedupe_files(sources, "source_label").select("content_hash", F.col("kept").alias("source_label"), "copies")
     fresh = new_sources(sources.join(unique, ["content_hash", "source_label"], "left_semi"), existing)
@@ -31,7 +33,8 @@ def build_index(sources: DataFrame, existing: DataFrame, origin: str = "equipmen
     usable = read.where(F.coalesce(F.col("text").rlike(r"(?U)\S"), F.lit(False)))
     rows = build_chunks(usable, origin)
     passages = rows.withColumn("passage", passage_text(F.col("doc_title"), F.col("heading_path"), F.col("text")))
-    chunks = embed(passages, "passage", make_encoder).drop("passage", "parent_text")
+    passages = passages.drop("parent_text")
+    chunks = (embed(passages, "passage", make_encoder) if vectors is None else vectors.embed(passages, "passage", make_encoder)).drop("passage")
     parents = rows.select("parent_ref", F.col("parent_text").alias("text")).dropDuplicates(["parent_ref"])
     known = existing.select("content_hash").distinct().withColumn("known", F.lit(1))
     marked = unique.join(known, "content_hash", "left").join(rows.groupBy("content_hash").agg(F.count("*").alias("chunks")), "content_hash", "left")
@@ -53,9 +56,10 @@ CHUNKS = (
 class StoredIndex:
     """Chunks, parents and the inverted index below one folder, of which a change touches only the documents it names."""
 
-    def __init__(self, spark: SparkSession, folder: str, buckets: int = 64):
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = 64, encoder: str = "hash"):
         self.chunks_store = ChunkStore(spark, f"{folder}/chunks", CHUNKS, buckets)
         self.parents_store = ParentStore(spark, f"{folder}/parents")
+        self.vectors = VectorStore(spark, f"{folder}/vectors", encoder)
         self.lexical = LexicalIndex(spark, f"{folder}/lexical")
 
     def chunks(self) -> DataFrame:
@@ -72,16 +76,27 @@ class StoredIndex:
             self.lexical.update(corpus, touched)
 
     def add(self, sources: DataFrame, origin: str = "equipment", make_encoder=hash_encoder) -> tuple[DataFrame, DataFrame]:
-        """Indexes new sources as ``build_index`` does; returns its report and errors.
+        """Indexes new sources as ``build_index`` does; returns its report, with ``vectors_kept``, and errors."""
+        return self.replace(None, sources, origin, make_encoder)
 
-        Markers of procedures are counted here, once for each chunk.
+    def replace(self, hashes: DataFrame | None, sources: DataFrame, origin: str = "equipment", make_encoder=hash_encoder) -> tuple[DataFrame, DataFrame]:
+        """Takes documents ``hashes(content_hash)`` of ``origin`` out and indexes ``sources`` in one change.
+
+        Passages that any document ever had keep their vectors, so a changed document
+        embeds what changed in it.  Markers of procedures are counted here, once for
+        each chunk.  Returns the report, with ``vectors_kept``, and errors.
         """
-        existing = held(self.chunks().where(F.col("origin") == origin).select("content_hash").distinct(), "known")
-        chunks, parents, report, errors = build_index(sources, existing, origin, make_encoder)
-        report, errors = held(report, "report"), held(errors, "errors")
-        chunks = held(chunks.withColumn("markers", procedural_markers(F.col("text"))), "chunks")  # embedded once
+        existing = self.chunks().where(F.col("origin") == origin).select("content_hash").distinct()
+        gone = None if hashes is None else held(hashes.select(F.lit(origin).alias("origin"), "content_hash"), "gone")
+        if gone is not None:
+            existing = existing.join(gone, "content_hash", "left_anti")
+        existing = held(existing, "known")
+        chunks, parents, report, errors = build_index(sources, existing, origin, make_encoder, self.vectors)
+        chunks = held(chunks.withColumn("markers", procedural_markers(F.col("text"))), "chunks")
+        report = held(report.join(F.broadcast(chunks.agg(F.count_if("kept").alias("vectors_kept")))), "report")  # one row each
+        errors = held(errors, "errors")
         self.parents_store.upsert(parents)
-        touched = self.chunks_store.append(chunks)
+        touched = self.chunks_store.append(chunks) if gone is None else self.chunks_store.replace(gone, chunks)
         if touched:
             self._reindex(touched)
         return report, errors

@@ -16,7 +16,7 @@ from quernel.functions import text as T
 from quernel.operators import articles, dialogue, documents, hits, registry, routing, search
 from quernel.operators.lexical_index import LexicalIndex
 from quernel.plans import jobs
-from quernel.sources import parents, sinks, store, tables
+from quernel.sources import parents, sinks, store, tables, vectors
 from quernel.sources.scratch import held, scratch_folder
 
 STOP = ("many", "total", "which", "need", "replacing")
@@ -435,6 +435,20 @@ def parents_stored(spark, sf):
     return stored.parents().select("parent_ref", F.md5("text").alias("digest"))
 
 
+_LINES = "SELECT doc_id, unnest(string_split({}, chr(10))) AS line FROM documents"
+
+
+@query(f"WITH before AS (SELECT DISTINCT line FROM ({_LINES.format('text')})), l AS ({_LINES.format("replace(text, ' the ', ' a ')")}) "
+       "SELECT doc_id, count(*) AS lines, count(before.line) AS kept FROM l LEFT JOIN before USING (line) GROUP BY doc_id")
+def vectors_kept(spark, sf):
+    """How many lines of each document keep their vectors when a common word changes in all documents."""
+    lines = lambda text: tables.spread(_read(spark, sf, "documents")).select("doc_id", F.explode(F.split(text, "\n")).alias("line"))
+    stored = vectors.VectorStore(spark, scratch_folder(spark, "vectors"), buckets=8)
+    stored.embed(lines(F.col("text")), "line")
+    again = stored.embed(lines(F.replace("text", F.lit(" the "), F.lit(" a "))), "line")
+    return again.groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if("kept").alias("kept"))
+
+
 _WHOLE = "parts AS (SELECT p_partkey, p_name, p_brand, p_type, p_size FROM part)"
 
 

@@ -1,69 +1,17 @@
-"""A store of parent blocks that ignores what it has, without reading all of it.
-
-Blocks lie in partitions by a hash of their reference.  Beside each partition lies a
-Bloom filter of its references, in bitmaps of 32,768 bits.  New references are held
-against the filters; only partitions that may have one of them are read.
-"""
+"""A store of parent blocks that ignores what it has, without reading all of it."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from quernel.sources.store import table_or_empty
+from pyspark.sql import DataFrame, SparkSession
 
-BUCKETS = 256
-HASHES = 4
-PAGES = 64  # bitmaps of a partition's filter: 2 million bits, a false alarm in 400 at 200,000 references
-_PAGE_BITS = 32_768
+from quernel.sources.keyed import BUCKETS, KeyedStore
 
 
-class ParentStore:
-    """``parents/bucket=`` with ``parent_ref, text`` and ``filters/bucket=`` with ``page, bits`` below ``path``.  One writer at a time."""
+class ParentStore(KeyedStore):
+    """Blocks ``parent_ref, text`` below ``path``; ``upsert`` adds those that are not stored yet, once each."""
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
-        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
-
-    def _stored(self) -> DataFrame:
-        return table_or_empty(self.spark, f"{self.path}/parents", "parent_ref string, text string, bucket int")
+        super().__init__(spark, path, "parents", "parent_ref", "text string", buckets)
 
     def parents(self) -> DataFrame:
-        return self._stored().select("parent_ref", "text")
-
-    def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64("parent_ref"), F.lit(self.buckets)).cast("int")
-
-    def _bits(self, refs: DataFrame) -> DataFrame:
-        """``parent_ref, bucket, page, bit``: the places of each reference in its partition's filter."""
-        places = F.array(*(F.pmod(F.xxhash64("parent_ref", F.lit(k)), F.lit(PAGES * _PAGE_BITS)) for k in range(1, HASHES + 1)))
-        out = refs.select("parent_ref", self._bucket().alias("bucket"), F.explode(F.array_distinct(places)).alias("place"))
-        return out.select("parent_ref", "bucket", F.floor(F.col("place") / _PAGE_BITS).cast("int").alias("page"), (F.col("place") % _PAGE_BITS).alias("bit"))
-
-    def doubtful_buckets(self, refs: DataFrame) -> list[int]:
-        """The partitions that may hold one of ``refs(parent_ref)``; as many as there are partitions at most."""
-        bits = self._bits(refs.select("parent_ref").distinct())
-        touched = [r["bucket"] for r in bits.select("bucket").distinct().collect()]
-        filters = table_or_empty(self.spark, f"{self.path}/filters", "page int, bits binary, bucket int").where(F.col("bucket").isin(touched))
-        filters = filters.groupBy("bucket", "page").agg(F.bitmap_or_agg("bits").alias("bits"))  # each change has added bitmaps of its own
-        byte = F.conv(F.hex(F.substring("bits", (F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-        is_set = F.expr("shiftright(byte, bit_in_byte) & 1") == 1
-        held = bits.join(filters, ["bucket", "page"], "left").withColumn("byte", byte).withColumn("bit_in_byte", (F.col("bit") % 8).cast("int"))
-        maybe = held.groupBy("parent_ref", "bucket").agg(F.bool_and(F.coalesce(is_set, F.lit(False))).alias("maybe")).where("maybe")
-        return sorted(r["bucket"] for r in maybe.select("bucket").distinct().collect())
-
-    def upsert(self, parents: DataFrame) -> list[int]:
-        """Adds blocks of ``parents(parent_ref, text)`` that are not stored yet, once each; returns the partitions that had to be read.
-
-        The filters are written first: where a change breaks off after that, they
-        have bits too many, which costs a reading and nothing else.
-        """
-        new = parents.select("parent_ref", "text").where("parent_ref is not null").dropDuplicates(["parent_ref"]).withColumn("bucket", self._bucket())
-        doubtful = self.doubtful_buckets(new)
-        if doubtful:
-            known = self._stored().where(F.col("bucket").isin(doubtful)).select("parent_ref")
-            new = new.join(known, "parent_ref", "left_anti")
-        pages = self._bits(new).groupBy("bucket", "page").agg(F.bitmap_construct_agg("bit").alias("bits"))
-        pages.select("page", "bits", "bucket").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/filters")
-        # The filters now hold what is added, so it is told from the same table as before.
-        new.select("parent_ref", "text", "bucket").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/parents")
-        return doubtful
+        return self.rows()

@@ -14,6 +14,7 @@ from quernel.operators.lexical_index import LexicalIndex
 from quernel.plans import jobs
 from quernel.sources.parents import ParentStore
 from quernel.sources.store import ChunkStore
+from quernel.sources.vectors import VectorStore
 
 SCHEMA = "origin string, content_hash string, chunk_id string, chunk_index int, text string"
 
@@ -178,6 +179,68 @@ def test_stored_index_adds_and_removes(spark, tmp_path):
     assert {r[2] for r in left} == {r[2] for r in both} - {"h2_0", "h2_1"} and index.parents().count() == parents
 
 
+def encoder_without(*refused):
+    """The default encoder, which fails on texts that hold one of ``refused``."""
+
+    def make():
+        encode = search.hash_encoder()
+
+        def checked(texts):
+            if bad := [t for t in texts if any(word in t for word in refused)]:
+                raise ValueError(f"embedded again: {bad[0]}")
+            return encode(texts)
+
+        return checked
+
+    return make
+
+
+def test_vectors_are_kept_by_content(spark, tmp_path):
+    store = VectorStore(spark, f"{tmp_path}/vectors", buckets=8)
+    schema = "id long, t string, kept string"
+    first = spark.createDataFrame([(1, "насос один", "x"), (2, "щит", "x"), (3, "насос один", "x"), (4, None, "x"), (5, "", "x")], schema)
+    direct = lambda df: {r["id"]: list(r["embedding"]) for r in search.embed(df, "t").collect()}
+    got = store.embed(first, "t")
+    assert got.columns == ["id", "t", "embedding", "kept"] and {r["id"]: list(r["embedding"]) for r in got.collect()} == direct(first)
+    assert got.where("kept").isEmpty() and store.rows().count() == 3  # equal passages once, null as empty
+    second = spark.createDataFrame([(6, "щит", "x"), (7, "лампа", "x"), (8, "насос один", "x"), (9, None, "x"), (10, "лампа", "x")], schema)
+    got = store.embed(second, "t", encoder_without("щит", "насос")).collect()
+    assert {r["id"]: list(r["embedding"]) for r in got} == direct(second) and {r["id"] for r in got if r["kept"]} == {6, 8, 9}
+    assert store.embed(second.limit(0), "t").isEmpty() and store.rows().count() == 4
+    other = VectorStore(spark, f"{tmp_path}/vectors", encoder="another", buckets=8)
+    assert other.embed(first, "t").where("kept").isEmpty()  # another model's vectors are not used
+    assert store.embed(first, "t", encoder_without("")).where("not kept").isEmpty()
+
+
+def test_vectors_after_a_change_that_broke_off(spark, tmp_path):
+    store = VectorStore(spark, f"{tmp_path}/vectors", buckets=4)
+    df = spark.createDataFrame([(k, f"passage {k % 7}") for k in range(20)], "id long, t string")
+    table, store.table = store.table, "nowhere://vectors"
+    with pytest.raises(Exception):
+        store.embed(df, "t")  # the filters are written, the vectors are not
+    store.table = table
+    assert store.embed(df, "t").where("kept").isEmpty() and store.rows().count() == 7
+    assert store.embed(df, "t").where("not kept").isEmpty() and store.rows().count() == 7
+
+
+def test_a_changed_document_embeds_what_changed(spark, tmp_path):
+    sources = "content_hash string, file_name string, source_label string, suffix string, text string"
+    index = jobs.StoredIndex(spark, f"{tmp_path}/index", buckets=2)
+    of = lambda *rows: spark.createDataFrame([(h, "t.csv", f"{h}.csv", ".csv", "\n\n".join(cells)) for h, *cells in rows], sources)
+    assert index.add(of(("h1", "щит учёта", "лампа", "насос"), ("h2", "щит учёта", "кабель")))[0].first()["vectors_kept"] == 0
+    hashes = spark.createDataFrame([("h1",), ("h2",)], "content_hash string")
+    # One document has changed; the other is taken out and comes back in the same change.
+    changed = of(("h1b", "щит учёта", "лампа новая", "насос"), ("h2", "щит учёта", "кабель"))
+    report, errors = index.replace(hashes, changed, make_encoder=encoder_without("щит", "насос", "кабель"))
+    assert (report.first()["vectors_kept"], report.first()["new_chunks"], errors.count()) == (4, 5, 0)
+    stored = {(r["content_hash"], r["text"]): list(r["embedding"]) for r in index.chunks().collect()}
+    assert set(stored) == {("h1b", "щит учёта"), ("h1b", "лампа новая"), ("h1b", "насос"), ("h2", "щит учёта"), ("h2", "кабель")}
+    # The passage holds the document's title, which is the same in both.
+    assert stored["h1b", "щит учёта"] == stored["h2", "щит учёта"]
+    asked = spark.createDataFrame([(1, "лампа новая")], "question_id long, question string")
+    assert index.lexical.topk(asked, k=1)[0].first()["chunk_id"] == "h1b_1"
+
+
 def test_counted_markers_stand_for_texts(spark):
     rows = [("equipment", f"c{k}", f"s{k % 2}", k, "порядок проведения работ " * (k % 4)) for k in range(12)]
     chunks = spark.createDataFrame(rows, "origin string, chunk_id string, source_file string, chunk_order int, snippet string")
