@@ -56,27 +56,28 @@ class KeyedStore:
         maybe = held.groupBy(self.key, "bucket").agg(F.bool_and(F.coalesce(is_set, F.lit(False))).alias("maybe")).where("maybe")
         return sorted(r["bucket"] for r in maybe.select("bucket").distinct().collect())
 
-    def known(self, keys: DataFrame, buckets: list[int]) -> DataFrame:
-        """The stored rows of the keys; only ``buckets`` are read."""
-        return self._stored().where(F.col("bucket").isin(buckets)).select(*self.schema.names).join(keys.select(self.key), self.key, "left_semi")
+    def mark(self, keys: DataFrame) -> None:
+        """Puts keys into the filters, before their rows are added.
 
-    def append(self, rows: DataFrame) -> None:
-        """Adds rows whose keys are not stored yet.
-
-        The filters are written first: where a change breaks off after that, they
-        have bits too many, which costs a reading and nothing else.
+        Where a change breaks off between, the filters have bits too many, which
+        costs a reading and nothing else.
         """
-        new = rows.select(*self.schema.names, self._bucket().alias("bucket"))
-        pages = self._bits(new).groupBy("bucket", "page").agg(F.bitmap_construct_agg("bit").alias("bits"))
+        pages = self._bits(keys).groupBy("bucket", "page").agg(F.bitmap_construct_agg("bit").alias("bits"))
         pages.select("page", "bits", "bucket").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/filters")
-        new.write.mode("append").partitionBy("bucket").parquet(self.table)
+
+    def append(self, rows: DataFrame) -> None:
+        """Adds rows whose keys are marked and not stored yet."""
+        rows.select(*self.schema.names, self._bucket().alias("bucket")).write.mode("append").partitionBy("bucket").parquet(self.table)
+
+    def without_known(self, rows: DataFrame, buckets: list[int]) -> DataFrame:
+        """Those of ``rows`` whose keys are not stored; only ``buckets`` are read."""
+        return rows.join(self._stored().where(F.col("bucket").isin(buckets)).select(self.key), self.key, "left_anti") if buckets else rows
 
     def upsert(self, rows: DataFrame) -> list[int]:
         """Adds rows whose keys are not stored yet, one for each key that is not null; returns the partitions that had to be read."""
         new = rows.select(*self.schema.names).where(F.col(self.key).isNotNull()).dropDuplicates([self.key])
         doubtful = self.doubtful_buckets(new)
-        if doubtful:
-            known = self._stored().where(F.col("bucket").isin(doubtful)).select(self.key)
-            new = new.join(known, self.key, "left_anti")
-        self.append(new)
+        new = self.without_known(new, doubtful)
+        self.mark(new)
+        self.append(new)  # the filters now hold what is added, so it is told from the same table as before
         return doubtful

@@ -43,8 +43,12 @@ class VectorStore(KeyedStore):
         rows = df.drop("embedding", "kept", KEY).withColumn(KEY, F.md5(F.concat_ws("\x01", F.lit(self.encoder), passage)))
         rows = held(rows, "passages")  # cut once, read for the keys and for the result
         asked = rows.select(KEY, passage.alias("passage")).distinct()
-        stored = held(self.known(asked, self.doubtful_buckets(asked)), "stored")
-        fresh = held(embed(asked.join(stored, KEY, "left_anti"), "passage", make_encoder).select(KEY, "embedding"), "fresh")
-        self.append(fresh)
-        vectors = stored.withColumn("kept", F.lit(True)).unionByName(fresh.withColumn("kept", F.lit(False)))
-        return rows.join(vectors, KEY).drop(KEY)
+        doubtful = self.doubtful_buckets(asked)
+        fresh = held(self.without_known(asked, doubtful), "fresh")  # told once, before anything is added
+        self.mark(fresh)
+        self.append(embed(fresh, "passage", make_encoder))
+        # Vectors are read where they are stored, in these rows' partitions alone: rows are only ever added there.
+        met = doubtful + [r["bucket"] for r in fresh.select(self._bucket().alias("bucket")).distinct().collect()]
+        stored = self._stored().where(F.col("bucket").isin(met)).select(KEY, "embedding")
+        vectors = rows.join(stored, KEY).join(fresh.select(KEY, F.lit(False).alias("kept")), KEY, "left")
+        return vectors.withColumn("kept", F.coalesce("kept", F.lit(True))).drop(KEY)
