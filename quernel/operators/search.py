@@ -270,7 +270,7 @@ def token_encoder(make_model: Callable, max_tokens: int = MAX_TOKENS) -> Callabl
 def hash_model(size: int = 64):
     """Token vectors without a model file: a token is one signed place of a hashed vector."""
     import re
-    import zlib
+    from hashlib import md5
 
     def model(texts: list[str], max_tokens: int) -> tuple[np.ndarray, np.ndarray]:
         tokens = [re.findall("[a-zа-яё0-9]+", (t or "").lower())[:max_tokens] for t in texts]
@@ -278,7 +278,7 @@ def hash_model(size: int = 64):
         vectors, mask = np.zeros((len(texts), width, size), np.float32), np.zeros((len(texts), width), np.int64)
         for row, found in enumerate(tokens):
             for place, token in enumerate(found):
-                h = zlib.crc32(token.encode())
+                h = int.from_bytes(md5(token.encode(), usedforsecurity=False).digest()[:4])
                 vectors[row, place, h % size] = 1.0 if h & 0x10000 else -1.0
                 mask[row, place] = 1
         return vectors, mask

@@ -272,7 +272,28 @@ def article_pairs(spark, sf):
     return articles.maximal_matches(articles.exact_articles(asked.withColumn("question_id", F.col("question")), catalog))
 
 
-@query()
+# Matching blocks are found as by definition: the longest one, the first of several, then left and right of it.
+_BLOCK = "list_max(flatten(list_transform(range(alo, ahi), lambda i: list_transform(range(blo, bhi), lambda j: len(list_filter(range(1, least(ahi - i, bhi - j) + 1), lambda n: substr(a, i + 1, n) = substr(b, j + 1, n))) * 100000000 + (9999 - i) * 10000 + 9999 - j))))"
+_FUZZY = _CATALOG.replace("'status of ' || raw || ' today'", "'status of ' || raw[1:3] || '9' || raw[4:] || ' today'") + f""", said AS (
+  SELECT question_id, i, {_KEY.format('trim(f[i])')} AS a FROM (SELECT question_id, regexp_extract_all(question, '{ARTICLE_SQL}') AS f FROM asked WHERE question_id NOT IN (SELECT question_id FROM found)), LATERAL (SELECT unnest(range(1, len(f) + 1)) AS i)
+), pairs AS (
+  SELECT DISTINCT a, article_key AS b FROM said JOIN catalog ON abs(length(a) - length(article_key)) <= 2
+  WHERE length(a) >= 4 AND NOT regexp_full_match(a, '[0-9]+') AND NOT regexp_full_match(a, '[a-zа-я]+') AND 2 * len(list_filter(string_split(a, ''), lambda x: contains(article_key, x))) > 0.86 * (length(a) + length(article_key))
+), parts AS (
+  SELECT a, b, 0::BIGINT AS alo, length(a) AS ahi, 0::BIGINT AS blo, length(b) AS bhi FROM pairs
+  UNION ALL
+  SELECT a, b, side.alo, side.ahi, side.blo, side.bhi FROM (
+    SELECT a, b, unnest([{{'alo': alo, 'ahi': i, 'blo': blo, 'bhi': j}}, {{'alo': i + k, 'ahi': ahi, 'blo': j + k, 'bhi': bhi}}]) AS side
+    FROM (SELECT *, v // 100000000 AS k, 9999 - v // 10000 % 10000 AS i, 9999 - v % 10000 AS j FROM (SELECT *, {_BLOCK} AS v FROM parts) WHERE v >= 100000000)
+  ) WHERE side.alo < side.ahi AND side.blo < side.bhi
+), ratios AS (
+  SELECT a, b, 2.0::DOUBLE * sum({_BLOCK} // 100000000) / (length(a) + length(b)) AS ratio FROM parts GROUP BY a, b
+), likest AS (
+  SELECT question_id, i, arg_min(canonical, (-ratio, b)) AS canonical FROM said JOIN ratios USING (a) JOIN catalog ON b = article_key WHERE ratio > 0.86::DOUBLE GROUP BY question_id, i
+)"""
+
+
+@query(f"WITH RECURSIVE {_FUZZY} SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY min(i), canonical) AS rank, canonical FROM likest GROUP BY question_id, canonical")
 def article_fuzzy(spark, sf):
     catalog = articles.build_catalog(article_view(spark, sf), ARTICLE)
     asked = article_questions(spark, sf, lambda c: F.concat(F.substring(c, 1, 3), F.lit("9"), F.substring(c, 4, 100)))
@@ -761,6 +782,14 @@ def embed(spark, sf):
     return search.embed(tables.spread(_read(spark, sf, "documents")).select("doc_id", "text"), "text").select("doc_id", "embedding")
 
 
+@query(f"""WITH t AS (SELECT doc_id, {_TOK}[1:512] AS tokens FROM documents), h AS (SELECT doc_id, len(tokens) AS n, ('0x' || md5(unnest(tokens))[1:8])::BIGINT AS h FROM t),
+p AS (SELECT doc_id, h % 64 AS place, sum(CASE WHEN (h & 65536) <> 0 THEN 1 ELSE -1 END)::DOUBLE / any_value(n) AS mean FROM h GROUP BY doc_id, h % 64)
+SELECT doc_id, place::INTEGER AS place, value FROM (SELECT doc_id, place, mean / sqrt(sum(mean * mean) OVER (PARTITION BY doc_id))::DOUBLE AS exact, exact::FLOAT::DOUBLE AS value FROM p) WHERE value <> 0""")
+def embed_values(spark, sf):
+    """The vectors' numbers that are not zero."""
+    return embed(spark, sf).select("doc_id", F.posexplode("embedding").alias("place", "value")).where("value <> 0").withColumn("value", F.col("value").cast("double"))
+
+
 # ---------------------------------------------------------------- dialogue
 
 _TURNS = "turns AS (SELECT conv_id, turn AS turn_id, text AS question, answer FROM (SELECT *, lead(text) OVER w AS answer, lead(role) OVER w AS next FROM conversations WHERE role <> 'system' WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role DESC, text)) WHERE role = 'user' AND next = 'assistant')"
