@@ -16,6 +16,7 @@ BUCKETS = 256
 HASHES = 4
 PAGES = 64  # bitmaps of a partition's filter: 2 million bits, a false alarm in 400 at 200,000 keys
 _PAGE_BITS = 32_768
+FILTERS_AT_ONCE = 128  # partitions whose filters go to the workers together: 256 KB each, 32 MB
 
 
 class KeyedStore:
@@ -38,23 +39,37 @@ class KeyedStore:
     def _bucket(self) -> Column:
         return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
 
-    def _bits(self, rows: DataFrame) -> DataFrame:
-        """The key with ``bucket, page, bit``: its places in its partition's filter."""
-        places = F.array(*(F.pmod(F.xxhash64(self.key, F.lit(k)), F.lit(PAGES * _PAGE_BITS)) for k in range(1, HASHES + 1)))
-        out = rows.select(self.key, self._bucket().alias("bucket"), F.explode(F.array_distinct(places)).alias("place"))
-        return out.select(self.key, "bucket", F.floor(F.col("place") / _PAGE_BITS).cast("int").alias("page"), (F.col("place") % _PAGE_BITS).alias("bit"))
+    def _places(self) -> list[Column]:
+        """The places of a key in its partition's filter, by number of the hash."""
+        return [F.pmod(F.xxhash64(self.key, F.lit(k)), F.lit(PAGES * _PAGE_BITS)) for k in range(1, HASHES + 1)]
+
+    def _filters(self, buckets: list[int]) -> DataFrame:
+        """``bucket, pages``: the bitmaps of each of ``buckets``, null where a page has none; each change has added some of its own."""
+        stored = table_or_empty(self.spark, f"{self.path}/filters", "page int, bits binary, bucket int").where(F.col("bucket").isin(buckets))
+        pages = stored.groupBy("bucket", "page").agg(F.bitmap_or_agg("bits").alias("bits"))
+        pages = pages.groupBy("bucket").agg(F.map_from_entries(F.collect_list(F.struct("page", "bits"))).alias("pages"))
+        return pages.select("bucket", F.transform(F.sequence(F.lit(0), F.lit(PAGES - 1)), lambda p: F.try_element_at("pages", p)).alias("pages"))
 
     def doubtful_buckets(self, keys: DataFrame) -> list[int]:
-        """The partitions that may hold one of the keys; as many as there are partitions at most."""
-        bits = self._bits(keys.select(self.key).distinct())
-        touched = [r["bucket"] for r in bits.select("bucket").distinct().collect()]
-        filters = table_or_empty(self.spark, f"{self.path}/filters", "page int, bits binary, bucket int").where(F.col("bucket").isin(touched))
-        filters = filters.groupBy("bucket", "page").agg(F.bitmap_or_agg("bits").alias("bits"))  # each change has added bitmaps of its own
-        byte = F.conv(F.hex(F.substring("bits", (F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-        is_set = F.expr("shiftright(byte, bit_in_byte) & 1") == 1
-        held = bits.join(filters, ["bucket", "page"], "left").withColumn("byte", byte).withColumn("bit_in_byte", (F.col("bit") % 8).cast("int"))
-        maybe = held.groupBy(self.key, "bucket").agg(F.bool_and(F.coalesce(is_set, F.lit(False))).alias("maybe")).where("maybe")
-        return sorted(r["bucket"] for r in maybe.select("bucket").distinct().collect())
+        """The partitions that may hold one of the keys; as many as there are partitions at most.
+
+        Filters are sent to the keys, those of ``FILTERS_AT_ONCE`` partitions in each pass, so that no key is shuffled.
+        """
+
+        def is_set(place: Column) -> Column:
+            bit = place % _PAGE_BITS
+            byte = F.substring(F.get("pages", F.floor(place / _PAGE_BITS).cast("int")), F.floor(bit / 8).cast("int") + 1, F.lit(1))
+            return F.coalesce(F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), (bit % 8).cast("int")) == 1, F.lit(False))
+
+        placed = keys.select(self.key, self._bucket().alias("bucket"))
+        touched = sorted(r["bucket"] for r in placed.select("bucket").distinct().collect())
+        doubtful: list[int] = []
+        for at in range(0, len(touched), FILTERS_AT_ONCE):
+            maybe = placed.join(F.broadcast(self._filters(touched[at : at + FILTERS_AT_ONCE])), "bucket")
+            for place in self._places():
+                maybe = maybe.where(is_set(place))
+            doubtful += [r["bucket"] for r in maybe.select("bucket").distinct().collect()]
+        return sorted(doubtful)
 
     def mark(self, keys: DataFrame) -> None:
         """Puts keys into the filters, before their rows are added.
@@ -62,7 +77,9 @@ class KeyedStore:
         Where a change breaks off between, the filters have bits too many, which
         costs a reading and nothing else.
         """
-        pages = self._bits(keys).groupBy("bucket", "page").agg(F.bitmap_construct_agg("bit").alias("bits"))
+        places = keys.select(self._bucket().alias("bucket"), F.explode(F.array_distinct(F.array(*self._places()))).alias("place"))
+        bits = places.select("bucket", F.floor(F.col("place") / _PAGE_BITS).cast("int").alias("page"), (F.col("place") % _PAGE_BITS).alias("bit"))
+        pages = bits.groupBy("bucket", "page").agg(F.bitmap_construct_agg("bit").alias("bits"))
         pages.select("page", "bits", "bucket").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/filters")
 
     def append(self, rows: DataFrame) -> None:

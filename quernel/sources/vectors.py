@@ -42,9 +42,9 @@ class VectorStore(KeyedStore):
         passage = F.coalesce(text, F.lit(""))
         rows = df.drop("embedding", "kept", KEY).withColumn(KEY, F.md5(F.concat_ws("\x01", F.lit(self.encoder), passage)))
         rows = held(rows, "passages")  # cut once, read for the keys and for the result
-        asked = rows.select(KEY, passage.alias("passage")).distinct()
+        asked = held(rows.select(KEY, passage.alias("passage")).distinct(), "asked")
         doubtful = self.doubtful_buckets(asked)
-        fresh = held(self.without_known(asked, doubtful), "fresh")  # told once, before anything is added
+        fresh = held(self.without_known(asked, doubtful), "fresh") if doubtful else asked  # told once, before anything is added
         self.mark(fresh)
         self.append(embed(fresh, "passage", make_encoder))
         # Vectors are read where they are stored, in these rows' partitions alone: rows are only ever added there.
