@@ -270,17 +270,24 @@ def token_encoder(make_model: Callable, max_tokens: int = MAX_TOKENS) -> Callabl
 def hash_model(size: int = 64):
     """Token vectors without a model file: a token is one signed place of a hashed vector."""
     import re
+    from functools import lru_cache
     from hashlib import md5
 
+    @lru_cache(65_536)
+    def hashed(token: str) -> tuple[int, float]:
+        h = int.from_bytes(md5(token.encode(), usedforsecurity=False).digest()[:4])
+        return h % size, 1.0 if h & 0x10000 else -1.0
+
     def model(texts: list[str], max_tokens: int) -> tuple[np.ndarray, np.ndarray]:
         tokens = [re.findall("[a-zа-яё0-9]+", (t or "").lower())[:max_tokens] for t in texts]
-        width = max([1, *map(len, tokens)])
-        vectors, mask = np.zeros((len(texts), width, size), np.float32), np.zeros((len(texts), width), np.int64)
-        for row, found in enumerate(tokens):
-            for place, token in enumerate(found):
-                h = int.from_bytes(md5(token.encode(), usedforsecurity=False).digest()[:4])
-                vectors[row, place, h % size] = 1.0 if h & 0x10000 else -1.0
-                mask[row, place] = 1
+        lengths = np.array([len(found) for found in tokens], np.int64)
+        width = max(1, int(lengths.max(initial=0)))
+        vectors = np.zeros((len(texts), width, size), np.float32)
+        mask = (np.arange(width) < lengths[:, None]).astype(np.int64)
+        if lengths.any():
+            slots, signs = zip(*(hashed(token) for found in tokens for token in found))
+            row, place = np.nonzero(mask)  # in the order of the tokens
+            vectors[row, place, slots] = signs
         return vectors, mask
 
     return model

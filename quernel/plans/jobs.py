@@ -34,7 +34,7 @@ def build_index(sources: DataFrame, existing: DataFrame, origin: str = "equipmen
     rows = build_chunks(usable, origin)
     passages = rows.withColumn("passage", passage_text(F.col("doc_title"), F.col("heading_path"), F.col("text")))
     passages = passages.drop("parent_text")
-    chunks = (embed(passages, "passage", make_encoder) if vectors is None else vectors.embed(passages, "passage", make_encoder)).drop("passage")
+    chunks = (embed(passages, "passage", make_encoder) if vectors is None else vectors.embed(held(passages, "passages"), "passage", make_encoder)).drop("passage")
     parents = rows.select("parent_ref", F.col("parent_text").alias("text")).dropDuplicates(["parent_ref"])
     known = existing.select("content_hash").distinct().withColumn("known", F.lit(1))
     marked = unique.join(known, "content_hash", "left").join(rows.groupBy("content_hash").agg(F.count("*").alias("chunks")), "content_hash", "left")

@@ -22,13 +22,13 @@ FILTERS_AT_ONCE = 128  # partitions whose filters go to the workers together: 25
 class KeyedStore:
     """``<name>/bucket=`` with ``key`` and ``value``, ``filters/bucket=`` with ``page, bits`` below ``path``.  One writer at a time.
 
-    ``key`` names a column of texts, ``value`` is the DDL of the other columns.
+    ``key`` names a column of ``key_type``, ``value`` is the DDL of the other columns.
     """
 
-    def __init__(self, spark: SparkSession, path: str, name: str, key: str, value: str, buckets: int = BUCKETS):
+    def __init__(self, spark: SparkSession, path: str, name: str, key: str, value: str, buckets: int = BUCKETS, key_type: str = "string"):
         self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
         self.key, self.table = key, f"{self.path}/{name}"
-        self.schema = spark.createDataFrame([], f"{key} string, {value}").schema
+        self.schema = spark.createDataFrame([], f"{key} {key_type}, {value}").schema
 
     def _stored(self) -> DataFrame:
         return table_or_empty(self.spark, self.table, self.spark.createDataFrame([], self.schema).withColumn("bucket", F.lit(0)).schema)
@@ -72,7 +72,7 @@ class KeyedStore:
         return sorted(doubtful)
 
     def mark(self, keys: DataFrame) -> None:
-        """Puts keys into the filters, before their rows are added.
+        """Puts keys into the filters, before their rows are added; keys that are in them, or come more than once, change nothing.
 
         Where a change breaks off between, the filters have bits too many, which
         costs a reading and nothing else.

@@ -7,6 +7,7 @@ passages with others.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,6 @@ from pyspark.sql import functions as F
 
 from quernel.operators.search import embed, hash_encoder
 from quernel.sources.keyed import BUCKETS, KeyedStore
-from quernel.sources.scratch import held
 
 KEY = "passage_key"
 
@@ -28,7 +28,7 @@ class VectorStore(KeyedStore):
     """
 
     def __init__(self, spark: SparkSession, path: str, encoder: str = "hash", buckets: int = BUCKETS):
-        super().__init__(spark, path, "vectors", KEY, "embedding array<float>", buckets)
+        super().__init__(spark, path, "vectors", KEY, "embedding array<float>, change string", buckets, "binary")
         self.encoder = encoder
 
     def embed(self, df: DataFrame, text: str, make_encoder: Callable = hash_encoder) -> DataFrame:
@@ -36,19 +36,21 @@ class VectorStore(KeyedStore):
 
         Only distinct passages that are not stored go to the encoder; their vectors
         are stored before the result is given.  A null text counts as an empty one.
-        Columns of ``df`` with the names of the added ones and of ``passage_key`` are
-        replaced.  An empty table gives no rows.
+        Columns of ``df`` with the names of the added ones, of ``passage_key`` and of
+        ``change`` are replaced.  An empty table gives no rows.  ``df`` is read for
+        its keys, for its passages and for the result, and must be the same each
+        time: a table that is dear to make, or made from what this changes, is
+        written first.
         """
         passage = F.coalesce(text, F.lit(""))
-        rows = df.drop("embedding", "kept", KEY).withColumn(KEY, F.md5(F.concat_ws("\x01", F.lit(self.encoder), passage)))
-        rows = held(rows, "passages")  # cut once, read for the keys and for the result
-        asked = held(rows.select(KEY, passage.alias("passage")).distinct(), "asked")
-        doubtful = self.doubtful_buckets(asked)
-        fresh = held(self.without_known(asked, doubtful), "fresh") if doubtful else asked  # told once, before anything is added
-        self.mark(fresh)
-        self.append(embed(fresh, "passage", make_encoder))
+        rows = df.drop("embedding", "kept", "change", KEY).withColumn(KEY, F.unhex(F.md5(F.concat_ws("\x01", F.lit(self.encoder), passage))))
+        doubtful = self.doubtful_buckets(rows)
+        self.mark(rows)
+        change = uuid.uuid4().hex  # tells what this change adds from what was stored before
+        # One row a key, so that the passages are told from stored ones where their copies were joined.
+        fresh = self.without_known(rows.groupBy(KEY).agg(F.any_value(passage).alias("passage")), doubtful)
+        self.append(embed(fresh, "passage", make_encoder).withColumn("change", F.lit(change)))
         # Vectors are read where they are stored, in these rows' partitions alone: rows are only ever added there.
-        met = doubtful + [r["bucket"] for r in fresh.select(self._bucket().alias("bucket")).distinct().collect()]
-        stored = self._stored().where(F.col("bucket").isin(met)).select(KEY, "embedding")
-        vectors = rows.join(stored, KEY).join(fresh.select(KEY, F.lit(False).alias("kept")), KEY, "left")
-        return vectors.withColumn("kept", F.coalesce("kept", F.lit(True))).drop(KEY)
+        met = [r["bucket"] for r in rows.select(self._bucket().alias("bucket")).distinct().collect()]
+        stored = self._stored().where(F.col("bucket").isin(met)).select(KEY, "embedding", F.coalesce(F.col("change") != change, F.lit(True)).alias("kept"))
+        return rows.join(stored, KEY).drop(KEY)
