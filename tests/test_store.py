@@ -12,6 +12,7 @@ from quernel.operators import search
 from quernel.operators.hits import best_sections
 from quernel.operators.lexical_index import LexicalIndex
 from quernel.plans import jobs
+from quernel.sources import keyed
 from quernel.sources.parents import ParentStore
 from quernel.sources.store import ChunkStore
 from quernel.sources.vectors import VectorStore
@@ -195,6 +196,18 @@ def encoder_without(*refused):
     return make
 
 
+def test_filters_in_several_passes(spark, tmp_path, monkeypatch):
+    kept = keyed.KeyedStore(spark, f"{tmp_path}/keys", "rows", "k", "v int", buckets=5)
+    rows = lambda a, b: spark.createDataFrame([(f"key {i}", i) for i in range(a, b)], "k string, v int")
+    assert kept.doubtful_buckets(rows(0, 40)) == []  # nothing is stored
+    assert kept.upsert(rows(0, 40)) == []
+    monkeypatch.setattr(keyed, "FILTERS_AT_ONCE", 2)
+    assert kept.doubtful_buckets(rows(0, 40)) == [0, 1, 2, 3, 4]
+    assert kept.doubtful_buckets(rows(0, 0)) == []
+    kept.upsert(rows(30, 50))
+    assert sorted(r["v"] for r in kept.rows().collect()) == list(range(50))
+
+
 def test_vectors_are_kept_by_content(spark, tmp_path):
     store = VectorStore(spark, f"{tmp_path}/vectors", buckets=8)
     schema = "id long, t string, kept string"
