@@ -25,8 +25,7 @@ from quernel.llm._shared import keyed, map_batches, same_document
 K = 16
 S = 5
 SKETCH = 96  # anchors in a fingerprint
-PIECE = 32_768  # anchors of texts full of repeats that are matched at once
-MOST_NAMES = 4096  # of these whose places are kept, as bits
+PIECE = 32_768  # anchors of a text full of repeats that are held as bits at once; no result depends on it
 SAMPLED = 64  # ids for each range of documents
 
 _A = np.uint64(0x9E3779B97F4A7C15)
@@ -102,9 +101,9 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 def in_order(a: np.ndarray, b: np.ndarray) -> int:
     """The most anchors that stand in both texts in the same order (longest common subsequence).
 
-    Where texts are so full of repeats that pairs of equal anchors outnumber anchors
-    64 times, both are matched piece by piece, ``PIECE`` anchors at once, so that time
-    grows with their length.
+    Exact at every length.  Texts so full of repeats that pairs of equal anchors outnumber anchors
+    64 times are matched in bits, whose time grows with the length of one text times the
+    anchors that are left out, at most with the product of both lengths.
     """
     short = min(len(a), len(b))
     apart = np.flatnonzero(a[:short] != b[:short])
@@ -130,26 +129,46 @@ def in_order(a: np.ndarray, b: np.ndarray) -> int:
                 at = bisect_left(tails, place)
                 tails[at : at + 1] = [place]
         return ahead + len(tails)
-    # Many: the same in bits, one for each place, piece by piece of both where they are long.
-    n = -(-max(len(x), len(y)) // PIECE)
-    cuts = [(len(x) * k // n, len(y) * k // n) for k in range(n + 1)]
-    return ahead + sum(_matched(x[i:k], y[j:m]) for (i, j), (k, m) in zip(cuts, cuts[1:]))
-
-
-def _matched(x: np.ndarray, y: np.ndarray) -> int:
-    """The longest common subsequence of two short sequences of names."""
-    full = (1 << len(x)) - 1
-    places: dict[int, int] = {}
-    state = full
-    for k in y.tolist():
-        bits = places.get(k)
-        if bits is None:
-            bits = int.from_bytes(np.packbits(x == k, bitorder="little").tobytes(), "little")
-            if len(places) < MOST_NAMES:
-                places[k] = bits
-        both = state & bits
-        state = ((state + both) | (state - both)) & full
-    return len(x) - state.bit_count()
+    # Many: the same in bits, one for each place, first as if few anchors were left out.
+    likely = max(0, min(len(x), len(y)) - PIECE)
+    found = _matched(x, y, likely)
+    return ahead + (found if found >= likely else _matched(x, y, found))
+
+
+def _matched(x: np.ndarray, y: np.ndarray, sure: int) -> int:
+    """The longest common subsequence of two sequences of names; where it is shorter than ``sure``, no more than it.
+
+    ``PIECE`` places of ``x`` at a time meet those of ``y``; what a place of ``y`` adds to the pieces so far
+    is carried into the next.  Places so far apart that fewer than ``sure`` could match beside them do not meet.
+    """
+    carried = bytearray(len(y))
+    found = 0
+    for start in range(0, len(x), PIECE):
+        piece = x[start : start + PIECE]
+        low, high = max(0, start - len(x) + sure), min(len(y), start + len(piece) + len(y) - sure)
+        top = 1 << len(piece)
+        state = top - 1
+        places: dict[int, int] = {}
+        for at, k in enumerate(y[low:high].tolist(), low):
+            bits = places.get(k)
+            if bits is None:
+                bits = places[k] = int.from_bytes(np.packbits(piece == k, bitorder="little").tobytes(), "little")
+            both = state & bits
+            grown = state + both
+            if carried[at]:
+                grown += 1
+            state = grown | (state ^ both)
+            if state >= top:
+                state ^= top
+                carried[at] = 1
+            else:
+                carried[at] = 0
+        own = len(piece) - state.bit_count()
+        beyond = np.frombuffer(carried, np.uint8)[high:]
+        taken = np.flatnonzero(beyond)[:own]  # without matches here, each takes the place of one found here
+        beyond[taken] = 0
+        found += own - len(taken)
+    return found
 
 
 def nearness(a: np.ndarray, b: np.ndarray) -> float:

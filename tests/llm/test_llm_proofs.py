@@ -347,6 +347,38 @@ def test_repetitive_texts_take_linear_time():
     assert time.perf_counter() - begun < 20
 
 
+def longest_common(a, b):
+    last = np.zeros(len(b) + 1, np.int32)
+    row = last.copy()
+    for x in a:
+        np.maximum(last[1:], np.where(b == x, last[:-1] + 1, 0), out=row[1:])
+        np.maximum.accumulate(row, out=row)
+        last, row = row, last
+    return int(last[-1])
+
+
+@pytest.mark.parametrize("piece", [1, 7, 64, 500])
+def test_matching_in_order_is_exact_across_pieces(monkeypatch, piece):
+    monkeypatch.setattr(fingerprint, "PIECE", piece)
+    rng = np.random.default_rng(piece)
+    for k in range(12):
+        a = rng.integers(0, 2, rng.integers(500, 700)).astype(np.uint64)
+        near = np.insert(np.delete(a, rng.integers(0, len(a), 9)), [5, 90, 300], 1)
+        b = (near, rng.integers(0, 2, rng.integers(500, 700)).astype(np.uint64), np.concatenate([a[200:], a[:200]]))[k % 3]
+        assert fingerprint.in_order(a, b) == fingerprint.in_order(b, a) == longest_common(a, b)
+
+
+def test_likeness_of_long_repetitive_texts_is_exact(spark):
+    one, two = "the cat sat on a mat and ", "some dog ran off in fog or "
+    texts = {1: one * 2_000 + two * 4_000, 2: two * 4_000 + one * 2_000}
+    got = {r["doc_id"]: r for r in fingerprint.compare_with_next(docs_of(spark, texts)).collect()}
+    a, b, of_one, of_two = (fingerprint.syncmers(t)[1] for t in (*texts.values(), one * 2_000, two * 4_000))
+    assert min(len(a), len(b)) > fingerprint.PIECE
+    # Nothing but the anchors of one phrase, all of them, can match in order: they have none in common, nor have the seams.
+    assert not set(of_one.tolist()) & set(of_two.tolist()) and set(a.tolist()) & set(b.tolist()) == set(of_one.tolist()) | set(of_two.tolist())
+    assert got[1]["near_next"] == got[2]["near_next"] == pytest.approx(2 * max(len(of_one), len(of_two)) / (len(a) + len(b)))
+
+
 def test_long_quote_marks_kill_nothing(spark):
     rows = [(1, 0, "user", "First words. Second words."), (1, 1, "assistant", ">" * 100_000 + " First words.\nAnswer."), (1, 2, "user", "> " * 50_000 + "Answer.\n>> First words.\nYes."), (2, 0, "user", " >" * 100_000)]
     got = {(r["conv_id"], r["turn"]): r for r in chat.reply_threads(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
