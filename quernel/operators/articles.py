@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +12,10 @@ from pyspark.sql import types as T
 
 from quernel.functions import fixed
 from quernel.functions.text import article_candidates, normalize_article
+from quernel.sources.scratch import held
+from quernel.sources.tables import spread
+
+LEVELS = (0.95, 0.9)  # ratios above which keys are looked for first
 
 
 def build_catalog(registry: DataFrame, pattern: str = "(?U)" + fixed.ARTICLE) -> DataFrame:
@@ -33,7 +38,7 @@ def anchored_keys(catalog: DataFrame) -> DataFrame:
     grams = catalog.select("article_key", "canonical", F.explode(_grams(F.col("article_key"))).alias("gram"))
     often = grams.groupBy("gram").agg(F.count("*").alias("n"))
     rarest = F.min_by("gram", F.struct("n", "gram")).alias("gram")
-    return grams.join(often, "gram").groupBy("article_key", "canonical").agg(rarest).select("gram", "article_key", "canonical")
+    return grams.join(often.hint("merge"), "gram").groupBy("article_key", "canonical").agg(rarest).select("gram", "article_key", "canonical")
 
 
 def exact_articles(questions: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -44,7 +49,7 @@ def exact_articles(questions: DataFrame, catalog: DataFrame) -> DataFrame:
     """
     text = questions.select("question_id", normalize_article(F.coalesce("question", F.lit(""))).alias("t"))
     probes = text.select("question_id", F.explode(_grams(F.col("t"))).alias("gram"))
-    met = probes.join(anchored_keys(catalog), "gram").drop("gram")
+    met = probes.join(anchored_keys(catalog).hint("merge"), "gram").drop("gram")
     return met.join(text, "question_id").where(F.contains("t", "article_key")).select("question_id", "article_key", "canonical").distinct()
 
 
@@ -69,6 +74,8 @@ def alike_keys(asked: DataFrame, catalog: DataFrame, least: float, apart: int =
     letters unmatched.  A catalogue key is cut into one piece more than that, so that
     one piece stands whole in the asked key, displaced by no more letters than are
     unmatched; pieces are joined by lengths, number and letters.  No pair is lost.
+    Pieces are some hundred times the keys, so they are never sent to every task.
+    Letters that both keys have bound the ratio before a pair is dealt out.
     """
     n, m = F.col("n"), F.col("m")
     loose = F.greatest(F.ceil(F.round((1 - least) * (n + m), 9)).cast("int") - 1, F.lit(0))
@@ -84,7 +91,26 @@ def alike_keys(asked: DataFrame, catalog: DataFrame, least: float, apart: int =
     probe = numbered(asked.select("key", F.length("key").alias("n"), around("key").alias("m")))
     probe = probe.select("key", "n", "m", "i", size.alias("size"), F.explode(F.sequence(begin(F.col("i")) - F.col("loose"), begin(F.col("i")) + F.col("loose"))).alias("at"))
     probe = probe.where((F.col("at") >= 0) & (F.col("at") + F.col("size") <= F.col("n"))).select("key", "n", "m", "i", F.substring(F.col("key"), F.col("at") + 1, F.col("size")).alias("piece")).distinct()
-    return probe.join(cut, ["n", "m", "i", "piece"]).select("key", "article_key").distinct()
+    shared = F.length("key") - F.length(F.call_function("translate", F.col("key"), F.col("article_key"), F.lit("")))
+    met = probe.join(cut.hint("merge"), ["n", "m", "i", "piece"]).where(2 * shared > least * (n + m)).select("key", "article_key")
+    spark = asked.sparkSession  # pairs are few bytes and much work, so their number of parts is fixed
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return met.repartition(parts, "key", "article_key").distinct()
+
+
+def likest_keys(asked: DataFrame, catalog: DataFrame, least: float) -> DataFrame:
+    """``key, article_key``: the catalogue key with the highest ratio above ``least`` to each asked one; of equals the first.
+
+    A key that has one above a higher level has its likest there: only the others are
+    compared at the next, where pieces are shorter and meet more keys.
+    """
+    catalog, found = spread(catalog), []
+    for level in [*(x for x in LEVELS if x > least), least]:
+        ratios = alike_keys(spread(asked), catalog, level).withColumn("ratio", sequence_ratio("key", "article_key"))
+        best = ratios.groupBy("key").agg(F.min(F.struct((-F.col("ratio")).alias("r"), "article_key")).alias("b")).where(F.col("b.r") < -level)  # a filter of the ratio itself would be pushed below distinct
+        found.append(held(best.select("key", "b.article_key"), "likest"))
+        asked = asked.join(found[-1], "key", "left_anti")
+    return reduce(DataFrame.unionByName, found)
 
 
 def fuzzy_articles(questions: DataFrame, catalog: DataFrame, exact: DataFrame, pattern: str = "(?U)" + fixed.ARTICLE, least: float = fixed.LIKE_ARTICLE) -> DataFrame:
@@ -94,13 +120,10 @@ def fuzzy_articles(questions: DataFrame, catalog: DataFrame, exact: DataFrame, p
     shared letters bound the ratio before it is computed.
     """
     open_questions = questions.join(exact.select("question_id").distinct(), "question_id", "left_anti")
-    asked = open_questions.select("question_id", F.posexplode(article_candidates(F.col("question"), pattern)).alias("pos", "raw")).withColumn("key", normalize_article(F.col("raw")))
-    pairs = alike_keys(asked.select("key").distinct(), catalog.select("article_key"), least)
-    letters = lambda c: F.split(c, "(?!^)")
-    shared = F.size(F.filter(letters(F.col("key")), lambda x: F.contains(F.col("article_key"), x)))
-    near = pairs.where(2 * shared > least * (F.length("key") + F.length("article_key"))).withColumn("ratio", sequence_ratio("key", "article_key")).where(F.col("ratio") > least)
-    near = asked.join(near, "key").join(catalog, "article_key")
-    best = near.groupBy("question_id", "pos").agg(F.min_by("canonical", F.struct((-F.col("ratio")).alias("r"), "article_key")).alias("canonical"))
+    asked = open_questions.select("question_id", F.posexplode(article_candidates(F.col("question"), pattern)).alias("pos", "raw"))
+    asked = held(asked.select("question_id", "pos", normalize_article(F.col("raw")).alias("key")), "asked")
+    likest = likest_keys(held(asked.select("key").distinct(), "keys"), catalog.select("article_key"), least)
+    best = asked.join(likest, "key").join(catalog, "article_key")
     first = best.groupBy("question_id", "canonical").agg(F.min("pos").alias("pos"))
     return first.select("question_id", F.row_number().over(Window.partitionBy("question_id").orderBy("pos", "canonical")).alias("rank"), "canonical")
 
